@@ -6,7 +6,7 @@ import importlib
 
 from recframe.queries.common import REGISTRY
 
-_FAMILIES = ["labels"]
+_FAMILIES = ["labels", "filters"]
 
 
 def all_queries() -> dict:
