@@ -6,7 +6,7 @@ import importlib
 
 from recframe.queries.common import REGISTRY
 
-_FAMILIES = ["labels", "filters"]
+_FAMILIES = ["labels", "filters", "ranking"]
 
 
 def all_queries() -> dict:
