@@ -6,7 +6,7 @@ import importlib
 
 from recframe.queries.common import REGISTRY
 
-_FAMILIES = ["labels", "filters", "ranking"]
+_FAMILIES = ["labels", "filters", "ranking", "encoders"]
 
 
 def all_queries() -> dict:

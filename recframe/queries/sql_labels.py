@@ -24,6 +24,17 @@ enriched AS (
 )"""
 
 
+PAIRS = """
+firsts AS (select user_id, video_id, previously_watched_category from enriched where is_positive
+           qualify row_number() over (partition by user_id, video_id order by ts_epoch, interaction_id) = 1),
+pairs AS (
+  select f.user_id, u.country_code as country, u.preferred_language as user_language, u.age,
+         f.previously_watched_category, f.video_id, v.category, v.title,
+         v.duration as video_duration, v.popularity, v.language as video_language, v.manual_tags as tags
+  from firsts f left join users u on f.user_id = u.id left join videos v on f.video_id = v.id
+)"""
+
+
 def enr(body: str, *extra: str) -> str:
     return with_views(f"WITH {ENRICHED} {body}", "videos", "interactions", *extra)
 
