@@ -89,6 +89,21 @@ VIEWS: dict[str, str] = {
                                  when 2 then 'Laptop' else 'Tablet' end as device,
                cast(1 + event_id % 10 as int) as position_in_list
         from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events) fb""",
+    "inference_log": """
+        select request_id, ts, lat as inference_latency_ms, lat * 0.3 as retrieval_latency_ms,
+               lat * 0.5 as ranking_latency_ms, recommendations
+        from (select 'req_' || cast(user_id as varchar) || '_' || strftime(ts, '%Y%m%d') as request_id,
+                     min(ts) as ts, 10.0 * count(*) + max(value) as lat,
+                     coalesce(list({'video_id': cast(json_extract_string(props, '$.k') as bigint),
+                                    'score': value / 500.0, 'retrieval_score': value / 1000.0,
+                                    'ranker_score': value / 400.0})
+                              filter (where event_type in ('view', 'click')), []) as recommendations
+              from events group by 1) il""",
+    "feature_records": """
+        select o.interaction_id as request_id, o.ts,
+               case when o.interaction_id % 13 = 0 then null else u.age end as age,
+               v.duration, u.country_code as country, v.category
+        from online o left join users u on o.user_id = u.id left join videos v on o.video_id = v.id""",
     "items": """
         select vec_id as id, embedding, 'Cat' || cast(label as varchar) as category
         from embeddings""",

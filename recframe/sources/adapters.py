@@ -183,3 +183,35 @@ def item_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = load_table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding"),
                     F.concat(F.lit("Cat"), F.col("label").cast("string")).alias("category"))
+
+
+def inference_log(spark: SparkSession, d: str) -> DataFrame:
+    """Inference records, one per (user, day) request of events: latency from
+    the request's event count and largest value, stage latencies as shares,
+    recommendations = the viewed / clicked videos (empty → an error)."""
+    e = load_table(spark, d, "events")
+    rec = F.when(F.col("event_type").isin("view", "click"),
+                 F.struct(_event_video(F.col("props")).alias("video_id"),
+                          (F.col("value") / 500.0).alias("score"),
+                          (F.col("value") / 1000.0).alias("retrieval_score"),
+                          (F.col("value") / 400.0).alias("ranker_score")))
+    g = e.groupBy(F.concat(F.lit("req_"), F.col("user_id").cast("string"), F.lit("_"),
+                           _day_key(F.col("ts"))).alias("request_id")).agg(
+        F.min("ts").alias("ts"), F.count(F.lit(1)).alias("_n"), F.max("value").alias("_mx"),
+        F.collect_list(rec).alias("recommendations"))
+    lat = F.lit(10.0) * F.col("_n") + F.col("_mx")
+    return g.select("request_id", "ts", lat.alias("inference_latency_ms"),
+                    (lat * 0.3).alias("retrieval_latency_ms"), (lat * 0.5).alias("ranking_latency_ms"),
+                    "recommendations")
+
+
+def feature_records(spark: SparkSession, d: str) -> DataFrame:
+    """Logged model inputs: online events with the user's age (missing for
+    every 13th event) and country, and the video's duration and category."""
+    o = online_interactions(spark, d)
+    u = users(spark, d).select(F.col("id").alias("_uid"), "age", F.col("country_code").alias("country"))
+    v = videos(spark, d).select(F.col("id").alias("_vid"), "duration", "category")
+    j = o.join(u, o.user_id == u._uid, "left").join(v, o.video_id == v._vid, "left")
+    return j.select(F.col("interaction_id").alias("request_id"), "ts",
+                    F.when(F.col("interaction_id") % 13 == 0, F.lit(None).cast("int")).otherwise(F.col("age")).alias("age"),
+                    "duration", "country", "category")
