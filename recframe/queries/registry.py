@@ -6,7 +6,7 @@ import importlib
 
 from recframe.queries.common import REGISTRY
 
-_FAMILIES = ["labels", "filters", "ranking", "encoders", "monitoring"]
+_FAMILIES = ["labels", "filters", "ranking", "encoders", "monitoring", "experiments"]
 
 
 def all_queries() -> dict:
