@@ -32,7 +32,10 @@ VIEWS: dict[str, str] = {
                     then cast(cast(floor(l_quantity * 40) as int) as varchar) || ' seconds'
                     when interaction_type = 'comment' then 'Great video!' else '-' end as interaction_value,
                previously_watched_video, ts_epoch, device
-        from (select l_orderkey * 8 + l_linenumber as interaction_id, o_custkey as user_id,
+        from (select concat_ws('-', cast(l_orderkey as varchar), cast(l_linenumber as varchar),
+                               cast(l_partkey as varchar), cast(l_suppkey as varchar), strftime(l_shipdate, '%Y%m%d'),
+                               cast(cast(round(l_extendedprice * 100) as bigint) as varchar)) as interaction_id,
+                     o_custkey as user_id,
                      l_partkey as video_id, l_quantity,
                      case when l_returnflag = 'N' and l_linestatus = 'O' then 'watch'
                           when l_returnflag = 'N' then 'impression'

@@ -67,8 +67,9 @@ def videos(spark: SparkSession, d: str) -> DataFrame:
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     """lineitem ⋈ orders → one interaction per line item.
 
-    ``interaction_id`` (order key · 8 + line number) is the tie-break key the
-    reference's input order provided implicitly.
+    ``interaction_id`` (order, line, part, supplier, ship day, price in cents)
+    is the row key and the tie-break the reference's input order provided
+    implicitly; (order, line) alone repeats in the generated data.
     """
     li = load_table(spark, d, "lineitem")
     o = load_table(spark, d, "orders")
@@ -77,7 +78,9 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
              .when((rf == "R") & (ls == "O"), "watch").when(rf == "R", "click")
              .when(ls == "O", "like").when(ln % 2 == 0, "dislike").otherwise("comment"))
     base = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        (F.col("l_orderkey") * 8 + ln).alias("interaction_id"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), ln.cast("string"), F.col("l_partkey").cast("string"),
+                    F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd"),
+                    F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")).alias("interaction_id"),
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("video_id"),
         F.col("l_quantity"),
