@@ -6,7 +6,7 @@ import importlib
 
 from recframe.queries.common import REGISTRY
 
-_FAMILIES = ["labels", "filters", "ranking", "encoders", "monitoring", "experiments", "feedback"]
+_FAMILIES = ["labels", "filters", "ranking", "encoders", "monitoring", "experiments", "feedback", "vectors"]
 
 
 def all_queries() -> dict:
