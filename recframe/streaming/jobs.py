@@ -124,8 +124,11 @@ def recent_state(spark: SparkSession, inter: DataFrame, limit: int = 50, name: s
                  sink: str = "memory", trigger: dict | None = None) -> StreamingQuery:
     """ST06: per-user newest ``limit`` interactions kept in state (bounded),
     idle users expire after 24 h."""
+    drain = bool(trigger and trigger.get("availableNow"))
+    ttl = None if drain else 24 * 3600 * 1000  # a drain run ends; no idle expiry needed
     out = inter.groupBy("user_id").applyInPandasWithState(
-        ops.recent_state_fn(limit), ops.RECENT_OUT_SCHEMA, ops.RECENT_STATE_SCHEMA, "update", "ProcessingTimeTimeout")
+        ops.recent_state_fn(limit, ttl), ops.RECENT_OUT_SCHEMA, ops.RECENT_STATE_SCHEMA, "update",
+        "NoTimeout" if drain else "ProcessingTimeTimeout")
     w = out.writeStream.outputMode("update").option("checkpointLocation", _ckpt(spark, name))
     w = w.format("memory").queryName(name) if sink == "memory" else w.format(sink)
     return _trigger(w, trigger).start()

@@ -135,10 +135,14 @@ RECENT_STATE_SCHEMA = "videos array<bigint>, times array<timestamp_ntz>"
 RECENT_OUT_SCHEMA = "user_id bigint, recent_videos array<bigint>, last_ts timestamp_ntz"
 
 
-def recent_state_fn(limit: int = 50):
+def recent_state_fn(limit: int = 50, ttl_ms: int | None = 24 * 3600 * 1000):
     """State update for ST06: keep the newest ``limit`` (video, time) pairs
-    per user; the state is bounded by ``limit``, whatever the event rate."""
+    per user; the state is bounded by ``limit``, whatever the event rate.
+    With ``ttl_ms`` an idle user's state expires (processing-time timeout)."""
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         videos, times = ([], [])
         if state.exists:
             videos, times = list(state.get[0]), list(state.get[1])
@@ -149,6 +153,7 @@ def recent_state_fn(limit: int = 50):
         videos = [videos[i] for i in order]
         times = [times[i] for i in order]
         state.update((videos, times))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"user_id": [key[0]], "recent_videos": [videos], "last_ts": [times[0] if times else None]})
     return fn

@@ -61,7 +61,8 @@ def test_recent_state_stream(spark):
     stream = spark.readStream.schema(o.schema).parquet(os.path.join(src, "in"))
     name = _name("recent").replace("-", "_")
     q = jobs.recent_state(spark, stream, 5, name=name, trigger={"availableNow": True})
-    q.awaitTermination(300)
+    q.awaitTermination(120)
+    assert not q.isActive
     got = spark.table(name).groupBy("user_id").agg(F.max("last_ts").alias("last_ts"))
     want = o.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
