@@ -101,8 +101,9 @@ def oov_vocab(values: DataFrame, col: str) -> DataFrame:
 
 
 def build_all_vocabs(users: DataFrame, videos: DataFrame) -> DataFrame:
-    """user_id, country, user_language, video_id, category, shared
-    language and popularity vocabularies in one pass → (vocab, value, idx).
+    """user_id, country, user_language, video_id, category,
+    video_language, shared language and popularity vocabularies in one pass
+    → (vocab, value, idx).
 
     One unpivot, one distinct, one exact ordering over (vocab, value); each
     vocabulary's indices restart at 2 after [PAD] 0 and [OOV] 1.
@@ -119,6 +120,7 @@ def build_all_vocabs(users: DataFrame, videos: DataFrame) -> DataFrame:
         .unionByName(v.select(F.explode(F.array(
             F.struct(F.lit("video_id").alias("vocab"), F.col("video_id").alias("value")),
             F.struct(F.lit("category").alias("vocab"), F.col("category").alias("value")),
+            F.struct(F.lit("video_language").alias("vocab"), F.col("video_language").alias("value")),
             F.struct(F.lit("language").alias("vocab"), F.col("video_language").alias("value")),
             F.struct(F.lit("popularity").alias("vocab"), F.col("popularity").alias("value")))).alias("p")))
         .select("p.*").where(F.col("value").isNotNull()

@@ -32,6 +32,7 @@ allv_src AS (
   union select 'language', preferred_language from users
   union select 'video_id', cast(id as varchar) from videos
   union select 'category', category from videos
+  union select 'video_language', language from videos
   union select 'language', language from videos
   union select 'popularity', popularity from videos),
 allv AS (
