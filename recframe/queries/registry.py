@@ -6,7 +6,7 @@ import importlib
 
 from recframe.queries.common import REGISTRY
 
-_FAMILIES = ["labels", "filters", "ranking", "encoders", "monitoring", "experiments", "feedback", "vectors", "streaming", "misc", "io"]
+_FAMILIES = ["labels", "filters", "ranking", "encoders", "monitoring", "experiments", "feedback", "vectors", "streaming", "misc", "io", "models"]
 
 
 def all_queries() -> dict:
