@@ -156,3 +156,13 @@ def catalogue_counts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def item_feature_table(videos: DataFrame, channels: DataFrame) -> DataFrame:
+    """Serving features per video with the channel's subscriber count
+    (0 when the channel is unknown)."""
+    ch = channels.select(F.col("id").alias("_cid"), F.col("subscriber_count").alias("_subs"))
+    j = videos.join(ch, videos.channel_id == ch._cid, "left")
+    return j.select(F.col("id").alias("video_id"), "category", F.col("language").alias("video_language"),
+                    F.col("duration").alias("video_duration"), "popularity", "view_count", "like_count",
+                    "comment_count", F.coalesce("_subs", F.lit(0)).cast("bigint").alias("channel_subscriber_count"))

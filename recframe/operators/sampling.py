@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recframe.operators.encoders import hash_bucket
 from recframe.operators.experiments import h60
 from recframe.operators.ordering import global_prefix
+from recframe.session import cut_lineage
 
 
 def _key(cols: list[str], seed: int) -> Column:
@@ -115,37 +116,39 @@ def negatives_per_positive(pos: DataFrame, videos: DataFrame, ratio: int = 3, se
     """Per positive, ``ratio`` distinct videos the user has no positive
     with (or the whole pool when smaller), context copied from the positive.
 
-    Round 1 draws ``oversample·ratio`` hashed video indices per positive;
-    positives left short get an exact second round over the full catalogue
-    (only those positives), so every positive receives min(ratio, pool).
+    Round 1 draws ``oversample·ratio`` hashed catalogue indices per positive,
+    drops the user's positive videos (anti join), and keeps the first
+    ``ratio`` distinct survivors in draw order — the draws of one positive
+    are a bounded group, so one aggregate replaces a window.  Positives left
+    short get an exact second round over the full catalogue (only those
+    positives), so every positive receives min(ratio, pool).
     """
     vidx = _video_index(videos)
     V = vidx.select(F.count(F.lit(1))).scalar()
-    user_pos = pos.select("user_id", "video_id").distinct()
     ctx = ["previously_watched_category", "interaction_time_day", "interaction_time_hour", "device"]
-    base = pos.select(pos_key, "user_id", *ctx)
+    # the positives feed three branches: materialise them once
+    base = cut_lineage(pos.select(pos_key, "user_id", "video_id", *ctx))
+    user_pos = base.select("user_id", "video_id").distinct()
     m = oversample * ratio
-    draws = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_a"))
-    h = F.pmod(h60(F.concat_ws("|", F.col(pos_key).cast("string"), F.col("_a").cast("string"), F.lit(str(seed)))), V)
-    draws = draws.withColumn("vidx", h)
-    cand = (draws.join(vidx, "vidx").groupBy(pos_key, "user_id", "video_id", *ctx).agg(F.min("_a").alias("_ord"))
-            .join(user_pos, ["user_id", "video_id"], "left_anti"))
-    w = Window.partitionBy(pos_key).orderBy("_ord", "video_id")
-    r1 = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= ratio)
-    got = r1.groupBy(pos_key).agg(F.count(F.lit(1)).alias("_got"))
-    short = base.join(got, pos_key, "left").where(F.coalesce(F.col("_got"), F.lit(0)) < ratio)
+    draws = base.select(pos_key, "user_id", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_a"))
+    draws = draws.withColumn("vidx", F.pmod(F.xxhash64(F.col(pos_key), F.col("_a"), F.lit(seed)), F.lit(V)))
+    cand = draws.join(vidx, "vidx").join(user_pos, ["user_id", "video_id"], "left_anti")
+    picked = cut_lineage(cand.groupBy(pos_key).agg(
+        F.array_sort(F.collect_list(F.struct("_a", "video_id"))).alias("_c")).select(
+        pos_key, F.slice(F.array_distinct(F.transform("_c", lambda x: x["video_id"])), 1, ratio).alias("_vids")))
+    short = (base.select(pos_key, "user_id").join(picked, pos_key, "left")
+             .withColumn("_got", F.coalesce(F.size("_vids"), F.lit(0))).where(F.col("_got") < ratio))
     # exact round for the short positives: every catalogue video not already taken
-    full = (short.select(pos_key, "user_id", *ctx, F.explode(F.sequence(F.lit(0), F.lit(V - 1))).alias("vidx"))
-            .join(vidx, "vidx"))
-    full = (full.join(user_pos, ["user_id", "video_id"], "left_anti")
-            .join(r1.select(pos_key, "video_id"), [pos_key, "video_id"], "left_anti")
-            .withColumn("_ord", F.lit(m) + h60(F.concat_ws("|", F.col(pos_key).cast("string"),
-                                                           F.col("video_id").cast("string"), F.lit(str(seed))))))
-    need = short.select(pos_key, (F.lit(ratio) - F.coalesce(F.col("_got"), F.lit(0))).alias("_need"))
+    full = (short.select(pos_key, "user_id", "_got", F.coalesce("_vids", F.array().cast("array<bigint>")).alias("_vids"),
+                         F.explode(F.sequence(F.lit(0), F.lit(V - 1))).alias("vidx"))
+            .join(vidx, "vidx").where(~F.array_contains("_vids", F.col("video_id")))
+            .join(user_pos, ["user_id", "video_id"], "left_anti")
+            .withColumn("_ord", F.xxhash64(F.col(pos_key), F.col("video_id"), F.lit(seed))))
     w2 = Window.partitionBy(pos_key).orderBy("_ord", "video_id")
-    r2 = full.join(need, pos_key).withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= F.col("_need"))
-    cols = [pos_key, "user_id", "video_id", *ctx]
-    out = r1.select(*cols).unionByName(r2.select(*cols))
+    r2 = full.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= F.lit(ratio) - F.col("_got"))
+    picks = (picked.select(pos_key, F.explode("_vids").alias("video_id"))
+             .unionByName(r2.select(pos_key, "video_id")))
+    out = picks.join(base.drop("video_id"), pos_key)
     return out.select(F.col(pos_key).alias("source_interaction_id"), "user_id", "video_id",
                       F.lit("negative_sample").alias("interaction_type"), F.lit("-").alias("interaction_value"),
                       *ctx, F.lit(False).alias("is_positive"))

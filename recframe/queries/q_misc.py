@@ -187,3 +187,9 @@ def a39(spark, d):
                               (tt_pass & rk_pass).alias("should_deploy"),
                               F.when(~tt_pass, tt_reason).alias("two_tower_reason"),
                               F.when(~rk_pass, rk_reason).alias("ranker_reason")))
+
+
+@query("j24_item_feature_table")
+def j24(spark, d):
+    ch = A.channels(spark, d).where(F.col("id") % 10 != 3)  # some channels unknown → 0 subscribers
+    return DS.item_feature_table(A.videos(spark, d), ch)

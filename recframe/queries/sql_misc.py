@@ -112,4 +112,8 @@ SQL = {
                case when not rk then concat_ws(', ', case when auc < 0.6 then printf('auc (%.4f) < 0.6', auc) end,
                                                case when ndcg < 0.3 then printf('ndcg (%.4f) < 0.3', ndcg) end) end as ranker_reason
         from g""", "online"),
+    "j24_item_feature_table": with_views("""select v.id as video_id, v.category, v.language as video_language,
+          v.duration as video_duration, v.popularity, v.view_count, v.like_count, v.comment_count,
+          cast(coalesce(c.subscriber_count, 0) as bigint) as channel_subscriber_count
+        from videos v left join (select * from channels where id % 10 <> 3) c on v.channel_id = c.id""", "videos", "channels"),
 }
