@@ -299,14 +299,12 @@ def canary_gate(log: DataFrame, window_col: str = "window") -> DataFrame:
     """Metrics per canary window (traffic 10/25/50/75/100 %); a window
     fails when error rate > 5 % or p99 > 500 ms; the first failure rolls back,
     later windows are skipped."""
-    from pyspark.sql import Window
     m = perf_metrics(log, [window_col]).select(window_col, "num_samples", "error_rate", "latency_p99_ms")
     steps = F.array(*[F.lit(s) for s in C.CANARY_STEPS])
     bad = (F.col("error_rate") > C.CANARY_ERROR_RATE) | (F.col("latency_p99_ms") > C.CANARY_P99_MS)
-    w = Window.orderBy(window_col).rowsBetween(Window.unboundedPreceding, -1)  # ≤ 5 rows
-    m = m.withColumn("healthy", ~bad).withColumn(
-        "_prior_bad", F.coalesce(F.max((~F.col("healthy")).cast("int")).over(w), F.lit(0)))
+    m = m.withColumn("healthy", ~bad)
+    first_bad = m.select(F.min(F.when(~F.col("healthy"), F.col(window_col)))).scalar()
     return m.select(window_col, F.element_at(steps, F.col(window_col) + 1).alias("traffic_percent"),
                     "num_samples", "error_rate", "latency_p99_ms", "healthy",
-                    F.when(F.col("_prior_bad") == 1, "skipped").when(F.col("healthy"), "promote")
-                    .otherwise("rollback").alias("action"))
+                    F.when(first_bad.isNotNull() & (F.col(window_col) > first_bad), "skipped")
+                    .when(F.col("healthy"), "promote").otherwise("rollback").alias("action"))

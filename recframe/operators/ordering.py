@@ -51,11 +51,19 @@ def global_prefix(df: DataFrame, order: list, weight: str | None = None,
     spark = df.sparkSession
     n = partitions or shuffle_partitions(spark)
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType()),
-                                       T.StructField("_lidx", T.LongType())]
-    if weight is not None:
-        fields.append(T.StructField("_lcum", T.DoubleType()))
-    staged = cut_lineage(ordered.mapInPandas(_running(weight), T.StructType(fields)))
+    if weight is None:
+        # JVM only: partition id and the row's position inside its sorted
+        # partition (monotonically_increasing_id = pid << 33 | row index)
+        tagged = ordered.select("*", F.spark_partition_id().alias("_pid"),
+                                F.monotonically_increasing_id().alias("_mid"))
+        staged = cut_lineage(tagged)
+        staged = staged.withColumn("_lidx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
+    else:
+        # running sums of the weight need one Arrow pass per partition
+        fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType()),
+                                           T.StructField("_lidx", T.LongType()),
+                                           T.StructField("_lcum", T.DoubleType())]
+        staged = cut_lineage(ordered.mapInPandas(_running(weight), T.StructType(fields)))
     aggs = [F.count(F.lit(1)).alias("n")]
     if weight is not None:
         aggs.append(F.sum(F.col(weight).cast("double")).alias("w"))
@@ -76,7 +84,7 @@ def global_prefix(df: DataFrame, order: list, weight: str | None = None,
     if weight is not None:
         woff = F.element_at(F.array(*[F.lit(float(v)) for v in w_off]), F.col("_pid") + 1)
         out = out.withColumn("_gcum", woff + F.col("_lcum"))
-    return out.drop("_pid", "_lidx", "_lcum")
+    return out.drop("_pid", "_lidx", *(["_lcum"] if weight is not None else []))
 
 
 def dense_index(values: DataFrame, col: str, start: int = 0) -> DataFrame:

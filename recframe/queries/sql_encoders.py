@@ -73,10 +73,10 @@ videof AS (
          case when p.category is null then 0 else coalesce(b.idx, 1) end as category_idx,
          case when p.video_language is null then 0 else coalesce(c.idx, 1) end as video_language_idx,
          case when p.popularity is null then 0 else coalesce(d.idx, 1) end as popularity_idx,
-         case when p.popularity = 'low' or p.popularity is null or p.popularity not in ('low', 'medium', 'high', 'viral') then 1.0 else 0.0 end as popularity_low,
-         case when p.popularity = 'medium' then 1.0 else 0.0 end as popularity_medium,
-         case when p.popularity = 'high' then 1.0 else 0.0 end as popularity_high,
-         case when p.popularity = 'viral' then 1.0 else 0.0 end as popularity_viral,
+         case when p.popularity = 'low' or p.popularity is null or p.popularity not in ('low', 'medium', 'high', 'viral') then cast(1 as double) else cast(0 as double) end as popularity_low,
+         case when p.popularity = 'medium' then cast(1 as double) else cast(0 as double) end as popularity_medium,
+         case when p.popularity = 'high' then cast(1 as double) else cast(0 as double) end as popularity_high,
+         case when p.popularity = 'viral' then cast(1 as double) else cast(0 as double) end as popularity_viral,
          (ln(1 + p.video_duration) - (select m from vstats)) / ((select s from vstats) + 1e-8) as duration_log_normalized,
          {digitize('p.video_duration', [60, 300, 600, 1800, 3600])} as duration_bucket_idx
   from pairs p left join vid_v a on p.video_id = a.value left join catv_v b on p.category = b.value

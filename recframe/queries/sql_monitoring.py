@@ -138,7 +138,7 @@ SQL = {
         round(b.mean, 6) as base_mean, round(b.std, 6) as base_std from ncur c left join nbase b using (feature)"""),
     "a34_numeric_drift": qw("select feature, round(drift_score, 6) as drift_score from ndrift"),
     "a35_psi_drift": qw("select feature, round(drift_score, 6) as drift_score from cdrift"),
-    "a36_quality_alerts": qw("select alert_type, severity, feature_name, round(current_value, 6) as current_value, round(threshold, 6) as threshold from alerts"),
+    "a36_quality_alerts": qw("select alert_type, severity, feature_name, round(current_value, 6) as current_value, round(cast(threshold as double), 6) as threshold from alerts"),
     "a38_status": qw("select status from st"),
     "a48_quality_report": qw("""select p.feature, p.feature_type, p.count, round(p.missing_rate, 6) as missing_rate,
         round(coalesce(d.drift_score, 0.0), 6) as drift_score, cast(coalesce(n.n_alerts, 0) as bigint) as n_alerts,

@@ -21,11 +21,16 @@ _REQUIRED_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "recframe") -> SparkSession:
-    """Return the active session, creating a local one when none exists."""
+                app_name: str = "recframe", driver_memory: str | None = None) -> SparkSession:
+    """Return the active session, creating a local one when none exists.
+
+    ``driver_memory`` only matters in local mode (the driver JVM runs the
+    executors there) and only before the JVM starts."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in _REQUIRED_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

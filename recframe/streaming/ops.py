@@ -121,12 +121,21 @@ def late_labels(feedback: DataFrame, predictions: DataFrame, max_delay_hours: in
 
 def alert_cooldown(alerts: DataFrame, minutes: int = 30, key: str = "alert_type", ts: str = "ts") -> DataFrame:
     """ST12 (batch rule): emit an alert unless the same key fired within the
-    previous ``minutes``."""
+    previous ``minutes``.
+
+    The "previous alert" is found per (key, minute bucket) with ``lag``; the
+    first alert of a bucket takes the last alert of the nearest earlier
+    bucket (a window over one row per bucket), so a busy key is spread over
+    many tasks."""
     from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(ts)
-    prev = F.lag(ts).over(w)
-    return alerts.withColumn("_prev", prev).where(
-        F.col("_prev").isNull() | (F.col(ts) >= F.col("_prev") + F.expr(f"INTERVAL {int(minutes)} MINUTES"))).drop("_prev")
+    b = alerts.withColumn("_b", F.date_trunc("minute", F.col(ts)))
+    last = b.groupBy(key, "_b").agg(F.max(ts).alias("_last"))
+    last = last.withColumn("_prev_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_b"))).drop("_last")
+    w = Window.partitionBy(key, "_b").orderBy(ts)
+    j = b.withColumn("_lag", F.lag(ts).over(w)).join(last, [key, "_b"])
+    prev = F.coalesce(F.col("_lag"), F.col("_prev_bucket"))
+    return j.where(prev.isNull() | (F.col(ts) >= prev + F.expr(f"INTERVAL {int(minutes)} MINUTES"))).drop(
+        "_b", "_lag", "_prev_bucket")
 
 
 # --- ST06: per-user recent state (applyInPandasWithState) ---------------------
