@@ -30,9 +30,10 @@ def l2norm(v) -> Column:
 
 
 def normalize(v, eps: float = EPS) -> Column:
-    """v / (‖v‖ + ε) as ARRAY<DOUBLE>."""
-    n = l2norm(v)
-    return F.transform(_c(v), lambda x: x.cast("double") / (n + F.lit(eps)))
+    """v / (‖v‖ + ε) as ARRAY<DOUBLE>; the norm is evaluated once per row
+    (``array_repeat``), not once per element, so the cost is O(d)."""
+    den = F.array_repeat(l2norm(v) + F.lit(eps), F.size(_c(v)))
+    return F.zip_with(_c(v), den, lambda x, n: x.cast("double") / n)
 
 
 def dot(a, b) -> Column:
@@ -125,9 +126,10 @@ def vector_topk_ivf(queries: DataFrame, items: DataFrame, k: int, nlist: int = 1
     assigned = km.transform(unit).select(i_id, i_vec, "cluster")
     cents = np.vstack(km.clusterCenters())  # nlist × d, bounded by the index size
     probe = _nearest_centroids(queries.select(q_id, q_vec), cents, nprobe, q_id, q_vec)
+    probe = probe.select(q_id, "cluster", normalize("_q").alias("_qu"))
+    assigned = assigned.select(i_id, "cluster", normalize(i_vec).alias("_iu"))
     j = probe.join(assigned, "cluster").select(
-        F.col(q_id).alias("query_id"), F.col(i_id).alias("item_id"),
-        dot(normalize(F.col("_q")), normalize(F.col(i_vec))).alias("score"))
+        F.col(q_id).alias("query_id"), F.col(i_id).alias("item_id"), dot("_qu", "_iu").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
