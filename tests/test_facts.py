@@ -128,3 +128,15 @@ def test_diversity_sample_categories(spark):
     out = RC.diversity_sample(df, 4, 3).orderBy("final_rank").collect()
     assert len(out) == 4 and len({r.category for r in out}) >= 2
     assert [r.video_id for r in out][:3] == [1, 4, 6]
+
+
+def test_ivf_with_all_probes_equals_exact(spark):
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((200, 8))
+    items = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(200)], "id long, embedding array<float>")
+    q = items.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = V.vector_topk_exact(q, items, 5).select("query_id", "item_id", "rank")
+    ivf = V.vector_topk_ivf(q, items, 5, nlist=4, nprobe=4).select("query_id", "item_id", "rank")
+    assert exact.exceptAll(ivf).count() == 0 and ivf.exceptAll(exact).count() == 0
+    part = V.vector_topk_ivf(q, items, 5, nlist=4, nprobe=1)
+    assert part.count() <= 50
