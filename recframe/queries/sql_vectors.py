@@ -52,7 +52,7 @@ def vw(body: str, *extra) -> str:
 
 
 def cw(body: str) -> str:
-    return with_views(f"WITH {CTX} {body}", "users", "online", "items")
+    return with_views(f"WITH {CTX} {body}", "users", "online", "items", "videos")
 
 
 SCORED_CANDS = f"""
@@ -197,4 +197,26 @@ SQL = {
           timestamp '2024-01-31 12:00:00' - interval 1 minute * (user_id % 90) as ts
         from merged where rank <= 10
           and timestamp '2024-01-31 12:00:00' - interval 1 minute * (user_id % 90) >= timestamp '2024-01-31 11:00:00'"""),
+    "r01_recommend_batch": cw("""
+        , mc AS (select m.user_id, m.video_id, m.merged_score as retrieval_score, i.category
+                 from merged m left join items i on m.video_id = i.id),
+        kept AS (select mc.* from mc
+                 where not exists (select 1 from owc o where o.interaction_type = 'complete'
+                                   and o.user_id = mc.user_id and o.video_id = mc.video_id)
+                   and not list_contains(['Cat9'], coalesce(mc.category, ''))),
+        sc AS (select k.*, coalesce(v.like_count / greatest(v.view_count, 1) * 10, 0.0) as ranker_score
+               from kept k left join videos v on k.video_id = v.id),
+        bl AS (select user_id, video_id, category,
+                      0.3 * least(greatest(retrieval_score, 0.0), 1.0) + 0.7 * least(greatest(ranker_score, 0.0), 1.0) as score
+               from sc),
+        rk AS (select *, row_number() over (partition by user_id order by score desc, video_id) as rank from bl),
+        p AS (select *, row_number() over (partition by user_id, coalesce(category, 'Unknown') order by score desc, rank) as pp,
+                     count(*) over (partition by user_id) as cnt,
+                     min(rank) over (partition by user_id, coalesce(category, 'Unknown')) as head from rk),
+        k2 AS (select *, row_number() over (partition by user_id order by
+                   case when cnt <= 10 then 0 when pp = 1 then 0 else 1 end,
+                   case when cnt <= 10 or pp = 1 then cast(rank as double) else -score end,
+                   case when cnt <= 10 or pp = 1 then 0 else head end, rank) as final_rank
+               from p where cnt <= 10 or pp <= 3)
+        select user_id, video_id, round(score, 6) as score, final_rank from k2 where final_rank <= 10"""),
 }
