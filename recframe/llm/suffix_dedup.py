@@ -128,7 +128,6 @@ def cut_contexts(bucket: int, keys: np.ndarray, data: np.ndarray, offs: np.ndarr
     new = np.append(True, (f[1:] != f[:-1]) | (h[1:] != h[:-1])) if len(f) else np.zeros(0, bool)
     size = np.diff(np.append(np.flatnonzero(new), len(f)))
     many = np.repeat(size > 1, size) | (copies[doc] > 1)
-    rows: list[np.ndarray] = []
     raw = data.tobytes()
     # settled: one row for each; then the representative with its bytes
     settled, send = np.flatnonzero(many), np.flatnonzero(new)
@@ -136,7 +135,9 @@ def cut_contexts(bucket: int, keys: np.ndarray, data: np.ndarray, offs: np.ndarr
     ctx = [None] * len(settled) + [raw[a:b] for a, b in zip(lo[send].tolist(), hi[send].tolist(), strict=True)]
     group_many = np.maximum.reduceat(many, send) if len(send) else np.zeros(0, bool)
     flags = np.concatenate([np.ones(len(settled), bool), group_many])
-    rows = [signed(f[which]), signed(h[which])]
+    # settled rows only pass through the next exchange: spread, not gathered at their anchor
+    to = np.concatenate([mix(keys[doc[settled]].view(_U) + lo[settled].astype(_U)), f[send]])
+    rows = [signed(to), signed(h[which])]
     return pa.Table.from_arrays(
         [pa.array(rows[0]), pa.array(rows[1]), pa.array(ctx, pa.binary()), pa.array(np.full(len(which), bucket), pa.int32()),
          pa.array(keys[doc[which]]), pa.array(lo[which] - offs[doc[which]], pa.int32()), pa.array(hi[which] - lo[which], pa.int32()), pa.array(flags)],
