@@ -3,6 +3,7 @@ arrays, word positions and rolling fingerprints, and bucketed text tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recframe.session import checkpoint_dir
+
 #: Rows in one Arrow batch; with texts of a few KB a batch stays at a few MB.
 BATCH_ROWS = 1000
 #: Text bytes handled at once by the numpy passes of one task.
@@ -42,6 +45,14 @@ def id_or_least(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(-(1 << 63)))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back: cuts
+    the lineage, and the planner knows its size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def total_bytes(docs: DataFrame) -> int:
     got = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()
     return int(got["b"] or 0)
