@@ -155,9 +155,10 @@ def negatives_per_positive(pos: DataFrame, videos: DataFrame, ratio: int = 3, se
 
 
 def negatives_global(inter: DataFrame, users: DataFrame, videos: DataFrame, n_target: int | Column,
-                     seed: int = 42, oversample: int = 3, max_rounds: int = 8) -> DataFrame:
+                     seed: int = 42, oversample: int = 3) -> DataFrame:
     """``n_target`` distinct random (user, video) pairs absent from all
-    interactions (label 0).  Hashed draws, more rounds while short."""
+    interactions (label 0).  Hashed draws; while short, twice as many are drawn
+    again, so exactly ``n_target`` pairs come back.  Raises if fewer exist."""
     U = users.select(F.count(F.lit(1))).collect()[0][0]
     uidx = global_prefix(users.select(F.col("id").alias("user_id")).distinct(), ["user_id"]).select(
         "user_id", F.col("_gidx").alias("uidx"))
@@ -166,18 +167,20 @@ def negatives_global(inter: DataFrame, users: DataFrame, videos: DataFrame, n_ta
     n = n_target if isinstance(n_target, int) else inter.sparkSession.range(1).select(n_target).collect()[0][0]
     seen = inter.select("user_id", "video_id").distinct()
     spark = inter.sparkSession
-    found = None
-    for r in range(max_rounds):
-        k = spark.range(0, n * oversample * (r + 1)).select(F.col("id").alias("_j"))
+    taken = seen.join(uidx, "user_id").join(vidx, "video_id").count()
+    if n > U * V - taken:
+        raise ValueError(f"{n} negatives asked, {U * V - taken} unseen pairs exist")
+    r = 0
+    while True:
+        k = spark.range(0, n * oversample * 2 ** r).select(F.col("id").alias("_j"))
         tag = F.concat_ws("|", F.col("_j").cast("string"), F.lit(str(seed)), F.lit(str(r)))
         pairs = k.select("_j", F.pmod(h60(F.concat(tag, F.lit("u"))), U).alias("uidx"),
                          F.pmod(h60(F.concat(tag, F.lit("v"))), V).alias("vidx"))
         pairs = (pairs.join(uidx, "uidx").join(vidx, "vidx")
                  .groupBy("user_id", "video_id").agg(F.min("_j").alias("_ord"))
                  .join(seen, ["user_id", "video_id"], "left_anti"))
-        got = pairs.count()
-        found = pairs
-        if got >= n or got >= U * V:
+        if pairs.count() >= n:
             break
-    g = global_prefix(found, ["_ord", "user_id", "video_id"])
+        r += 1
+    g = global_prefix(pairs, ["_ord", "user_id", "video_id"])
     return g.where(F.col("_gidx") < n).select("user_id", "video_id", F.lit(0).alias("label"))

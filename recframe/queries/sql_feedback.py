@@ -76,7 +76,7 @@ SQL = {
         from labels l left join predictions p on l.inference_id = p.inference_id"""),
     "w02_latest_label": fw("select inference_id, video_id, interaction_id, label from lat"),
     "j06_merge_predictions_labels": fw(f"""select * replace ({r6(['predicted_score', 'label_confidence', 'watch_time_seconds',
-        'watch_percentage', 'label_delay_hours'])}) from merged"""),
+        'label_delay_hours'])}) from merged"""),
     "a16_merge_stats": fw("""select 'ALL' as model_version, count(*) filter (where label = 1) as positive,
           count(*) filter (where label = 0) as negative, count(*) as total,
           (select count(*) from labels) - count(*) as records_unmatched,
@@ -88,7 +88,7 @@ SQL = {
     "j07_merge_windowed": fw(f"""select l.inference_id, l.user_id, l.video_id, p.ts as inference_timestamp,
           l.feedback_timestamp, round(coalesce(p.video_scores[l.video_id], 0.0), 6) as predicted_score, p.model_version,
           cast(l.label as int) as label, l.label_source, round(coalesce(l.watch_time_seconds, 0.0), 6) as watch_time_seconds,
-          round(coalesce(l.watch_percentage, 0.0), 6) as watch_percentage
+          coalesce(l.watch_percentage, 0.0) as watch_percentage
         from (select * from labels where inference_id is not null and video_id is not null and video_id <> 0
               qualify row_number() over (partition by inference_id, video_id order by event_id desc) = 1) l
         join predictions p on l.inference_id = p.inference_id
@@ -96,7 +96,7 @@ SQL = {
            or epoch_us(l.feedback_timestamp) - epoch_us(p.ts) <= {12 * 3_600_000_000}"""),
     "j08_merge_sql": fw("""select p.inference_id, p.user_id, l.video_id, p.ts as inference_timestamp, l.feedback_timestamp,
           round(p.video_scores[l.video_id], 6) as predicted_score, p.model_version, p.experiment_id, l.label,
-          l.label_source, round(l.watch_time_seconds, 6) as watch_time_seconds, round(l.watch_percentage, 6) as watch_percentage
+          l.label_source, round(l.watch_time_seconds, 6) as watch_time_seconds, l.watch_percentage
         from predictions p join labels l on p.inference_id = l.inference_id
         where trunc((epoch_us(l.feedback_timestamp) - epoch_us(p.ts)) / 3600000000) <= 12
           and list_contains(p.recommended_video_ids, l.video_id)"""),

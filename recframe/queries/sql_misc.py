@@ -63,8 +63,8 @@ SQL = {
         union all select 'channels', count(*), count(distinct id) from channels
         union all select 'interactions', count(*), count(distinct interaction_id) from interactions""",
                                        "users", "videos", "channels", "interactions"),
-    "f07_watch_percentage": with_views("""select feedback_id, round(case when video_duration_seconds > 0
-          then watch_time_seconds / video_duration_seconds else 0.0 end, 6) as watch_percentage from feedback""", "feedback"),
+    "f07_watch_percentage": with_views("""select feedback_id, case when video_duration_seconds > 0
+          then watch_time_seconds / video_duration_seconds else 0.0 end as watch_percentage from feedback""", "feedback"),
     "f09_one_hot_popularity": with_views("""select id, cast(popularity = 'low' as double) as popularity_low,
           cast(popularity = 'medium' as double) as popularity_medium, cast(popularity = 'high' as double) as popularity_high,
           cast(popularity = 'viral' as double) as popularity_viral from videos""", "videos"),

@@ -16,7 +16,7 @@ ev AS (select event_id, user_id, cast(json_extract_string(props, '$.k') as bigin
 SQL = {
     "st01_ingest_events": f"""WITH {EV}
         select event_id, user_id, video_id, inference_id, event_type as interaction_type, ts,
-               round(coalesce(watch_percentage, 0.0), 6) as watch_percentage, round(coalesce(watch_time_seconds, 0.0), 6) as watch_time_seconds,
+               coalesce(watch_percentage, 0.0) as watch_percentage, round(coalesce(watch_time_seconds, 0.0), 6) as watch_time_seconds,
                coalesce(device, 'unknown') as device, coalesce(position_in_list, 0) as position_in_list,
                case when event_type in ('like', 'comment', 'impression') then 1
                     when event_type = 'watch' and coalesce(watch_percentage, 0.0) >= 0.4 then 1 else 0 end as label,

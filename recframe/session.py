@@ -45,8 +45,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; a private folder is
-    created only when the setting is absent (local tests).
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, only a
+    local master may use a private folder (tests); on a cluster this raises, for
+    a machine-local folder would not be shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,8 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="recframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

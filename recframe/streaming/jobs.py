@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -80,7 +81,9 @@ def keyed_upsert(spark: SparkSession, events: DataFrame, table_dir: str, keys=("
             days = new.select("year", "month", "day").distinct()
             old = old.join(days, ["year", "month", "day"]).join(new.select(*keys), list(keys), "left_anti")
             merged = old.unionByName(new, allowMissingColumns=True)
-        except Exception:  # noqa: BLE001 — first batch: no table yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only a missing table means a first batch
+                raise
             merged = new
         staged = cut_lineage(merged)  # the overwrite must not read its own target
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

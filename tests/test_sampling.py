@@ -56,3 +56,18 @@ def test_balance(spark):
                                   F.when(F.col("id") < 10, 1).otherwise(0).alias("label"))
     got = {r.label: r["count"] for r in S.balance_labels(skew, ["k"], 1.0).groupBy("label").count().collect()}
     assert got == {0: 10, 1: 10}
+
+
+def test_global_negatives_fill_a_dense_target(spark):
+    from recframe.operators.sampling import negatives_global
+    users = spark.createDataFrame([(i,) for i in range(8)], "id long")
+    videos = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    inter = spark.createDataFrame([(i, i % 6) for i in range(8)], "user_id long, video_id long")
+    got = negatives_global(inter, users, videos, 40)
+    assert got.select("user_id", "video_id").distinct().count() == 40
+    assert got.join(inter, ["user_id", "video_id"]).count() == 0
+    try:
+        negatives_global(inter, users, videos, 41)
+        raise AssertionError("a pool that is too small must raise")
+    except ValueError:
+        pass
