@@ -16,7 +16,7 @@ from recframe.session import checkpoint_dir
 #: Rows in one Arrow batch; with texts of a few KB a batch stays at a few MB.
 BATCH_ROWS = 1000
 #: Text bytes handled at once by the numpy passes of one task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 
 _U = np.uint64
 

@@ -37,7 +37,7 @@ WINDOW = 13
 #: Words of benchmark text in one broadcast block (8 bytes each, and the ids).
 BLOCK_WORDS = 4_000_000
 #: Bytes of training text in one shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 SAMPLE = 8
 
 
@@ -219,14 +219,14 @@ def _merge(old: dict | None, n_words: int, hits: list[tuple[int, int, int]], ite
     return {"n_words": n_words, "spans": [{"start": a, "stop": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)], "items": sorted(names)}
 
 
-def _phrase_blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    """Blocks of items, each at most about BLOCK_WORDS words."""
+def _phrase_blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[Phrases, bool]]:
+    """Blocks of items, each at most about BLOCK_WORDS words, and whether it is the last."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), text_bytes().alias("t"))
     size = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n = max(1, -(-int(size) // (2 * BLOCK_WORDS)))  # a word takes two bytes at least, with its separator
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        yield Phrases([(r["i"], bytes(r["t"])) for r in rows], window)
+        yield Phrases([(r["i"], bytes(r["t"])) for r in rows], window), b == n - 1
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
@@ -238,10 +238,11 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carr
     row = F.struct(*(carry or docs.columns)).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
     out = docs.select(row, F.lit(None).cast(_FOUND_SQL).alias("found"), text_bytes().alias("raw"))
-    for phrases in _phrase_blocks(benchmark, window):
+    for phrases, last in _phrase_blocks(benchmark, window):
         shared = spark.sparkContext.broadcast(phrases)
+        names = ["row", "found"] if last else ["row", "found", "raw"]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
             shard = Shard(shared.value)
 
@@ -252,7 +253,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carr
                     old = b.column("found").to_pylist() if b.column("found").null_count < b.num_rows else [None] * b.num_rows
                     found = [_merge(o, int(n_words[at + i]), hits[at + i], shard.phrases.items) for i, o in enumerate(old)]
                     at += b.num_rows
-                    yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(found, _FOUND), b.column("raw")], ["row", "found", "raw"])
+                    cols = {"row": b.column("row"), "found": pa.array(found, _FOUND), "raw": b.column("raw")}
+                    yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
             for batch in batches:
                 for b in blocks(batch, "raw"):
@@ -263,8 +265,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carr
                         held, shard = [], Shard(shared.value)
             yield from flush()
 
-        out = out.mapInArrow(run, f"row {kind}, found {_FOUND_SQL}, raw binary")
-    return out.select("row", "found")
+        kinds = {"row": kind, "found": _FOUND_SQL, "raw": "binary"}
+        out = out.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return out
 
 
 def n_hit():
