@@ -82,12 +82,17 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of at most ``limit`` text bytes (or one row)."""
-    _, offs = flat(batch.column(column))
-    start = 0
-    while start < batch.num_rows:
-        stop = int(np.searchsorted(offs, offs[start] + limit, side="right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+    for start, stop in slices(flat(batch.column(column))[1], limit):
         yield batch.slice(start, stop - start)
+
+
+def slices(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of at most ``limit`` bytes (or one row)."""
+    start, n = 0, len(offs) - 1
+    while start < n:
+        stop = int(np.searchsorted(offs, offs[start] + limit, side="right")) - 1
+        stop = min(max(stop, start + 1), n)
+        yield start, stop
         start = stop
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recframe.llm.common import (PACKED, Roller, _BYTES, buckets_for, flat, has_key, merge_intervals, mix, packed_table, row_key,
-                                 shared_keys, signed, small_batches, text_bytes, total_bytes)
+                                 shared_keys, signed, slices, small_batches, text_bytes, total_bytes)
 from recframe.llm.suffix import common_prefixes, suffix_array
 
 WIDTH = 400
@@ -67,7 +67,17 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc, fill: np.uint64) -> np.nda
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, fingerprint) of the anchors of all texts in ``data``."""
+    """(place, fingerprint) of the anchors of all texts in ``data``, some whole
+    texts at a time: the passes below need 100 bytes and more for one of text."""
+    place, found = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for lo, hi in slices(offs):
+        p, h = _anchors(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
+        place.append(p + offs[lo])
+        found.append(h)
+    return np.concatenate(place), np.concatenate(found)
+
+
+def _anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if n < WIDTH:
         return np.zeros(0, np.int64), np.zeros(0, _U)
