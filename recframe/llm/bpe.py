@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recframe.llm.common import blocks, small_batches, text_bytes
+from recframe.llm.common import blocks, frugal, small_batches, text_bytes
 
 #: Characters of text handed to the library at once.
 PIECE_CHARS = 1 << 16
@@ -78,7 +78,7 @@ def tokenize(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def detokenize(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -90,7 +90,7 @@ def detokenize(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     d = tokens.select("doc_id", "ids")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    return d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
 @functools.lru_cache(maxsize=4)
@@ -132,4 +132,4 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = F
     small_batches(docs.sparkSession)
     d = docs.select("doc_id", text_bytes().alias("raw"))
     ids = ", ids array<int>" if with_ids else ""
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")
+    return d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")

@@ -4,7 +4,7 @@ arrays, word positions and rolling fingerprints, and bucketed text tables."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from recframe.session import checkpoint_dir
 
 #: Rows in one Arrow batch; with texts of a few KB a batch stays at a few MB.
 BATCH_ROWS = 1000
+#: Bytes in one Arrow batch (or one row), whatever the length of its texts.
+BATCH_BYTES = 2 << 20
 #: Text bytes handled at once by the numpy passes of one task.
 BLOCK_BYTES = 512 << 10
 
@@ -26,8 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python tasks receive."""
+    """Bound the Arrow batches that Python tasks receive, in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, handing unused Arrow memory back as it goes:
+    Spark keeps Python workers for later tasks, with all that they hold."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+    return task
 
 
 def text_bytes(col: str = "text") -> Column:

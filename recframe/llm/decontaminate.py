@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import (ALNUM_WORD, LOWER, alnum_words, blocks, flat, merge_intervals, small_batches, span_hashes,
+from recframe.llm.common import (ALNUM_WORD, LOWER, alnum_words, blocks, flat, frugal, merge_intervals, small_batches, span_hashes,
                                  text_bytes, word_spans)
 from recframe.llm.suffix import suffix_array
 
@@ -266,7 +266,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carr
             yield from flush()
 
         kinds = {"row": kind, "found": _FOUND_SQL, "raw": "binary"}
-        out = out.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+        out = out.mapInArrow(frugal(run), ", ".join(f"{c} {kinds[c]}" for c in names))
     return out
 
 

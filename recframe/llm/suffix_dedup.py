@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import (PACKED, Roller, _BYTES, buckets_for, flat, has_key, merge_intervals, mix, packed_table, row_key,
+from recframe.llm.common import (PACKED, Roller, _BYTES, buckets_for, flat, frugal, has_key, merge_intervals, mix, packed_table, row_key,
                                  shared_keys, signed, slices, small_batches, text_bytes, total_bytes)
 from recframe.llm.suffix import common_prefixes, suffix_array
 
@@ -371,8 +371,8 @@ def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[t
 
     shared = shared_keys(texts.groupBy("bucket").applyInArrow(pick, PACKED))
     contexts = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, _CONTEXT)
-    found = contexts.repartition("f").sortWithinPartitions("f", "h").mapInArrow(_solve_shards, _FOUND)
-    spans = found.repartition("g", "lo").sortWithinPartitions("g", "lo").mapInArrow(_merge_shards, _SPAN)
+    found = contexts.repartition("f").sortWithinPartitions("f", "h").mapInArrow(frugal(_solve_shards), _FOUND)
+    spans = found.repartition("g", "lo").sortWithinPartitions("g", "lo").mapInArrow(frugal(_merge_shards), _SPAN)
     return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(close, schema)
 
 

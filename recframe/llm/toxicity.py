@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import ALNUM_WORD, LOWER, SPACE_WORD, small_batches, text_bytes
+from recframe.llm.common import ALNUM_WORD, LOWER, SPACE_WORD, frugal, small_batches, text_bytes
 
 SAMPLE_PER_CLASS = 1500
 N_LANDMARKS = 48
@@ -149,7 +149,7 @@ def words_of(text: bytes) -> list[bytes]:
 class WordCache:
     """Kernel values of the words met so far; emptied when it holds LIMIT words."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self, marks: Landmarks):
         self.marks = marks
@@ -348,9 +348,9 @@ def score(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_struct_array(b.filter(ok).column(0))
 
     if keep == "clean":
-        return docs.select(F.struct("*").alias("row"), text_bytes().alias("raw")).mapInArrow(clean, docs.schema)
+        return docs.select(F.struct("*").alias("row"), text_bytes().alias("raw")).mapInArrow(frugal(clean), docs.schema)
     d = docs.select("doc_id", text_bytes().alias("raw"))
-    return d.mapInArrow(rate, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    return d.mapInArrow(frugal(rate), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
