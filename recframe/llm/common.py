@@ -45,6 +45,22 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
+def frugal_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for ``applyInArrow``."""
+    def task(part: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        return run(part)
+    return task
+
+
+def frugal_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for ``applyInArrow`` of two tables."""
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        return run(left, right)
+    return task
+
+
 def text_bytes(col: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
@@ -277,7 +293,7 @@ def shared_keys(packed: DataFrame) -> DataFrame:
             [pa.array(bucket[row[heads]], pa.int32()), pa.array([keys[lo:hi].tobytes() for lo, hi in zip(heads, np.append(heads[1:], len(keys)), strict=False)], pa.binary())],
             ["bucket", "keys"])
 
-    return packed.groupBy("part").applyInArrow(run, "bucket int, keys binary")
+    return packed.groupBy("part").applyInArrow(frugal_group(run), "bucket int, keys binary")
 
 
 PACKED = "part int, bucket int, keys binary, many binary"

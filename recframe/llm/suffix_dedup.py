@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import (PACKED, Roller, _BYTES, buckets_for, flat, frugal, has_key, merge_intervals, mix, packed_table, row_key,
+from recframe.llm.common import (PACKED, Roller, _BYTES, buckets_for, flat, frugal, frugal_cogroup, frugal_group, has_key, merge_intervals, mix, packed_table, row_key,
                                  shared_keys, signed, slices, small_batches, text_bytes, total_bytes)
 from recframe.llm.suffix import common_prefixes, suffix_array
 
@@ -46,7 +46,7 @@ GRAM = 50
 GRAMS = WIDTH - GRAM + 1
 BUCKET_BYTES = 2 << 20
 #: Bytes of contexts in one suffix array; positions must fit 21 bits.
-SHARD_BYTES = 3 << 19
+SHARD_BYTES = 3 << 18
 KEYS_PER_PART = 200_000
 
 _U = np.uint64
@@ -129,7 +129,11 @@ def cut_contexts(bucket: int, keys: np.ndarray, data: np.ndarray, offs: np.ndarr
     hit = has_key(f, wanted)
     place, f = place[hit], f[hit]
     doc, lo, hi = _contexts(data, offs, place)
-    h = _ROLL2.spans(_ROLL2.prefix(_BYTES[data]), lo, hi)
+    h = np.zeros(len(doc), _U)
+    for a, b in slices(offs):
+        i, j = np.searchsorted(doc, (a, b))
+        prefix = _ROLL2.prefix(_BYTES[data[offs[a]:offs[b]]])
+        h[i:j] = _ROLL2.spans(prefix, lo[i:j] - offs[a], hi[i:j] - offs[a])
     order = np.lexsort((lo, doc, h, f))
     f, h, doc, lo, hi = f[order], h[order], doc[order], lo[order], hi[order]
     # in a short text, two places of one gram may have the same context
@@ -369,11 +373,11 @@ def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[t
             gone.append(list(zip(s.tolist(), e.tolist(), strict=True)))
         return finish(part, gone)
 
-    shared = shared_keys(texts.groupBy("bucket").applyInArrow(pick, PACKED))
-    contexts = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, _CONTEXT)
+    shared = shared_keys(texts.groupBy("bucket").applyInArrow(frugal_group(pick), PACKED))
+    contexts = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(frugal_cogroup(cut), _CONTEXT)
     found = contexts.repartition("f").sortWithinPartitions("f", "h").mapInArrow(frugal(_solve_shards), _FOUND)
     spans = found.repartition("g", "lo").sortWithinPartitions("g", "lo").mapInArrow(frugal(_merge_shards), _SPAN)
-    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(close, schema)
+    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(frugal_cogroup(close), schema)
 
 
 def _context_schema() -> pa.Schema:
