@@ -136,8 +136,8 @@ def cut_contexts(bucket: int, keys: np.ndarray, data: np.ndarray, offs: np.ndarr
         h[i:j] = _ROLL2.spans(prefix, lo[i:j] - offs[a], hi[i:j] - offs[a])
     order = np.lexsort((lo, doc, h, f))
     f, h, doc, lo, hi = f[order], h[order], doc[order], lo[order], hi[order]
-    # in a short text, two places of one gram may have the same context
-    other = np.append(True, (f[1:] != f[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1])) if len(f) else np.zeros(0, bool)
+    # in a short text, two places of one gram may have the same context; near the start of a longer one they share only its start
+    other = np.append(True, (f[1:] != f[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) if len(f) else np.zeros(0, bool)
     f, h, doc, lo, hi = f[other], h[other], doc[other], lo[other], hi[other]
     new = np.append(True, (f[1:] != f[:-1]) | (h[1:] != h[:-1])) if len(f) else np.zeros(0, bool)
     size = np.diff(np.append(np.flatnonzero(new), len(f)))

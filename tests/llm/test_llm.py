@@ -63,6 +63,16 @@ def test_wordwise_and_bytewise_dedup(docs, monkeypatch):
     assert rows_of(suffix_dedup.dedup_digest(docs)) == want9
 
 
+def test_bytewise_dedup_of_a_repeated_line_at_the_head(spark):
+    rng = random.Random(11)
+    rand = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(100):
+        passage = (rand(rng.randint(200, 230)) * 3)[:rng.randint(420, 520)]
+        rows += [(2 * i, passage + rand(900)), (2 * i + 1, rand(700) + passage + rand(500))]
+    assert rows_of(suffix_dedup.dedup_digest(spark.createDataFrame(rows, SCHEMA))) == ordered(brute.byte_dedup(rows))
+
+
 def test_jaccard_components(docs, monkeypatch):
     want = ordered(brute.components(corpus()))
     assert rows_of(ngram_join.components(docs)) == want
