@@ -12,8 +12,9 @@ divided by the largest norm of the table and padded to unit length, queries are
 scaled to unit length, so the nearest is the one with the largest product.
 
 Spark deals vectors into shards and queries into blocks, each of bounded size;
-every (shard, block) pair is one group, which returns its best k per query, and
-a per-query top k merges them.
+every (shard, block) pair is one group, which returns its best k ids per query,
+and a per-query top k merges them.  Repeated rows are reduced to one before; the
+rows of one vec_id with unlike vectors are spread over the shards.
 
 Defined cases: vectors that are null, empty, zero, of another length than most,
 or that hold null or non-finite components take no part, neither as query nor as
@@ -47,18 +48,25 @@ def lines(dim: int, m: int = LINES, seed: int = 5) -> np.ndarray:
 
 
 class CollisionIndex:
-    """Sorted projection arrays of one shard of unit vectors (rows of x)."""
+    """Sorted projection arrays of one shard of unit vectors (rows of x); ``ids``
+    may come in several rows."""
 
-    def __init__(self, x: np.ndarray, proj: np.ndarray):
+    def __init__(self, x: np.ndarray, proj: np.ndarray, ids: np.ndarray):
         p = x @ proj
         order = np.argsort(p, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
         self.order = np.ascontiguousarray(order.T.astype(np.int32))
         self.n, self.m = p.shape
+        known, self.which = np.unique(ids, return_inverse=True)
+        self.n_ids = len(known)
+
+    def distinct(self, rows: np.ndarray) -> int:
+        return len(rows) if self.n_ids == self.n else int(np.count_nonzero(np.bincount(self.which[rows], minlength=self.n_ids)))
 
     def candidates(self, centres: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query (row of projections): rows that collide often enough."""
-        need = min(self.n, k + int(ENOUGH * self.n))
+        """For each query (row of projections): rows that collide often enough, of
+        ``k`` ids at least if there are as many."""
+        need = min(self.n_ids, k + int(ENOUGH * self.n_ids))
         least = int(np.ceil(THRESHOLD * self.m))
         out = []
         bounds = []
@@ -79,24 +87,29 @@ class CollisionIndex:
                 count += np.bincount(np.concatenate(rings), minlength=self.n)
                 old_lo, old_hi = lo, hi
                 got = np.flatnonzero(count >= least)
-                if len(got) >= need:
+                if self.distinct(got) >= need:
                     break
             # the widest windows still leave too few: everything is verified
-            out.append(got if len(got) >= min(self.n, k) else np.arange(self.n))
+            out.append(got if self.distinct(got) >= min(self.n_ids, k) else np.arange(self.n))
         return out
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, norm: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vec id, score) of the best k found for each query in one shard."""
+    """(query id, vec id, score) of the best k ids found for each query in one shard."""
     length = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1) / norm ** 2))
     unit = np.hstack([x / norm, length[:, None]])
     proj = lines(unit.shape[1])
-    index = CollisionIndex(unit, proj)
+    index = CollisionIndex(unit, proj, ids)
     centres = np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))]) @ proj
     qs, vs, ss = [], [], []
     for i, found in enumerate(index.candidates(centres, k + 1)):
         found = found[ids[found] != q_ids[i]]
         score = np.einsum("ij,j->i", x[found], q[i])
+        if index.n_ids < index.n:  # the best row of each id
+            order = np.lexsort((-score, ids[found]))
+            one = ids[found[order]]
+            order = order[np.append(True, one[1:] != one[:-1])[:len(one)]]
+            found, score = found[order], score[order]
         if len(found) > k:
             # all rows tied with the k-th best stay, so that ids can break the tie
             cut = np.partition(score, len(score) - k)[len(score) - k]
@@ -128,11 +141,11 @@ def nearest(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP) ->
     if top is None:
         return spark.createDataFrame([], out)
     dim, norm = int(top["dim"]), float(top["norm"])
-    v = v.where(F.size("vec") == dim)
+    v = v.where(F.size("vec") == dim).distinct()  # repeated rows
     shards = max(1, -(-top["n"] // SHARD_ROWS))
     q_blocks = max(1, -(-(top["q"] or 0) // BLOCK_ROWS))
     # every row goes to its shard once for each block of queries, every query to its block once for each shard
-    rows = v.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("g"), "vec_id", "vec")
+    rows = v.select(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("g"), "vec_id", "vec")
     asked = (v.where(F.col("vec_id") % query_step == 0)
              .select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("g"),
                      F.col("vec_id").alias("query_id"), F.col("vec").alias("q")))

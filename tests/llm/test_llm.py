@@ -163,6 +163,25 @@ def test_ann_recall_and_ties(spark):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def test_ann_repeated_ids_take_one_place(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((16, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1, (x[0] * 3).tolist())] * 40  # one row again and again
+    rows += [(2, (x[0] * 2 + rng.standard_normal(8) / 50).tolist()) for _ in range(40)]  # unlike rows of one id
+    rows += [(0, x[0].tolist())] * 40  # the query itself
+    got = {r.vec_id: (r.rank, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10).collect()}
+    best = {}
+    for i, v in rows[:16] + rows[16:]:
+        if i:
+            best[i] = max(best.get(i, -np.inf), float(np.dot(v, x[0])))
+    want = sorted(best, key=lambda i: (-best[i], i))[:10]
+    assert [i for i, _ in sorted(got.items(), key=lambda g: g[1][0])] == want
+    assert all(abs(got[i][1] - best[i]) < 1e-9 for i in want)
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "yo"), (2, 0, "system", "x")]
     got = {r.perspective: r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
