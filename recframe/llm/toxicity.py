@@ -5,7 +5,8 @@ Kernel of two words: the gap-weighted subsequence kernel of length 3 (Lodhi et
 al. 2002).  A word, with a start mark, is mapped to its triples of characters
 i < j < k with k - i < SPAN, each weighted DECAY ** (k - i + 1); the kernel is
 the inner product divided by both norms, so an inserted or dropped character
-lowers it only a little.
+lowers it only a little.  A word of more than MAX_WORD bytes (joined chains, text
+without white space) is taken as its overlapping windows of 6, 12 and 24 bytes.
 
 Landmarks z are words and word beginnings that mark toxic sentences in a bounded
 sample of labelled rows (SAMPLE_PER_CLASS documents of each class).  A sentence
@@ -37,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import ALNUM_WORD, LOWER, SPACE_WORD, frugal, small_batches, text_bytes
+from recframe.llm.common import ALNUM_WORD, LOWER, SPACE_WORD, frugal, slices, small_batches, text_bytes
 
 SAMPLE_PER_CLASS = 1500
 N_LANDMARKS = 48
 SPAN, DECAY = 5, 0.6
 SHARP, FLOOR = 2, 0.5
+#: Longer words are taken as their windows of these (bytes, step).
 MAX_WORD = 24
+WINDOWS = ((6, 1), (12, 3), (MAX_WORD, 8))
 
 #: 32 character classes: word start, a-z, digit, and four for other bytes.
 _CLASS = np.full(256, 27, np.int64)
@@ -62,11 +65,11 @@ _NO_TRIPLE = 1 << 15
 def _codes(words: list[bytes]) -> list[tuple[np.ndarray, float]]:
     """For each step: triple codes (word by start; _NO_TRIPLE beyond the end) and weight."""
     n = len(words)
-    lens = np.fromiter((min(len(w), MAX_WORD) for w in words), np.int64, n)
+    lens = np.fromiter(map(len, words), np.int64, n)
     width = int(lens.max(initial=0)) + 1
     chars = np.full((n, width + SPAN), -1, np.int32)
     chars[:, 0] = 0
-    data = np.frombuffer(b"".join(w[:MAX_WORD] for w in words), np.uint8)
+    data = np.frombuffer(b"".join(words), np.uint8)
     at = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens) + 1
     chars[np.repeat(np.arange(n), lens), at] = _CLASS[data]
     out = []
@@ -116,7 +119,7 @@ class Landmarks:
             part = order[lo:lo + 8192]
             codes = _codes([words[i] for i in part])
             # repeated triples only add to a norm, so this bounds every kernel value from above
-            size = np.minimum(lens[part], MAX_WORD) + 1
+            size = lens[part] + 1
             norm = np.sqrt(sum(w * w * np.maximum(size - k, 0) for _, k, w in _STEPS))
             bound = sum(w * self.most[c].sum(axis=1) for c, w in codes)
             near = np.flatnonzero(bound >= FLOOR * np.maximum(norm, 1e-9))
@@ -146,6 +149,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(bytes(LOWER), _MARKS).split()
 
 
+def windows(word: bytes, width: int, step: int) -> list[bytes]:
+    """Overlapping windows that hold every byte of a word, shorter at its end (4 bytes at least)."""
+    return [word[i:i + width] for i in range(0, max(1, len(word) - 3), step)]
+
+
+def pieces(words: list[bytes]) -> list[bytes]:
+    """The words, longer ones than MAX_WORD as their windows: a landmark anywhere
+    in them has a window that holds little else."""
+    if max(map(len, words), default=0) <= MAX_WORD:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= MAX_WORD else [p for width, step in WINDOWS for p in windows(w, width, step)])]
+
+
 class WordCache:
     """Kernel values of the words met so far; emptied when it holds LIMIT words."""
 
@@ -177,7 +193,7 @@ def sentence_values(cache: WordCache, texts: list[bytes]) -> tuple[np.ndarray, n
     ids = cache.ids
     word_ids, lens, doc_of = [], [], []
     for d, t in enumerate(texts):
-        for s in sentences(t):
+        for s in map(pieces, sentences(t)):
             word_ids.extend([ids.setdefault(w, len(ids)) for w in s])
             lens.append(len(s))
             doc_of.append(d)
@@ -202,7 +218,7 @@ def pick_landmarks(texts: list[bytes], toxic: np.ndarray, n: int = N_LANDMARKS)
     best log odds, preferring ones that mark toxic documents not yet marked."""
     found = []
     for t in texts:
-        words = set(words_of(t))
+        words = {p for w in words_of(t) for p in ([w] if len(w) <= MAX_WORD else windows(w, *WINDOWS[-1]))}
         found.append(words | {w[:k] for w in words for k in (4, 5, 6) if len(w) >= k})
     pos = Counter(s for f, y in zip(found, toxic, strict=True) if y for s in f)
     neg = Counter(s for f, y in zip(found, toxic, strict=True) if not y for s in f)
@@ -274,8 +290,10 @@ class Model:
         if not hasattr(self, "cache"):
             self.cache = WordCache(self.marks)
         margin = np.full(len(texts), self.bias)  # an all-zero sentence
-        doc_of, values = sentence_values(self.cache, texts)
-        np.maximum.at(margin, doc_of, values @ self.weights + self.bias)
+        offs = np.cumsum([0, *map(len, texts)])
+        for lo, hi in slices(offs):
+            doc_of, values = sentence_values(self.cache, texts[lo:hi])
+            np.maximum.at(margin, doc_of + lo, values @ self.weights + self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 

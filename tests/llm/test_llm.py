@@ -142,6 +142,20 @@ def test_toxicity_held_out(spark):
     assert got[1000].predicted == got[1001].predicted == 0 and got[1002].predicted == 1
 
 
+def test_toxicity_sees_all_of_a_long_word():
+    rng = random.Random(6)
+    words = ["lorem", "ipsum", "dolor", "amet", "tempor", "magna", "aliqua", "veniam", "nostrud"]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) + (rng.choice([" scumbag", " idiot"]) if i % 4 == 0 else "") for i in range(200)]
+    model = toxicity.fit([t.encode() for t in texts], [int(i % 4 == 0) for i in range(200)])
+    plain = "loremipsumdoloramettemporveniamnostrud"
+    for insult in ("scumbag", "idiot"):
+        for at in (26, 31, len(plain)):
+            clean, bad = model.scores([plain.encode(), (plain[:at] + insult + plain[at:]).encode()])
+            assert clean < 0.5 <= bad
+    chain = "lorem-ipsum,dolor/amet-tempor,magna-idiot"
+    assert model.scores([chain.encode()])[0] >= 0.5
+
+
 def test_ann_recall_and_ties(spark):
     import numpy as np
 
