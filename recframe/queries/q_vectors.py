@@ -49,7 +49,7 @@ def r04(spark, d):
 
 @query("j15_vector_topk_ivf")
 def j15(spark, d):
-    return rounded(V.vector_topk_ivf(j14_queries(spark, d), items(spark, d), 10, nlist=10, nprobe=3))
+    return rounded(V.vector_topk_ivf(j14_queries(spark, d), items(spark, d), 10, nlist=None, nprobe=None))
 
 
 @query("a31_list_diversity")

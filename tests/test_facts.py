@@ -140,3 +140,14 @@ def test_ivf_with_all_probes_equals_exact(spark):
     assert exact.exceptAll(ivf).count() == 0 and ivf.exceptAll(exact).count() == 0
     part = V.vector_topk_ivf(q, items, 5, nlist=4, nprobe=1)
     assert part.count() <= 50
+
+
+def test_ivf_recall_against_exact(spark):
+    from recframe.queries import q_vectors as Q
+    for d in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        exact = Q.j14(spark, d).select("query_id", "item_id")
+        found = Q.j15(spark, d).select("query_id", "item_id")
+        n = exact.count()
+        recall = exact.intersect(found).count() / n
+        print("recall", d, n, recall)
+        assert recall >= 0.9
