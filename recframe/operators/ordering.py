@@ -38,7 +38,7 @@ def _running(weight: str | None):
                 cs = pdf[weight].astype("float64").cumsum()
                 pdf["_lcum"] = cs - pdf[weight].astype("float64") + w
                 if m:
-                    w = float(cs.iloc[-1])
+                    w += float(cs.iloc[-1])
             yield pdf
     return fn
 

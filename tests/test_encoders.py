@@ -1,9 +1,11 @@
 """Encoder facts: vocabularies, bucketize, cyclical, z-score, quantiles."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recframe.operators import encoders as E
+from recframe.operators import ranking
 from recframe.operators.ordering import exact_quantiles, global_prefix
 
 
@@ -57,3 +59,29 @@ def test_exact_quantiles_and_global_index(spark):
         assert abs(got[q] - np.quantile(vals, q)) < 1e-12
     idx = [r._gidx for r in global_prefix(df, ["v", "id"], partitions=3).orderBy("v", "id").collect()]
     assert idx == list(range(len(vals)))
+
+
+@pytest.mark.parametrize("batch_rows", [100, 1000])
+def test_running_sums_over_many_arrow_batches(spark, batch_rows):
+    """Each partition holds five batches and more."""
+    rng = np.random.default_rng(5)
+    n = 24_000
+    score, label = rng.permutation(n) / n, rng.integers(0, 2, n)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        df = spark.createDataFrame(list(zip(score.tolist(), label.tolist(), range(n), strict=True)), "score double, label int, id long")
+        sums = global_prefix(df, ["score", "id"], weight="label", partitions=4).orderBy("score").select("_gidx", "_gcum").collect()
+        by_score = label[np.argsort(score)]
+        assert [r[0] for r in sums] == list(range(n))
+        assert [r[1] for r in sums] == (np.cumsum(by_score) - by_score).tolist()
+        qs = [0.1, 0.5, 0.9, 0.999]
+        got = {r.q: r.value for r in exact_quantiles(df, "score", qs).collect()}
+        assert all(abs(got[q] - np.quantile(score, q)) < 1e-12 for q in qs)
+        ranks = np.empty(n)
+        ranks[np.argsort(score)] = np.arange(1, n + 1)
+        pos = int(label.sum())
+        want = (ranks[label == 1].sum() - pos * (pos + 1) / 2) / (pos * (n - pos))
+        assert abs(ranking.auc(df, "score", "label").first()[0] - want) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
