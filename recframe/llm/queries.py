@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recframe.llm import ann, bpe, chat, decontaminate, license_scan, ngram_join, recompress, shard, suffix_dedup, toxicity
+from recframe.llm import (ann, bpe, chat, conversation_repair, decontaminate, filter_audit, license_scan, ngram_join, recompress, shard,
+                          suffix_dedup, toxicity, warc)
 from recframe.llm.common import table
 
 
@@ -57,10 +58,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontaminate, op2_collision_ann, op3_license_scan, op4_hypergeometric_shards, op5_recompression_dedup,
-              op6_toxicity, op7_byte_bpe, op8_perspective_rotation, op9_suffix_array_dedup, op10_ngram_jaccard_join)
+              op6_toxicity, op7_byte_bpe, op8_perspective_rotation, op9_suffix_array_dedup, op10_ngram_jaccard_join, op11_warc_transactions,
+              op12_filter_interactions, op13_conversation_repair)
 }
 
-SQL: dict[str, str] = {"op8_perspective_rotation": chat.SQL}
+SQL: dict[str, str] = {"op8_perspective_rotation": chat.SQL, "op11_warc_transactions": warc.SQL, "op12_filter_interactions": filter_audit.SQL,
+                       "op13_conversation_repair": conversation_repair.SQL}
