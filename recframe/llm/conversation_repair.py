@@ -452,12 +452,13 @@ damaged as (
          case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from hashed, lateral (select unnest(case when fate = 3 then [0, 1] else [0] end) as copy) where fate <> 0),
 placed as (
-  select *, row_number() over o as i, row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as again,
+  select *, row_number() over o as i,
          not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as ended,
          lag(substr(role, 1, 1)) over o || substr(role, 1, 1) as pair
   from damaged window o as (partition by conv_id order by turn nulls first, role, sha256(text))),
 faults as (
-  select *, case when blank or again then 2 when not ended then 1 else 0 end as kind from placed),
+  select *, case when blank or again then 2 when not ended then 1 else 0 end as kind
+  from (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from placed)),
 closure(p, q, k, names) as (values {", ".join(closure)}),
 steps(p, c, q) as (values {", ".join(steps)}),
 edits(p, q, c, letter, price, kind) as (
