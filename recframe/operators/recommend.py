@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recframe import constants as C
 from recframe.functions.scalar import blend_scores
+from recframe.sources.published import PublishedTable, key_bucket
 
 
 def recent_interactions(inter: DataFrame, limit: int = 50, user: str = "user_id", ts: str = "ts",
@@ -70,11 +71,12 @@ def multi_query_union(results: DataFrame, req: str = "user_id") -> DataFrame:
 
 
 def merge_summary(results: DataFrame, merged: DataFrame, req: str = "user_id") -> DataFrame:
-    """F04 counters: total candidates, unique merged, category coverage."""
+    """F04 counters per request: all candidates, candidates after the merge,
+    categories its queries asked for."""
     t = results.groupBy(req).agg(F.count(F.lit(1)).alias("total_candidates"),
                                  F.count_distinct("category").alias("category_coverage"))
     u = merged.groupBy(req).agg(F.count(F.lit(1)).alias("unique_candidates"))
-    return t.join(u, req, "left")
+    return t.join(u, req, "left").select(req, "total_candidates", F.coalesce("unique_candidates", F.lit(0)).alias("unique_candidates"), "category_coverage")
 
 
 def rank_window(req: str) -> Window:
@@ -188,8 +190,25 @@ def retrieve_candidates(topk: DataFrame, num_candidates: int, excluded: DataFram
                         req: str = "query_id") -> DataFrame:
     """Drop excluded (per request) and blocked items and items
     failing the business rules (``passes`` = allowed item ids), keep the best
-    ``num_candidates``; ``num_filtered`` counts dropped items ranked before
-    the last kept one (the reference stops scanning at the quota)."""
+    ``num_candidates``.  ``num_filtered`` (on every kept row): how many of the
+    request's items were dropped before the quota was reached, all of them if
+    it was not."""
+    seen = _scanned(topk, num_candidates, excluded, blocked, passes, req)
+    w = Window.partitionBy(req).orderBy(F.col("score").desc(), F.col("item_id").asc())
+    return (seen.withColumn("num_filtered", F.sum(F.col("_drop").cast("long")).over(Window.partitionBy(req)))
+            .where(~F.col("_drop")).withColumn("candidate_rank", F.row_number().over(w)).drop("_drop"))
+
+
+def retrieval_counts(topk: DataFrame, num_candidates: int, excluded: DataFrame | None = None,
+                     blocked: DataFrame | None = None, passes: DataFrame | None = None, req: str = "query_id") -> DataFrame:
+    """J16 counters: kept and filtered items of every request, also of those that keep none."""
+    seen = _scanned(topk, num_candidates, excluded, blocked, passes, req)
+    return seen.groupBy(req).agg(F.count(F.when(~F.col("_drop"), 1)).alias("num_candidates"), F.count(F.when(F.col("_drop"), 1)).alias("num_filtered"))
+
+
+def _scanned(topk: DataFrame, num_candidates: int, excluded: DataFrame | None, blocked: DataFrame | None,
+             passes: DataFrame | None, req: str) -> DataFrame:
+    """Items in score order up to the one that fills the quota, with ``_drop``."""
     t = topk.withColumn("_drop", F.lit(False))
     if excluded is not None:
         ex = excluded.select(F.col(excluded.columns[0]).alias("_xr"), F.col(excluded.columns[1]).alias("_xi")).distinct()
@@ -203,9 +222,25 @@ def retrieve_candidates(topk: DataFrame, num_candidates: int, excluded: DataFram
         t = t.join(p, t.item_id == p._pi, "left").withColumn(
             "_drop", F.col("_drop") | F.col("_ok").isNull()).drop("_pi", "_ok")
     w = Window.partitionBy(req).orderBy(F.col("score").desc(), F.col("item_id").asc())
-    kept = t.where(~F.col("_drop")).withColumn("candidate_rank", F.row_number().over(w)).where(
-        F.col("candidate_rank") <= num_candidates)
-    return kept.drop("_drop")
+    before = F.coalesce(F.sum((~F.col("_drop")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return t.withColumn("_kept", before).where(F.col("_kept") < num_candidates).drop("_kept")
+
+
+def store_recommendations(table: PublishedTable, recs: DataFrame, user: str = "user_id", buckets: int = 16) -> int:
+    """The lists of the users in ``recs`` replace the ones stored for them,
+    as the next version of ``table``; other users keep theirs."""
+    new = recs.withColumn("bucket", key_bucket(user, buckets))
+    stored = table.read()
+    if stored is None:
+        return table.publish(new, ["bucket"])
+    kept = stored.join(new.select(user).distinct(), user, "left_anti")
+    return table.publish(kept.unionByName(new), ["bucket"])
+
+
+def stored_recommendations(table: PublishedTable, now, ttl_minutes: int = 60, ts: str = "ts") -> DataFrame:
+    """The stored lists that are no older than their time to live."""
+    live = F.col(ts) >= F.lit(now) - F.expr(f"INTERVAL {int(ttl_minutes)} MINUTES")
+    return table.read().where(live).drop("bucket")
 
 
 def request_cap(requested: Column, default: int = 20, cap: int = 100) -> Column:

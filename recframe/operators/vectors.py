@@ -1,10 +1,10 @@
 """Vector operators.
 
-Exact top-k (J14): the query matrix is broadcast in chunks whose size is
-checked (``max_broadcast_bytes``); items stay partitioned and are scored
-blockwise with numpy inside ``mapInPandas``.  Each block keeps every item at
-or above its k-th score (ties kept), and a final ``row_number() <= k`` per
-query (planned as a WindowGroupLimit) makes the result exact.
+Exact top-k (J14) is a block-pair matrix join: queries and items are dealt to
+blocks of bounded bytes by a hash, every query block meets every item block in
+one cogroup, the pair is multiplied in tiles of bounded bytes, and a final
+``row_number() <= k`` per query (planned as a WindowGroupLimit) merges the
+blocks' best.  Nothing goes through the driver but the two row counts.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPS = 1e-8
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+#: Bytes of float64 vectors in one block, and of scores in one tile.
+BLOCK_BYTES, TILE_BYTES = 16 << 20, 16 << 20
+#: Scores closer than this to the cut are computed again term by term, so that equal vectors tie exactly.
+MARGIN = 1e-9
 #: Recall that the IVF search aims at, above the 0.9 asked for, and the items it is measured on.
 IVF_RECALL, IVF_SAMPLE = 0.95, 200
 
@@ -53,56 +57,67 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + EPS)
 
 
-def _block_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
-    def fn(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf[id_col].to_numpy()
-            x = _unit(_as_matrix(pdf[vec_col]))
-            s = qmat @ x.T  # (queries, items in block)
-            kk = min(k, s.shape[1])
-            kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1:kk]  # k-th largest per query
-            qi, ii = np.nonzero(s >= kth)  # ties at the cut are kept
-            yield pd.DataFrame({"query_id": qids[qi], "item_id": ids[ii], "score": s[qi, ii]})
+def _vectors(table: pa.Table, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of one block."""
+    col = table.column(vec_col).combine_chunks()
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return table.column(id_col).to_numpy(), _unit(flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0)))
+
+
+def _tile_topk(k: int, tile_bytes: int, out: pa.Schema):
+    """Best k items (score desc, id asc) of an item block for each query of a query block."""
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return out.empty_table()
+        qids, q = _vectors(left, "query_id", "_qv")
+        iids, x = _vectors(right.sort_by("item_id"), "item_id", "_iv")  # position = id order
+        kk, rows = min(k, len(iids)), max(1, tile_bytes // (8 * len(iids)))
+        step = max(1, tile_bytes // (16 * q.shape[1]))
+        parts = []
+        for lo in range(0, len(qids), rows):
+            s = q[lo:lo + rows] @ x.T
+            kth = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+            qi, ii = np.nonzero(s >= kth[:, None] - MARGIN)
+            score = np.empty(len(qi))
+            for at in range(0, len(qi), step):  # a sum over one row adds in the same order for every row
+                score[at:at + step] = (q[qi[at:at + step] + lo] * x[ii[at:at + step]]).sum(axis=1)
+            order = np.lexsort((ii, -score, qi))
+            qi, ii, score = qi[order], ii[order], score[order]
+            keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < kk
+            parts.append((qi[keep] + lo, ii[keep], score[keep]))
+        qi, ii, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.Table.from_arrays([pa.array(qids[qi], out.field(0).type), pa.array(iids[ii], out.field(1).type), pa.array(score)], schema=out)
     return fn
 
 
 def vector_topk_exact(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id",
                       q_vec: str = "embedding", i_id: str = "id", i_vec: str = "embedding",
-                      max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                      block_bytes: int = BLOCK_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Cosine top-k items per query (score desc, item id asc).
 
-    Returns (query_id, item_id, score, rank)."""
-    spark = items.sparkSession
-    dim = len(items.select(i_vec).first()[0])
-    per_query = dim * 8 + 64
-    n_q = queries.count()
-    chunk = max(1, max_broadcast_bytes // per_query)
-    qtype = queries.schema[q_id].dataType
-    itype = items.schema[i_id].dataType
-    schema = T.StructType([T.StructField("query_id", qtype), T.StructField("item_id", itype),
+    Returns (query_id, item_id, score, rank).  With Q query and I item blocks a
+    query is sent to I cogroups and an item to Q, so the exchange carries
+    queries × I + items × Q vectors, and each task holds two blocks and a tile
+    whatever the tables' sizes.  Null vectors take no part; equal rows
+    (repeated id and vector) share a block."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    q = queries.where(F.col(q_vec).isNotNull()).select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("_qv"))
+    i = items.where(F.col(i_vec).isNotNull()).select(F.col(i_id).alias("item_id"), F.col(i_vec).alias("_iv"))
+    n_q = q.count()
+    n_i, dim = i.agg(F.count(F.lit(1)), F.max(F.size("_iv"))).first()
+    per_block = max(1, block_bytes // (8 * (dim or 1)))
+    q_blocks, i_blocks = max(1, -(-n_q // per_block)), max(1, -(-n_i // per_block))
+    qs = q.select("*", F.pmod(F.xxhash64("query_id", "_qv"), F.lit(q_blocks)).alias("_qb"),
+                  F.explode(F.sequence(F.lit(0).cast("long"), F.lit(i_blocks - 1).cast("long"))).alias("_ib"))
+    its = i.select("*", F.pmod(F.xxhash64("item_id", "_iv"), F.lit(i_blocks)).alias("_ib"),
+                   F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("_qb"))
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("item_id", i.schema["item_id"].dataType),
                            T.StructField("score", T.DoubleType())])
-    # queries are read in bounded chunks (each ≤ max_broadcast_bytes), numbered
-    # by an exact global order so each chunk is a range filter
-    from recframe.operators.ordering import global_prefix
-    qn = global_prefix(queries.select(q_id, q_vec), [q_id]) if n_q > chunk else queries.select(
-        q_id, q_vec, F.lit(0).cast("long").alias("_gidx"))
-    parts = []
-    for start in range(0, max(n_q, 1), chunk):
-        rows = qn.where((F.col("_gidx") >= start) & (F.col("_gidx") < start + chunk)).select(q_id, q_vec).collect()
-        if not rows:
-            continue
-        qids = np.array([r[0] for r in rows])
-        qmat = _unit(np.vstack([np.asarray(r[1], dtype=np.float64) for r in rows]))
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        qids_b, qmat_b = bq.value
-        parts.append(items.select(i_id, i_vec).mapInPandas(_block_topk(qids_b, qmat_b, k, i_id, i_vec), schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    best = (qs.groupBy("_qb", "_ib").cogroup(its.groupBy("_qb", "_ib"))
+            .applyInArrow(_tile_topk(k, tile_bytes, to_arrow_schema(schema)), schema))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def similar_items(items: DataFrame, k: int, i_id: str = "id", i_vec: str = "embedding") -> DataFrame:
@@ -197,21 +212,29 @@ def list_diversity(lists: DataFrame, vectors: DataFrame, list_col: str = "query_
 
 
 def in_batch_loss(pairs: DataFrame, temperature: float = 0.05, batch: str = "batch_id", pos: str = "pos",
-                  u: str = "u", v: str = "v") -> DataFrame:
+                  u: str = "u", v: str = "v", tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Per batch, mean softmax cross-entropy of u_i·v_j / T against the
-    diagonal, and top-1 accuracy (argmax, lowest index on ties)."""
-    left = pairs.select(batch, F.col(pos).alias("_i"), F.col(u).alias("_u"))
-    right = pairs.select(batch, F.col(pos).alias("_j"), F.col(v).alias("_v"))
-    s = left.join(right, batch).select(batch, "_i", "_j", (dot("_u", "_v") / temperature).alias("_s"))
-    per_i = s.groupBy(batch, "_i").agg(
-        F.max("_s").alias("_m"),
-        F.max(F.when(F.col("_i") == F.col("_j"), F.col("_s"))).alias("_sii"),
-        F.min(F.struct((-F.col("_s")).alias("ns"), F.col("_j").alias("j"))).alias("_best"),
-        F.collect_list("_s").alias("_all"))
-    lse = F.col("_m") + F.log(F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m"))))
-    per_i = per_i.select(batch, (lse - F.col("_sii")).alias("_loss"),
-                         (F.col("_best.j") == F.col("_i")).cast("double").alias("_hit"))
-    return per_i.groupBy(batch).agg(F.avg("_loss").alias("loss"), F.avg("_hit").alias("accuracy"))
+    diagonal, and top-1 accuracy (argmax, lowest index on ties).
+
+    One batch is one group (a training batch, bounded by definition); its logits
+    are computed in tiles of rows, so memory is the batch's vectors and a tile."""
+    schema = T.StructType([pairs.schema[batch], T.StructField("loss", T.DoubleType()), T.StructField("accuracy", T.DoubleType())])
+
+    def fn(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column(pos).to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        left, right = (np.asarray(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(table), -1) for c in (u, v))
+        loss, hits = 0.0, 0
+        rows = max(1, tile_bytes // (8 * len(table)))
+        for lo in range(0, len(table), rows):
+            s = left[lo:lo + rows] @ right.T / temperature
+            at = np.arange(len(s))
+            top = s.max(axis=1)
+            loss += float((top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - s[at, at + lo]).sum())
+            hits += int((s.argmax(axis=1) == at + lo).sum())
+        return pa.table({batch: table.column(batch).slice(0, 1), "loss": [loss / len(table)], "accuracy": [hits / len(table)]})
+
+    return pairs.select(batch, pos, u, v).groupBy(batch).applyInArrow(fn, schema)
 
 
 def embedding_lookup(df: DataFrame, key: str, table: DataFrame, t_id: str = "id", t_vec: str = "embedding",

@@ -17,6 +17,7 @@ from recframe.operators import sampling as S
 from recframe.queries.common import query, rounded
 from recframe.sources import adapters as A
 from recframe.sources import io as IO
+from recframe.sources.published import PublishedTable
 
 
 @query("s01_load_entity")
@@ -82,7 +83,7 @@ def s08(spark, d):
 def s09(spark, d):
     p = IO.scratch_dir(spark, "s09")
     IO.write_partitioned_by_day(A.feedback(spark, d), p, "ts")
-    return spark.read.parquet(p).where("day = 15")
+    return spark.read.parquet(p)
 
 
 @query("s10_write_split_set")
@@ -106,13 +107,17 @@ def _profile(spark, d, day_lo, day_hi):
 
 @query("s12_feature_store_upsert")
 def s12(spark, d):
+    """The stored table, an update published as its next version, read back."""
     u = A.users(spark, d)
     cur = u.select(F.col("id").alias("user_id"), "country_code", "age", F.lit(dt.datetime(2024, 1, 1)).alias("updated_at"))
     upd = u.where(F.col("id") % 4 == 0).select(F.col("id").alias("user_id"), F.lit("XX").alias("country_code"),
                                                 (F.col("age") + 1).alias("age"),
                                                 F.when(F.col("id") % 8 == 0, F.lit(dt.datetime(2024, 1, 2)))
                                                 .otherwise(F.lit(dt.datetime(2023, 12, 31))).alias("updated_at"))
-    return IO.feature_store_upsert(cur, upd, "user_id")
+    table = PublishedTable(spark, IO.scratch_dir(spark, "s12"))
+    IO.publish_upsert(table, cur, "user_id")
+    IO.publish_upsert(table, upd, "user_id")
+    return table.read().select("user_id", "country_code", "age", "updated_at")
 
 
 @query("s13_feature_store_read")
@@ -181,8 +186,12 @@ def s17(spark, d):
 
 @query("s18_video_catalog_publish")
 def s18(spark, d):
-    out = IO.catalog_publish(A.videos(spark, d).select("id", "category"), A.item_vectors(spark, d), "v7")
-    return out.select("id", "category", F.col("embedding").isNotNull().alias("has_embedding"), "model_version")
+    """Two versions published, the current one read back."""
+    table = PublishedTable(spark, IO.scratch_dir(spark, "s18"))
+    v, e = A.videos(spark, d).select("id", "category"), A.item_vectors(spark, d)
+    IO.catalog_publish(v, e, "v6", table)
+    IO.catalog_publish(v, e, "v7", table)
+    return table.read().select("id", "category", F.col("embedding").isNotNull().alias("has_embedding"), "model_version")
 
 
 @query("s20_baseline_store")
@@ -220,4 +229,7 @@ def s23(spark, d):
     split = dt.datetime(2024, 1, 16)
     cur = last(o.where(F.col("ts") < split)).withColumnRenamed("feedback_timestamp", "updated_at")
     upd = last(o.where(F.col("ts") >= split)).withColumnRenamed("feedback_timestamp", "updated_at")
-    return IO.feature_store_upsert(cur.drop("event_id"), upd.drop("event_id"), "user_id")
+    table = PublishedTable(spark, IO.scratch_dir(spark, "s23"))
+    IO.publish_upsert(table, cur.drop("event_id"), "user_id")
+    IO.publish_upsert(table, upd.drop("event_id"), "user_id")
+    return table.read().select("user_id", "updated_at", "video_id", "interaction_type")

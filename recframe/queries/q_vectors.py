@@ -11,7 +11,10 @@ from recframe.operators import filters as FL
 from recframe.operators import recommend as RC
 from recframe.operators import vectors as V
 from recframe.queries.common import query, rounded
+from recframe.session import cut_lineage
 from recframe.sources import adapters as A
+from recframe.sources import io as IO
+from recframe.sources.published import PublishedTable
 
 
 def items(spark, d):
@@ -19,7 +22,7 @@ def items(spark, d):
 
 
 def j14_queries(spark, d):
-    return items(spark, d).where(F.col("id") % 10 == 0).select(F.col("id").alias("query_id"), "embedding")
+    return items(spark, d).select(F.col("id").alias("query_id"), "embedding")
 
 
 def topk(spark, d, k=10):
@@ -151,6 +154,12 @@ def f04(spark, d):
     return rounded(RC.merge_query_scores(context_results(spark, d), 30))
 
 
+@query("f04_merge_summary")
+def f04_summary(spark, d):
+    results = cut_lineage(context_results(spark, d))  # the merge and its counters read one search
+    return RC.merge_summary(results, RC.merge_query_scores(results, 30))
+
+
 @query("u06_multi_query_union")
 def u06(spark, d):
     return RC.multi_query_union(context_results(spark, d))
@@ -205,14 +214,22 @@ def _exclusions(spark, d):
     return o.where(F.col("interaction_type") == "complete").select("user_id", "video_id")
 
 
-@query("j16_retrieve_candidates")
-def j16(spark, d):
-    t = topk(spark, d, 20)  # 2 × num_candidates (K05 over-fetch)
+def _retrieval(spark, d):
     it = items(spark, d)
-    passes = FL.business_rules(it.withColumnRenamed("category", "category"), ["Cat9"]).select("id")
+    passes = FL.business_rules(it, ["Cat9"]).select("id")
     blocked = it.where(F.col("id") % 50 == 1).select("id")
     ex = _exclusions(spark, d).select(F.col("user_id").alias("query_id"), F.col("video_id").alias("item_id"))
-    return rounded(RC.retrieve_candidates(t, 10, ex, blocked, passes).select("query_id", "item_id", "score", "candidate_rank"))
+    return topk(spark, d, 20), 10, ex, blocked, passes  # 2 × num_candidates (K05 over-fetch)
+
+
+@query("j16_retrieve_candidates")
+def j16(spark, d):
+    return rounded(RC.retrieve_candidates(*_retrieval(spark, d)).select("query_id", "item_id", "score", "candidate_rank", "num_filtered"))
+
+
+@query("j16_retrieval_counts")
+def j16_counts(spark, d):
+    return RC.retrieval_counts(*_retrieval(spark, d))
 
 
 @query("j17_retrieve_batch")
@@ -278,12 +295,14 @@ def r02(spark, d):
 
 @query("r03_precomputed_recs")
 def r03(spark, d):
+    """Recommendations stored as a published table, read back while they live."""
     now = dt.datetime(2024, 1, 31, 12)
     recs = RC.merge_query_scores(context_results(spark, d), 10)
-    table = recs.select("user_id", "rank", "video_id", F.coalesce("merged_score", F.lit(1.0)).alias("score"),
-                        (F.lit(now) - F.expr("INTERVAL 1 MINUTE") * (F.col("user_id") % 90)).alias("ts"))
-    live = table.where(F.col("ts") >= F.lit(now) - F.expr("INTERVAL 60 MINUTES"))
-    return rounded(live)
+    rows = recs.select("user_id", "rank", "video_id", F.coalesce("merged_score", F.lit(1.0)).alias("score"),
+                       (F.lit(now) - F.expr("INTERVAL 1 MINUTE") * (F.col("user_id") % 90)).alias("ts"))
+    table = PublishedTable(spark, IO.scratch_dir(spark, "r03"))
+    RC.store_recommendations(table, rows)
+    return rounded(RC.stored_recommendations(table, now, ttl_minutes=60))
 
 
 @query("r01_recommend_batch")

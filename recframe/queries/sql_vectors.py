@@ -16,11 +16,11 @@ def topk_sql(qsrc: str, k: int) -> str:
               from {qsrc} q, items i)) where rank <= {k})"""
 
 
-Q10 = "(select id as query_id, embedding from items where id % 10 = 0)"
+QALL = "(select id as query_id, embedding from items)"
 
 RANKED30 = f"""
 rl AS (select t.query_id as request_id, t.item_id as video_id, t.score, t.rank, i.category
-       from {topk_sql(Q10, 30)} t join items i on t.item_id = i.id)"""
+       from {topk_sql(QALL, 30)} t join items i on t.item_id = i.id)"""
 
 CTX = """
 owc AS (select o.*, i.category from online o left join items i on o.video_id = i.id),
@@ -77,13 +77,23 @@ def mmr(src: str, n: int, w: float, score: str = "score") -> str:
       where cnt <= {n} or final_rank <= {n})"""
 
 
+SCANNED = f"""WITH t AS {topk_sql(QALL, 20)},
+        f AS (select t.*, t.item_id % 50 = 1 or coalesce(i.category, '') in ('Cat9') or exists (
+                select 1 from online o where o.interaction_type = 'complete' and o.user_id = t.query_id and o.video_id = t.item_id) as drop
+              from t join items i on t.item_id = i.id),
+        scanned AS (select * from (
+          select *, coalesce(sum(case when drop then 0 else 1 end) over (partition by query_id order by score desc, item_id
+                                                                         rows between unbounded preceding and 1 preceding), 0) as kept from f)
+          where kept < 10)"""
+
+
 SQL = {
-    "j14_vector_topk_exact": vw(f"select query_id, item_id, round(score, 6) as score, rank from {topk_sql(Q10, 10)}"),
+    "j14_vector_topk_exact": vw(f"select query_id, item_id, round(score, 6) as score, rank from {topk_sql(QALL, 10)}"),
     "k01_global_topk": vw(f"select item_id, round(score, 6) as score, rank from {topk_sql('(select id as query_id, embedding from items where id = 0)', 10)}"),
     "r04_similar_items": vw(f"""select query_id, item_id, round(score, 6) as score, rank from (
         select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank
-        from {topk_sql('(select id as query_id, embedding from items)', 6)} where query_id <> item_id) where rank <= 5"""),
-    "a31_list_diversity": vw(f"""WITH t AS {topk_sql(Q10, 10)},
+        from {topk_sql(QALL, 6)} where query_id <> item_id) where rank <= 5"""),
+    "a31_list_diversity": vw(f"""WITH t AS {topk_sql(QALL, 10)},
         u AS (select t.query_id, t.item_id, {unit('i.embedding')} as u from t join items i on t.item_id = i.id),
         dims AS (select query_id, d, sum(x) as s from (select query_id, generate_subscripts(u, 1) as d, unnest(u) as x from u) group by all),
         tot AS (select query_id, sum(s * s) as ss from dims group by query_id),
@@ -119,6 +129,8 @@ SQL = {
     "w04_recent_categories": cw("select user_id, category, category_rank from rcat"),
     "f05_query_contexts": cw("select * from ctx"),
     "f04_merge_query_scores": cw("select user_id, video_id, round(merged_score, 6) as merged_score, hits, sources, rank from merged"),
+    "f04_merge_summary": cw("""select c.user_id, count(*) as total_candidates, any_value(m.n) as unique_candidates, count(distinct c.category) as category_coverage
+        from cres c left join (select user_id, count(*) as n from merged group by user_id) m using (user_id) group by c.user_id"""),
     "u06_multi_query_union": cw("select user_id, video_id, list(query_id order by query_index, query_id) as sources from cres group by all"),
     "w06_mmr_by_category": vw(f"WITH {RANKED30} select request_id, video_id, final_rank from {mmr('rl', 10, 0.1)}"),
     "w07_diversity_sample": vw(f"""WITH {RANKED30},
@@ -151,18 +163,17 @@ SQL = {
         bl AS (select request_id, video_id, category, {blend(False)} as score,
                       row_number() over (partition by request_id order by {blend(False)} desc, video_id) as rank from sc)
         select request_id, video_id, round(score, 6) as score, final_rank from {mmr('bl', 10, 0.1)}""", "items", "videos"),
-    "j16_retrieve_candidates": with_views(f"""WITH t AS {topk_sql(Q10, 20)},
-        k AS (select t.* from t join items i on t.item_id = i.id
-              where not exists (select 1 from online o where o.interaction_type = 'complete' and o.user_id = t.query_id and o.video_id = t.item_id)
-                and t.item_id % 50 <> 1 and coalesce(i.category, '') not in ('Cat9'))
-        select query_id, item_id, round(score, 6) as score, candidate_rank from (
-          select *, row_number() over (partition by query_id order by score desc, item_id) as candidate_rank from k)
-        where candidate_rank <= 10""", "items", "online"),
-    "j17_retrieve_batch": vw(f"""WITH t AS {topk_sql(Q10, 20)}
+    "j16_retrieve_candidates": with_views(f"""{SCANNED}
+        select query_id, item_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, item_id) as candidate_rank, num_filtered
+        from (select *, count(*) filter (where drop) over (partition by query_id) as num_filtered from scanned) where not drop""", "items", "online"),
+    "j16_retrieval_counts": with_views(f"""{SCANNED}
+        select query_id, count(*) filter (where not drop) as num_candidates, count(*) filter (where drop) as num_filtered
+        from scanned group by query_id""", "items", "online"),
+    "j17_retrieve_batch": vw(f"""WITH t AS {topk_sql(QALL, 20)}
         select query_id, item_id, round(score, 6) as score, candidate_rank from (
           select *, row_number() over (partition by query_id order by score desc, item_id) as candidate_rank from t where item_id % 50 <> 1)
         where candidate_rank <= 10"""),
-    "k05_over_fetch": vw(f"select query_id, item_id, rank from {topk_sql(Q10, 20)}"),
+    "k05_over_fetch": vw(f"select query_id, item_id, rank from {topk_sql(QALL, 20)}"),
     "k04_request_cap": with_views("""select id, least(coalesce(case when id % 3 = 0 then null else cast(id % 250 as int) end, 20), 100) as num_results
         from users""", "users"),
     "j12_candidate_enrich": with_views(f"""WITH {CTX}

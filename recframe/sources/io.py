@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import uuid
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from pyspark.sql import types as T
 
 from recframe.session import checkpoint_dir
 
+if TYPE_CHECKING:
+    from recframe.sources.published import PublishedTable
+
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json"}
 
 
@@ -162,6 +166,18 @@ def feature_store_upsert(current: DataFrame | None, updates: DataFrame, key: str
     return best.select(key, *[F.col(f"_b.{c}").alias(c) for c in payload if c != "_src"])
 
 
+def publish_upsert(table: PublishedTable, updates: DataFrame, key: str, updated_at: str = "updated_at", buckets: int = 16) -> int:
+    """``feature_store_upsert`` into a published table of ``buckets``
+    key partitions; buckets without an update are not rewritten.  A stored row
+    with a later ``updated_at`` than its update stays."""
+    from recframe.sources.published import key_bucket
+    upd = updates.withColumn("bucket", key_bucket(key, buckets))
+    stored = table.read()
+    if stored is not None:
+        upd = feature_store_upsert(stored.join(upd.select(key).distinct(), key, "left_semi"), upd, key, updated_at)
+    return table.upsert(upd.select(*updates.columns, "bucket"), [key], [updated_at], ["bucket"])
+
+
 def feature_store_read(features: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Features of the given ids; missing ids are omitted (semi join)."""
     return features.join(ids.select(key).distinct(), key, "left_semi")
@@ -190,13 +206,14 @@ def sharded_export(df: DataFrame, path: str, records_per_shard: int) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", records_per_shard).parquet(path)
 
 
-def catalog_publish(videos: DataFrame, embeddings: DataFrame, version: str, path: str | None = None,
+def catalog_publish(videos: DataFrame, embeddings: DataFrame, version: str, table: PublishedTable | None = None,
                     id_col: str = "id") -> DataFrame:
-    """Catalogue ⟕ embeddings + model version (published when ``path``)."""
+    """Catalogue ⟕ embeddings + model version, published as the next
+    version of ``table``."""
     e = embeddings.select(F.col("id").alias(id_col), F.col("embedding"))
     out = videos.join(e, id_col, "left").withColumn("model_version", F.lit(version))
-    if path:
-        out.write.mode("overwrite").parquet(path)
+    if table is not None:
+        table.publish(out, meta={"model_version": version})
     return out
 
 
