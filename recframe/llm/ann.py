@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 K = 20
 QUERY_STEP = 20
-LINES = 64
+LINES = 128
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 1_024
 #: First half width of a window, its growth, and the share of lines that must collide.
 START, RATIO, ROUNDS = 1.0, 1.25, 8
-THRESHOLD = 0.75
+THRESHOLD = 0.6
 #: A round ends the search once it has K + this share of the shard as candidates.
-ENOUGH = 0.15
+ENOUGH = 0.25
 
 
 def lines(dim: int, m: int = LINES, seed: int = 5) -> np.ndarray:
@@ -131,7 +131,6 @@ def _usable(vec: str) -> Column:
 def nearest(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: the registered query."""
     spark = embeddings.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).where(_usable("vec"))
     sizes = v.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % query_step == 0).cast("long")).alias("q"),
                                                       F.max(F.expr("sqrt(aggregate(vec, 0D, (a, x) -> a + x * x))")).alias("norm"))

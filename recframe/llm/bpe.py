@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recframe.llm.common import blocks, frugal, small_batches, text_bytes
+from recframe.llm.common import blocks, frugal, text_bytes, written_small
 
 #: Characters of text handed to the library at once.
 PIECE_CHARS = 1 << 16
@@ -76,9 +76,8 @@ def tokenize(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             ids = [encode(enc, t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return written_small(d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>"))
 
 
 def detokenize(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -129,7 +128,6 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = F
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    small_batches(docs.sparkSession)
     d = docs.select("doc_id", text_bytes().alias("raw"))
     ids = ", ids array<int>" if with_ids else ""
-    return d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")
+    return written_small(d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}"))

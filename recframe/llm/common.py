@@ -3,8 +3,11 @@ arrays, word positions and rolling fingerprints, and bucketed text tables."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +30,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python tasks receive, in rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the Arrow batches that Python tasks receive, in rows and bytes, for
+    what is written inside; the session's own settings hold again afterwards."""
+    mine = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in mine}
+    try:
+        for k, v in mine.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def written_small(df: DataFrame) -> DataFrame:
+    """``written`` with small Arrow batches."""
+    with small_batches(df.sparkSession):
+        return written(df)
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    """glibc, told once to take arrays of 1 MB and more from the system and give them back when freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def hand_back() -> None:
+    """Return unused memory: Spark keeps Python workers for later tasks, with all that they hold."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``, handing unused Arrow memory back as it goes:
-    Spark keeps Python workers for later tasks, with all that they hold."""
+    """``run`` for ``mapInArrow``, handing unused memory back as it goes."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         for out in run(batches):
             yield out
             del out
             pa.default_memory_pool().release_unused()
-        pa.default_memory_pool().release_unused()
+        hand_back()
     return task
 
 
 def frugal_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """The same for ``applyInArrow``."""
     def task(part: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        hand_back()
         return run(part)
     return task
 
@@ -56,7 +95,7 @@ def frugal_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa
 def frugal_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The same for ``applyInArrow`` of two tables."""
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        hand_back()
         return run(left, right)
     return task
 

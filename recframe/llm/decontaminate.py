@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import (ALNUM_WORD, LOWER, alnum_words, blocks, flat, frugal, merge_intervals, small_batches, span_hashes,
-                                 text_bytes, word_spans)
+from recframe.llm.common import (ALNUM_WORD, LOWER, alnum_words, blocks, flat, frugal, merge_intervals, span_hashes,
+                                 text_bytes, word_spans, written_small)
 from recframe.llm.suffix import suffix_array
 
 WINDOW = 13
@@ -234,7 +234,6 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carr
     ``found``: n_words, merged spans of contaminated words, and the item_ids that
     occur."""
     spark = docs.sparkSession
-    small_batches(spark)
     row = F.struct(*(carry or docs.columns)).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
     out = docs.select(row, F.lit(None).cast(_FOUND_SQL).alias("found"), text_bytes().alias("raw"))
@@ -283,10 +282,10 @@ def is_contaminated():
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The registered query."""
     found = find_spans(docs, benchmark, carry=["doc_id"])
-    return found.select("row.doc_id", "found.n_words", n_hit().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
-                        F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+    return written_small(found.select("row.doc_id", "found.n_words", n_hit().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+                                      F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the documents that are not contaminated."""
-    return find_spans(docs, benchmark).where(~is_contaminated()).select("row.*")
+    return written_small(find_spans(docs, benchmark).where(~is_contaminated()).select("row.*"))

@@ -15,13 +15,15 @@ ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recframe.llm.common import alnum_words, small_batches, text_bytes
+from recframe.llm.common import alnum_words, frugal, text_bytes, written_small
 from recframe.llm.license_rules import ANCHORS, BASE, RULES, Rule
 
 
@@ -39,23 +41,51 @@ def detect(text: bytes, rules: tuple[Rule, ...] = RULES) -> list[Detection]:
     """All matches of all rules of a normalised text, in rule order."""
     if not any(a in text for a in ANCHORS):
         return []
+    starts: np.ndarray | None = None
     out = []
     for rule in rules:
         if rule.keyword in text:
-            for m in rule.regex.finditer(text):
-                first = text.count(b" ", 0, m.start())
-                out.append(Detection(first, first + m.group().count(b" "), rule))
+            places = [m.span() for m in rule.regex.finditer(text)]
+            if places:
+                if starts is None:  # the space before each word
+                    starts = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+                words = np.searchsorted(starts, np.array(places)).tolist()
+                out += [Detection(first, last, rule) for first, last in words]
     return out
 
 
+class _Reach:
+    """Largest interval end among those that start at or before a place (a
+    Fenwick tree of maxima over the starts that occur)."""
+
+    def __init__(self, firsts: list[int]):
+        self.firsts = sorted(set(firsts))
+        self.tree = [-1] * (len(self.firsts) + 1)
+
+    def add(self, first: int, last: int) -> None:
+        i = bisect_left(self.firsts, first) + 1
+        while i < len(self.tree):
+            self.tree[i] = max(self.tree[i], last)
+            i += i & -i
+
+    def until(self, first: int) -> int:
+        i, best = bisect_right(self.firsts, first), -1
+        while i:
+            best = max(best, self.tree[i])
+            i -= i & -i
+        return best
+
+
 def resolve(found: list[Detection]) -> list[Detection]:
     """Drop detections contained in a kept one of higher or equal rank.
 
     ``found`` is ordered by rule; within one priority longer intervals go first."""
     kept: list[Detection] = []
+    reach = _Reach([d.first for d in found])
     for d in sorted(found, key=lambda d: (-d.rule.priority, d.first - d.last, d.first, d.rule.name)):
-        if not any(k.first <= d.first and d.last <= k.last for k in kept):
+        if reach.until(d.first) < d.last:  # no kept interval starts before it and ends after it
             kept.append(d)
+            reach.add(d.first, d.last)
     return kept
 
 
@@ -82,6 +112,10 @@ _SPANS = "array<struct<rule:string,label:string,first_word:int,end_word:int>>"
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, the digest columns and the kept detections of each document."""
+    return written_small(_scan(docs))
+
+
+def _scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [scan_text(t or b"") for t in b.column("raw").to_pylist()]
@@ -93,14 +127,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols[:7], kinds, strict=True)), pa.array(spans, kind)],
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"])
 
-    small_batches(docs.sparkSession)
     d = docs.select("doc_id", text_bytes().alias("raw"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {_DIGEST}, detections {_SPANS}")
+    return d.mapInArrow(frugal(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {_DIGEST}, detections {_SPANS}")
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
     """The registered query."""
-    return scan(docs).drop("detections")
+    return written_small(_scan(docs).drop("detections"))
 
 
 __all__ = ["BASE", "Detection", "detect", "license_digest", "resolve", "scan", "scan_text"]

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recframe.llm.common import (PACKED, SPACE_WORD, Roller, buckets_for, flat, has_key, id_or_least, merge_intervals, mix, pack,
-                                 packed_table, row_key, shared_keys, small_batches, span_hashes, text_bytes, total_bytes, unpack,
+                                 packed_table, row_key, shared_keys, span_hashes, text_bytes, total_bytes, unpack,
                                  window_hashes, word_spans)
 
 WINDOW = 20
@@ -194,7 +194,6 @@ def later_windows(part: pa.Table) -> pa.Table:
 
 def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[tuple[int, int]]]], pa.Table], schema) -> DataFrame:
     """``finish(bucket rows, removed word intervals of each row)`` after all rounds."""
-    small_batches(docs.sparkSession)
     n_bytes = total_bytes(docs)
     n = buckets_for(n_bytes, BUCKET_BYTES)
     key_parts = n_bytes // 40 // KEYS_PER_PART + 1

@@ -1,25 +1,26 @@
 """Operator 9: removal of repeated substrings with suffix arrays.
 
-Every byte covered by a string of WIDTH bytes that also starts at another place
-is removed, all its copies alike.
+Every byte covered by a string of ``width`` bytes (by default WIDTH) that also
+starts at another place is removed, all its copies alike.
 
 1. Documents are dealt into buckets of bounded size.  Each bucket picks anchors:
-   GRAM-byte grams whose fingerprint is least among the grams of some WIDTH-byte
-   string (minimizers).  Equal strings hold an anchor of equal fingerprint.
+   GRAM-byte grams whose fingerprint is least among the grams of some string of
+   that width (minimizers).  Equal strings hold an anchor of equal fingerprint.
 2. One exchange finds the anchors that occur twice (``shared_keys``).
-3. Around each such anchor the bucket cuts its context: all strings of WIDTH
-   bytes that contain the anchor.  Equal contexts of a bucket settle each other
+3. Around each such anchor the bucket cuts its context: all strings of the
+   width that contain the anchor.  Equal contexts of a bucket settle each other
    and go on as one.  Contexts are exchanged by anchor into shards.
 4. A shard sorts the suffixes of its contexts (Larsson-Sadakane refinement),
-   takes common prefixes (Kasai), and every run of prefixes of WIDTH or more
+   takes common prefixes (Kasai), and every run of prefixes of the width or more
    that spans two places marks repeats.
 5. An anchor whose contexts overflow one shard is split over several.  Each
-   hands on its distinct strings, once each, in sorted order of a 128-bit
-   fingerprint; the sorted lists are merged by binary search.
-6. Spans return to their buckets and are cut out.
+   hands on its distinct strings, once each, as arrays of 128-bit fingerprints
+   sorted and cut by their range; a range's sorted arrays are merged by binary
+   search in the list of all their values.
+6. Spans return to their buckets, packed, and are cut out.
 
 Strings are judged on the input; matches never cross documents.  Defined cases:
-null and empty texts have no bytes; texts under WIDTH bytes stay; repeated rows
+null and empty texts have no bytes; texts under the width stay; repeated rows
 (same id and text) are separate documents, so they repeat each other; an empty
 table gives an empty result; ``dedup`` carries extra columns of any name.  Where
 a removed span begins or ends inside a character, ``dedup`` drops the rest of
@@ -36,18 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import (PACKED, Roller, _BYTES, buckets_for, flat, frugal, frugal_cogroup, frugal_group, has_key, merge_intervals, mix, packed_table, row_key,
-                                 shared_keys, signed, slices, small_batches, text_bytes, total_bytes)
+from recframe.llm.common import (PACKED, Roller, _BYTES, buckets_for, flat, frugal, frugal_cogroup, frugal_group, has_key, merge_intervals, mix, pack, packed_table, row_key,
+                                 shared_keys, signed, slices, text_bytes, total_bytes, written_small)
 from recframe.llm.suffix import common_prefixes, suffix_array
 
 WIDTH = 400
 GRAM = 50
-#: Grams that one string of WIDTH bytes holds.
-GRAMS = WIDTH - GRAM + 1
 BUCKET_BYTES = 2 << 20
 #: Bytes of contexts in one suffix array; positions must fit 21 bits.
 SHARD_BYTES = 3 << 18
 KEYS_PER_PART = 200_000
+#: Bytes of text for one range of the fingerprints of split anchors.
+MERGE_BYTES = 4 << 20
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -66,69 +67,71 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc, fill: np.uint64) -> np.nda
     return op(back[:n], ahead[width - 1:width - 1 + n])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(place, fingerprint) of the anchors of all texts in ``data``, some whole
     texts at a time: the passes below need 100 bytes and more for one of text."""
     place, found = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
     for lo, hi in slices(offs):
-        p, h = _anchors(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
+        p, h = _anchors(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], width)
         place.append(p + offs[lo])
         found.append(h)
     return np.concatenate(place), np.concatenate(found)
 
 
-def _anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data)
-    if n < WIDTH:
+def _anchors(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    n, grams = len(data), width - GRAM + 1  # grams that one string holds
+    if n < width:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     prefix = _ROLL.prefix(_BYTES[data])
     h = np.full(n, _NONE, _U)
     at = np.arange(n - GRAM + 1)
     h[:n - GRAM + 1] = np.minimum(_ROLL.spans(prefix, at, at + GRAM), _NONE - _U(1))
     left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)  # bytes to the end of the own text
-    least = _sliding(np.where(left >= GRAM, h, _NONE), GRAMS, np.minimum, _NONE)
-    least[left < WIDTH] = 0  # no string of WIDTH bytes starts here
+    least = _sliding(np.where(left >= GRAM, h, _NONE), grams, np.minimum, _NONE)
+    least[left < width] = 0  # no string of the width starts here
     # a gram is an anchor if it equals the least of one of the strings it is in
-    back = _sliding(least[::-1], GRAMS, np.maximum, _U(0))[::-1]
+    back = _sliding(least[::-1], grams, np.maximum, _U(0))[::-1]
     place = np.flatnonzero((h == back) & (left >= GRAM))
-    return _thin(place, h[place], np.searchsorted(offs, place, side="right"))
+    return _thin(place, h[place], np.searchsorted(offs, place, side="right"), grams)
 
 
-def _thin(place: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _thin(place: np.ndarray, h: np.ndarray, doc: np.ndarray, grams: int) -> tuple[np.ndarray, np.ndarray]:
     """In periodic text the same gram comes again every few bytes.  Of a chain of
-    equal anchors keep the first and last in each stretch of GRAMS // 2 bytes:
+    equal anchors keep the first and last in each stretch of grams // 2 bytes:
     every string that holds one of the chain still holds a kept one."""
     if not len(place):
         return place, h
     order = np.lexsort((place, h, doc))
     p, g, d = place[order], h[order], doc[order]
-    new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (p[1:] - p[:-1] > GRAMS))
+    new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (p[1:] - p[:-1] > grams))
     first = p[np.flatnonzero(new)][np.cumsum(new) - 1]
-    stretch = (p - first) // (GRAMS // 2)
+    stretch = (p - first) // max(1, grams // 2)
     edge = new | np.append(True, stretch[1:] != stretch[:-1])
     keep = edge | np.append(edge[1:], True)
     kept = np.sort(order[keep])
     return place[kept], h[kept]
 
 
-def _contexts(data: np.ndarray, offs: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _contexts(offs: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end) of the bytes that strings around each anchor cover."""
     doc = np.searchsorted(offs, place, side="right") - 1
-    return doc, np.maximum(offs[doc], place + GRAM - WIDTH), np.minimum(offs[doc + 1], place + WIDTH)
+    return doc, np.maximum(offs[doc], place + GRAM - width), np.minimum(offs[doc + 1], place + width)
 
 
 _CONTEXT = "f long, h long, ctx binary, bucket int, key long, at int, n int, many boolean"
-_SPAN = "bucket int, key long, at int, n int"
-_FOUND = "g long, lo long, bucket int, key long, at int, n int, done boolean, many boolean"
+#: Settled spans of a bucket (who: key, at, n) or one range of a split anchor's strings (who: bucket, key, at).
+_FOUND = "part int, bucket int, hi binary, lo binary, who binary, many binary"
+_SPANS = "bucket int, who binary"
 
 
-def cut_contexts(bucket: int, keys: np.ndarray, data: np.ndarray, offs: np.ndarray, copies: np.ndarray, wanted: np.ndarray) -> pa.Table:
+def cut_contexts(bucket: int, keys: np.ndarray, data: np.ndarray, offs: np.ndarray, copies: np.ndarray, wanted: np.ndarray,
+                 width: int = WIDTH) -> pa.Table:
     """Contexts of the wanted anchors of one bucket.  Of contexts that are equal
     in the bucket one goes on; the spans of all of them are settled (ctx null)."""
-    place, f = anchors(data, offs)
+    place, f = anchors(data, offs, width)
     hit = has_key(f, wanted)
     place, f = place[hit], f[hit]
-    doc, lo, hi = _contexts(data, offs, place)
+    doc, lo, hi = _contexts(offs, place, width)
     h = np.zeros(len(doc), _U)
     for a, b in slices(offs):
         i, j = np.searchsorted(doc, (a, b))
@@ -200,7 +203,8 @@ def repeated_starts(ctx: list[bytes], place_id: np.ndarray, many: np.ndarray, wi
 class _Shard:
     """Contexts of consecutive anchors of one partition, up to SHARD_BYTES."""
 
-    def __init__(self) -> None:
+    def __init__(self, width: int) -> None:
+        self.width = width
         self.f: list[int] = []
         self.h: list[int] = []
         self.ctx: list[bytes] = []
@@ -208,7 +212,7 @@ class _Shard:
         self.many: list[bool] = []
         self.bytes = 0
 
-    def solve(self, open_classes: set[int]) -> pa.Table:
+    def solve(self, open_classes: set[int], n_parts: int) -> pa.RecordBatch:
         """Rows of _FOUND: settled spans, and for anchors that are split over
         shards the distinct strings to be merged with other shards."""
         f, h = np.array(self.f, np.int64), np.array(self.h, np.int64)
@@ -224,17 +228,17 @@ class _Shard:
         n_kind = np.repeat(*(lambda u: (u, u))(np.unique(kind, return_counts=True)[1])) if len(kind) else kind
         is_open = np.isin(kind, list(open_classes))
         work = np.flatnonzero((n_kind > 1) | is_open)
-        exported = (np.zeros((0, 4), np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, bool))
+        exported = None
         if len(work):
             owners = rows[heads[work]]
             pid = mix(owners[:, 1].view(_U)) + owners[:, 2].astype(_U)
             ctx = [self.ctx[i] for i in heads[work]]
-            base, repeats, lead = repeated_starts(ctx, pid, many[work])
+            base, repeats, lead = repeated_starts(ctx, pid, many[work], self.width)
             at = np.flatnonzero(repeats)
             if len(at):
                 own = np.searchsorted(base, at, side="right") - 1
                 cut = np.append(True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]))
-                s, e = at[np.flatnonzero(cut)], at[np.flatnonzero(np.append(cut[1:], True))] + WIDTH
+                s, e = at[np.flatnonzero(cut)], at[np.flatnonzero(np.append(cut[1:], True))] + self.width
                 own = own[np.flatnonzero(cut)]
                 span = owners[own].copy()
                 span[:, 2] += s - base[own]
@@ -242,15 +246,7 @@ class _Shard:
                 out.append(span)
             if is_open.any():
                 exported = self._export(ctx, base, repeats, lead, owners, is_open[work])
-        done = np.concatenate(out)
-        ex_rows, hi, lo, ex_many = exported
-        every = np.concatenate([done, ex_rows])
-        flags = np.concatenate([np.ones(len(done), bool), np.zeros(len(ex_rows), bool)])
-        return pa.Table.from_arrays(
-            [pa.array(np.concatenate([done[:, 1], signed(hi)])), pa.array(np.concatenate([np.zeros(len(done), np.int64), signed(lo)])),
-             pa.array(every[:, 0], pa.int32()), pa.array(every[:, 1]), pa.array(every[:, 2], pa.int32()), pa.array(every[:, 3], pa.int32()),
-             pa.array(flags), pa.array(np.concatenate([flags[:len(done)], ex_many]))],
-            ["g", "lo", "bucket", "key", "at", "n", "done", "many"])
+        return _packed(np.concatenate(out), exported, n_parts)
 
     def _export(self, ctx, base, repeats, lead, owners, is_open):
         """One row for each distinct string of a split anchor's contexts: the lead
@@ -260,18 +256,34 @@ class _Shard:
         own = np.searchsorted(base, pos, side="right") - 1
         pos, own = pos[is_open[own]], own[is_open[own]]
         values = _BYTES[data]
-        hi = _ROLL.spans(_ROLL.prefix(values), pos, pos + WIDTH)
-        lo = _ROLL2.spans(_ROLL2.prefix(values), pos, pos + WIDTH)
-        rows = owners[own].copy()
+        hi = _ROLL.spans(_ROLL.prefix(values), pos, pos + self.width)
+        lo = _ROLL2.spans(_ROLL2.prefix(values), pos, pos + self.width)
+        rows = owners[own, :3].copy()
         rows[:, 2] += pos - base[own]
-        rows[:, 3] = WIDTH
         return rows, hi, lo, repeats[pos]
 
 
-def _solve_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(done: np.ndarray, exported: tuple | None, n_parts: int) -> pa.RecordBatch:
+    """Settled spans (bucket, key, at, n) by bucket, strings of split anchors by
+    the range of their fingerprint, each as one row of arrays."""
+    rows: list[tuple] = []
+    done = done[np.argsort(done[:, 0], kind="stable")]
+    for own in np.split(done, np.flatnonzero(done[1:, 0] != done[:-1, 0]) + 1):
+        if len(own):
+            rows.append((int(own[0, 0]) % n_parts, int(own[0, 0]), None, None, own[:, 1:].tobytes(), None))
+    if exported is not None:
+        who, hi, lo, many = exported
+        for part, arrays in pack(hi, n_parts, lo, who, many):
+            rows.append((part, None, *arrays))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "bucket", "hi", "lo", "who", "many"])
+
+
+def _solve_shards(batches: Iterator[pa.RecordBatch], width: int, n_parts: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; a shard closes between anchors, or inside one
     that has more contexts than a shard holds."""
-    shard, split = _Shard(), None
+    shard, split = _Shard(width), None
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("f", "h", "ctx", "bucket", "key", "at", "n", "many")]
         settled: list[tuple[int, int, int, int]] = []
@@ -281,9 +293,9 @@ def _solve_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             if shard.bytes + len(ctx) > SHARD_BYTES:
                 same = shard.f[-1] == f
-                yield from shard.solve({split, f if same else None} - {None}).to_batches()
+                yield shard.solve({split, f if same else None} - {None}, n_parts)
                 split = f if same else (split if split == f else None)
-                shard = _Shard()
+                shard = _Shard(width)
             repeat = bool(shard.f) and shard.f[-1] == f and shard.h[-1] == h
             shard.f.append(f)
             shard.h.append(h)
@@ -292,42 +304,38 @@ def _solve_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             shard.rows.append((bucket, key, at, n))
             shard.many.append(many)
         if settled:
-            own = _Shard()
-            own.f, own.h, own.ctx = list(range(len(settled))), [0] * len(settled), [b""] * len(settled)
-            own.rows, own.many = settled, [True] * len(settled)
-            yield from own.solve(set()).to_batches()
-    yield from shard.solve({split} - {None}).to_batches()
-
-
-def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by fingerprint.  Settled spans pass; of the rows of one
-    fingerprint each is a repeat if two places or a repeated one are among them."""
-    held: list[tuple] = []
-
-    def close() -> list[tuple]:
-        places = {(key, at) for _, key, at, _, _ in held}
-        return [r[:4] for r in held] if len(places) > 1 or any(r[4] for r in held) else []
-
-    last = None
-    for b in batches:
-        out: list[tuple] = []
-        cols = [b.column(c).to_pylist() for c in ("g", "lo", "bucket", "key", "at", "n", "done", "many")]
-        for g, lo, bucket, key, at, n, done, many in zip(*cols, strict=True):
-            if done:
-                out.append((bucket, key, at, n))
-                continue
-            if (g, lo) != last:
-                out += close()
-                held, last = [], (g, lo)
-            held.append((bucket, key, at, n, many))
-        yield _span_batch(out)
-    yield _span_batch(close())
-
-
-def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
-                                      ["bucket", "key", "at", "n"])
+            yield _packed(np.array(settled, np.int64), None, n_parts)
+    yield shard.solve({split} - {None}, n_parts)
+
+
+def merge_shards(part: pa.Table, width: int = WIDTH) -> pa.Table:
+    """Settled spans pass; of the strings of one fingerprint each is a repeat if
+    two places or a repeated one are among them."""
+    own = part.filter(part.column("bucket").is_valid())
+    buckets, spans = own.column("bucket").to_pylist(), own.column("who").to_pylist()
+    lists = part.filter(part.column("bucket").is_null())
+    if len(lists):
+        his = [np.frombuffer(x, _U) for x in lists.column("hi").to_pylist()]
+        lo, many = (np.frombuffer(b"".join(lists.column(c).to_pylist()), k) for c, k in (("lo", _U), ("many", np.bool_)))
+        who = np.frombuffer(b"".join(lists.column("who").to_pylist()), np.int64).reshape(-1, 3)
+        hi = np.concatenate(his)
+        values = np.unique(hi)
+        group = np.concatenate([np.searchsorted(values, x) for x in his])  # each sorted list by binary search
+        # strings that are alone in their group and in their own shard are no repeats
+        near = np.flatnonzero((np.bincount(group, minlength=len(values))[group] > 1) | many)
+        near = near[np.lexsort((lo[near], group[near]))]
+        if len(near):
+            g, low = group[near], lo[near]
+            heads = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (low[1:] != low[:-1])))
+            place = mix(who[near, 1].view(_U)) + who[near, 2].astype(_U)
+            again = (np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)) | np.maximum.reduceat(many[near], heads)
+            who = who[near[np.repeat(again, np.diff(np.append(heads, len(near))))]]
+            who = who[np.argsort(who[:, 0], kind="stable")]
+            for rows in np.split(who, np.flatnonzero(who[1:, 0] != who[:-1, 0]) + 1):
+                if len(rows):
+                    buckets.append(int(rows[0, 0]))
+                    spans.append(np.column_stack([rows[:, 1:], np.full(len(rows), width)]).tobytes())
+    return pa.Table.from_arrays([pa.array(buckets, pa.int32()), pa.array(spans, pa.binary())], ["bucket", "who"])
 
 
 def _bucketed(docs: DataFrame, carry: Column, n_bytes: int) -> DataFrame:
@@ -342,16 +350,16 @@ def _distinct_docs(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return keys, data, offs, copies
 
 
-def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[tuple[int, int]]]], pa.Table], schema) -> DataFrame:
+def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[tuple[int, int]]]], pa.Table], schema, width: int = WIDTH) -> DataFrame:
     """``finish(bucket rows, removed intervals of each row)`` after all rounds."""
-    small_batches(docs.sparkSession)
     n_bytes = total_bytes(docs)
+    n_merge = n_bytes // MERGE_BYTES + 1
     n_parts = max(1, n_bytes // 170 // KEYS_PER_PART + 1)
     texts = _bucketed(docs, carry, n_bytes)
 
     def pick(part: pa.Table) -> pa.Table:
         _, data, offs, copies = _distinct_docs(part)
-        place, f = anchors(data, offs)
+        place, f = anchors(data, offs, width)
         twice = copies[np.searchsorted(offs, place, side="right") - 1] > 1
         return packed_table(part.column("bucket")[0].as_py(), np.concatenate([f, f[twice]]), n_parts)
 
@@ -360,12 +368,12 @@ def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[t
             return pa.table({n: [] for n in ("f", "h", "ctx", "bucket", "key", "at", "n", "many")}, schema=_context_schema())
         keys, data, offs, copies = _distinct_docs(part)
         want = np.sort(np.frombuffer(b"".join(wanted.column("keys").to_pylist()), _U))
-        return cut_contexts(part.column("bucket")[0].as_py(), keys, data, offs, copies, want)
+        return cut_contexts(part.column("bucket")[0].as_py(), keys, data, offs, copies, want, width)
 
     def close(part: pa.Table, spans: pa.Table) -> pa.Table:
-        key, at, n = (spans.column(c).to_numpy() for c in ("key", "at", "n"))
+        key, at, n = np.frombuffer(b"".join(spans.column("who").to_pylist()), np.int64).reshape(-1, 3).T
         order = np.argsort(key, kind="stable")
-        key, at, n = key[order], at[order].astype(np.int64), n[order].astype(np.int64)
+        key, at, n = key[order], at[order], n[order]
         gone = []
         for k in part.column("key").to_pylist():
             lo, hi = np.searchsorted(key, k), np.searchsorted(key, k, side="right")
@@ -375,8 +383,14 @@ def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[t
 
     shared = shared_keys(texts.groupBy("bucket").applyInArrow(frugal_group(pick), PACKED))
     contexts = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(frugal_cogroup(cut), _CONTEXT)
-    found = contexts.repartition("f").sortWithinPartitions("f", "h").mapInArrow(frugal(_solve_shards), _FOUND)
-    spans = found.repartition("g", "lo").sortWithinPartitions("g", "lo").mapInArrow(frugal(_merge_shards), _SPAN)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _solve_shards(batches, width, n_merge)
+
+    def merge(part: pa.Table) -> pa.Table:
+        return merge_shards(part, width)
+
+    found = contexts.repartition("f").sortWithinPartitions("f", "h").mapInArrow(frugal(solve), _FOUND)
+    spans = found.groupBy("part").applyInArrow(frugal_group(merge), _SPANS)
     return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(frugal_cogroup(close), schema)
 
 
@@ -405,14 +419,17 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _run(docs, F.struct("doc_id"), finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return written_small(_run(docs, F.struct("doc_id"), finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, min_words: int = 0) -> DataFrame:
     """All columns of ``docs``, the text without its repeated bytes (a null text
-    stays null)."""
+    stays null): the bytes of strings of ``width`` bytes that occur elsewhere, in
+    runs that hold at least ``min_words`` words (or parts of words)."""
     def finish(part: pa.Table, gone: list[list[tuple[int, int]]]) -> pa.Table:
         rows = part.column("row").combine_chunks()
+        if min_words:
+            gone = [[(s, e) for s, e in spans if len(raw[s:e].split()) >= min_words] for raw, spans in zip(part.column("raw").to_pylist(), gone, strict=True)]
         names = [f.name for f in rows.type]
         cols = rows.flatten()
         i = names.index("text")
@@ -420,4 +437,4 @@ def dedup(docs: DataFrame) -> DataFrame:
                             zip(cols[i].to_pylist(), part.column("raw").to_pylist(), gone, strict=True)], cols[i].type)
         return pa.Table.from_arrays(cols, names)
 
-    return _run(docs, F.struct("*"), finish, docs.schema)
+    return written_small(_run(docs, F.struct("*"), finish, docs.schema, width))

@@ -38,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import ALNUM_WORD, LOWER, SPACE_WORD, frugal, slices, small_batches, text_bytes
+from recframe.llm.common import ALNUM_WORD, LOWER, SPACE_WORD, frugal, slices, text_bytes, written_small
 
 SAMPLE_PER_CLASS = 1500
+#: Documents with longer texts are left out of the training sample, which bounds its bytes.
+SAMPLE_TEXT_BYTES = 32 << 10
 N_LANDMARKS = 48
 SPAN, DECAY = 5, 0.6
 SHARP, FLOOR = 2, 0.5
@@ -216,20 +218,28 @@ def document_values(doc_of: np.ndarray, values: np.ndarray, n: int) -> np.ndarra
 def pick_landmarks(texts: list[bytes], toxic: np.ndarray, n: int = N_LANDMARKS) -> list[bytes]:
     """Greedy cover: strings (words and word beginnings of 4 to 6 bytes) with the
     best log odds, preferring ones that mark toxic documents not yet marked."""
+    number: dict[bytes, int] = {}  # each string once; a text is an array of numbers
     found = []
     for t in texts:
         words = {p for w in words_of(t) for p in ([w] if len(w) <= MAX_WORD else windows(w, *WINDOWS[-1]))}
-        found.append(words | {w[:k] for w in words for k in (4, 5, 6) if len(w) >= k})
-    pos = Counter(s for f, y in zip(found, toxic, strict=True) if y for s in f)
-    neg = Counter(s for f, y in zip(found, toxic, strict=True) if not y for s in f)
+        every = words | {w[:k] for w in words for k in (4, 5, 6) if len(w) >= k}
+        found.append(np.fromiter((number.setdefault(s, len(number)) for s in every), np.int32, len(every)))
+    names = list(number)
+    count = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(f for f, y in zip(found, toxic, strict=True) if y == c)]), minlength=len(names)) for c in (0, 1)]
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    odds = {s: math.log((c + 0.5) / n_pos / ((neg[s] + 0.5) / n_neg)) for s, c in pos.items() if c >= 3 and len(s) >= 3}
+    odds, pos = {}, {}
+    for i in np.flatnonzero(count[1] >= 3).tolist():
+        s = names[i]
+        if len(s) >= 3:
+            odds[s], pos[s] = math.log((count[1][i] + 0.5) / n_pos / ((count[0][i] + 0.5) / n_neg)), int(count[1][i])
     good = sorted((s for s, o in odds.items() if o > 1), key=lambda s: (-odds[s] * math.log1p(pos[s]), -len(s), s))[:4000]
     where: dict[bytes, set[int]] = {s: set() for s in good}
     for d, (f, y) in enumerate(zip(found, toxic, strict=True)):
         if y:
-            for s in f & where.keys():
-                where[s].add(d)
+            for i in f.tolist():
+                if names[i] in where:
+                    where[names[i]].add(d)
+    del found, names, number
     times, chosen = Counter(), []
     while good and len(chosen) < n:
         # a document marked m times already counts 4 ** -m, so that every toxic document gets a few marks
@@ -331,7 +341,9 @@ def held_out(col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class, the ones
-    with the smallest id hashes; only those texts come to the driver."""
+    with the smallest id hashes, but for texts over SAMPLE_TEXT_BYTES; only those
+    texts come to the driver."""
+    short = docs.where(F.octet_length(text_bytes()) <= SAMPLE_TEXT_BYTES)
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = None
@@ -340,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         sample = part if sample is None else sample.union(part)
     # 2 * per_class ids: a fixed bound
     sample = sample.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
-    rows = (docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = (short.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
             .orderBy(F.xxhash64("_id"), "text").select("_id", "_y", "text").dropDuplicates(["_id"]).limit(2 * per_class).collect())
     rows.sort(key=lambda r: r["_id"])
     return fit([bytes(r["text"]) for r in rows], np.array([r["_y"] for r in rows], np.int64))
@@ -350,7 +362,6 @@ def score(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
     """doc_id and score of every document; with ``keep`` = "clean", instead all
     columns of the documents whose score is under 0.5."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # landmarks: at most N_LANDMARKS * 2**15 floats
 
     def texts_of(b: pa.RecordBatch) -> list[bytes]:
@@ -366,9 +377,9 @@ def score(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_struct_array(b.filter(ok).column(0))
 
     if keep == "clean":
-        return docs.select(F.struct("*").alias("row"), text_bytes().alias("raw")).mapInArrow(frugal(clean), docs.schema)
+        return written_small(docs.select(F.struct("*").alias("row"), text_bytes().alias("raw")).mapInArrow(frugal(clean), docs.schema))
     d = docs.select("doc_id", text_bytes().alias("raw"))
-    return d.mapInArrow(frugal(rate), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    return written_small(d.mapInArrow(frugal(rate), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
