@@ -67,8 +67,9 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
                                 html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(html.cast("binary"), 256).alias("digest"),
                                 F.monotonically_increasing_id().alias("uid")))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
-    first = (rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
-             .where("copies > 1").select(F.col("digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    # written, so that the planner knows its size: where few payloads repeat the pages need no exchange
+    first = written(rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
+                    .where("copies > 1").select(F.col("digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     met = rows.join(first, (F.col("digest") == F.col("d")) & (F.pmod("uid", F.lit(SALTS)) == F.col("salt")), "left")
     revisit = F.col("first").isNotNull() & (F.col("first.uid") != F.col("uid"))
 
@@ -236,12 +237,12 @@ def archive_digest(pages: DataFrame, path: str | None = None) -> DataFrame:
     records = read_archives(spark, path)
     revisit = F.col("type") == "revisit"
     stated = F.regexp_extract("http_head", r"(?i)\ncontent-length: *([0-9]+)", 1)
-    # fingerprints are taken before the join: payloads do not enter an exchange
-    light = records.select(
+    # fingerprints are taken before the join: archives are read once and payloads do not enter an exchange
+    light = written(records.select(
         "record_id", "type", "concurrent_to", "refers_to",
         F.when(revisit, stated.try_cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(revisit, F.regexp_extract("payload_digest", "^sha256:(.*)$", 1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
-        F.when(F.col("type") == "metadata", F.regexp_extract(F.col("payload").cast("string"), r"page_id: (-?[0-9]+)", 1).try_cast("long")).alias("page_id"))
+        F.when(F.col("type") == "metadata", F.regexp_extract(F.col("payload").cast("string"), r"page_id: (-?[0-9]+)", 1).try_cast("long")).alias("page_id")))
     return assemble(light).where("response is not null").select(
         F.col("metadata")[0]["page_id"].alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
