@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recframe.operators.encoders import hash_bucket
+
 # Canonical feature names (P01).  Fixed values:
 #   id → user_id / video_id / channel_id, country_code → country,
 #   preferred_language → user_language, duration → video_duration,
@@ -102,18 +104,36 @@ def _mask(c: Column, dt: T.DataType, name: str, depth: int = 0) -> Column:
         return _trunc(c)
     if isinstance(dt, T.StructType):
         return F.struct(*[_mask(c[f.name], f.dataType, f.name, depth + 1).alias(f.name) for f in dt.fields])
-    if isinstance(dt, T.MapType) and isinstance(dt.valueType, T.StringType):
+    if isinstance(dt, T.MapType):
         pat = "|".join(SENSITIVE_FIELDS)
-        return F.transform_values(c, lambda k, v: F.when(F.lower(k.cast("string")).rlike(pat), F.lit(MASK))
-                                  .otherwise(_trunc(v)))
-    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
-        return F.transform(c, _trunc)
+        return F.transform_values(c, lambda k, v: F.when(F.lower(k.cast("string")).rlike(pat), _hidden(v, dt.valueType, depth + 1))
+                                  .otherwise(_mask(v, dt.valueType, "", depth + 1)))
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _mask(x, dt.elementType, "", depth + 1))
     return c
 
 
+def _hidden(c: Column, dt: T.DataType, depth: int) -> Column:
+    """A masked value of a map, whose values keep one type: the mask for text,
+    structs, arrays and maps hidden field by field, null for the rest.  The type is
+    that of the values which are not masked."""
+    if depth > 10:
+        return F.lit("...TRUNCATED...")
+    if isinstance(dt, T.StringType):
+        return F.lit(MASK)
+    if isinstance(dt, T.StructType):
+        return F.struct(*[(F.lit(MASK) if _sensitive(f.name) else _hidden(c[f.name], f.dataType, depth + 1)).alias(f.name) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _hidden(x, dt.elementType, depth + 1))
+    if isinstance(dt, T.MapType):
+        return F.transform_values(c, lambda k, v: _hidden(v, dt.valueType, depth + 1))
+    return F.lit(None).cast(dt)
+
+
 def mask_sensitive(df: DataFrame) -> DataFrame:
-    """Mask fields whose name contains a sensitive word (recursively in
-    structs and map keys); strings over 1000 chars are cut with a length note."""
+    """Mask fields whose name contains a sensitive word, at any depth of
+    structs, arrays and maps (by their keys); strings over 1000 chars are cut with
+    a length note."""
     return df.select(*[_mask(F.col(f.name), f.dataType, f.name).alias(f.name) if not _sensitive(f.name)
                        else F.lit(MASK).alias(f.name) for f in df.schema.fields])
 
@@ -138,6 +158,16 @@ def build_interactions(raw: DataFrame) -> DataFrame:
                       F.coalesce(F.col("experiment_id"), F.lit("")).alias("experiment_id"))
 
 
+def capture_sample(log: DataFrame, percent: float, inputs: bool = True, outputs: bool = True, key: str = "request_id") -> DataFrame:
+    """The records of a stable ``percent`` of the requests; ``input_features``
+    and ``output_predictions`` are null unless they are captured."""
+    kept = log.where(hash_bucket(F.col(key), 10000) < int(round(percent * 100)))
+    for wanted, column in ((inputs, "input_features"), (outputs, "output_predictions")):
+        if not wanted and column in log.columns:
+            kept = kept.withColumn(column, F.lit(None).cast(log.schema[column].dataType))
+    return kept
+
+
 def capture_record(log: DataFrame) -> DataFrame:
     """Inference record from a response: request, time, latency, output
     recommendations and per-stage latencies as nested STRUCT / MAP."""

@@ -3,16 +3,19 @@ the streaming jobs run per micro-batch / per window)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from recframe.operators import datasets as DS
 from recframe.operators import feedback as FB
-from recframe.operators.encoders import hash_bucket
-from recframe.operators.recommend import recent_interactions
 from recframe.queries.common import query, rounded
+from recframe.session import cut_lineage
 from recframe.sources import adapters as A
+from recframe.sources import io as IO
+from recframe.sources.published import PublishedTable
 from recframe.sources.tables import load_table
-from recframe.streaming import ops
+from recframe.streaming import jobs, ops
 
 
 def stream_events(spark, d):
@@ -49,9 +52,14 @@ def st02(spark, d):
 
 @query("st03_keyed_upsert")
 def st03(spark, d):
-    o = A.online_interactions(spark, d)
-    w = Window.partitionBy("user_id", "ts", "video_id").orderBy("interaction_id")
-    return o.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("user_id", "ts", "video_id", "interaction_id")
+    """Three micro-batches into the published table, the last of them run twice."""
+    o = A.online_interactions(spark, d).select("user_id", "ts", "video_id", "interaction_id")
+    third = o.select((F.max("interaction_id") / 3).cast("bigint")).scalar()
+    table = PublishedTable(spark, IO.scratch_dir(spark, "st03"))
+    for batch_id in (0, 1, 2, 2):
+        part = o.where(F.least(F.floor(F.col("interaction_id") / F.greatest(third, F.lit(1))), F.lit(2)) == batch_id)
+        jobs.upsert_batch(table, part, batch_id, "st03", ["user_id", "ts", "video_id"], "interaction_id")
+    return table.read().select("user_id", "ts", "video_id", "interaction_id")
 
 
 @query("st04_stream_attribution")
@@ -73,10 +81,8 @@ def st05(spark, d):
 
 @query("st06_recent_state")
 def st06(spark, d):
-    r = recent_interactions(A.online_interactions(spark, d), 50)
-    return r.groupBy("user_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("recency_rank", "video_id"))), lambda s: s["video_id"])
-        .alias("recent_videos"), F.max("ts").alias("last_ts"))
+    r = ops.recent_state(A.online_interactions(spark, d))
+    return r.select("user_id", "recent_videos", "watched_videos", F.timestamp_micros("last_us").cast("timestamp_ntz").alias("last_ts"))
 
 
 @query("st07_inference_ttl")
@@ -88,10 +94,10 @@ def st07(spark, d):
 
 @query("p17_capture_sample")
 def p17(spark, d):
-    lg = A.inference_log(spark, d)
-    keep = hash_bucket(F.col("request_id"), 10000) < 2500
-    return rounded(lg.where(keep).select("request_id", "ts", "inference_latency_ms",
-                                         F.lit(None).cast("string").alias("input_features")))
+    lg = A.inference_log(spark, d).select("request_id", "ts", F.struct("inference_latency_ms").alias("input_features"),
+                                          F.struct(F.size("recommendations").alias("n")).alias("output_predictions"))
+    kept = DS.capture_sample(lg, 25.0, inputs=False)
+    return kept.select("request_id", "ts", F.to_json("input_features").alias("input_features"), F.col("output_predictions.n").alias("n"))
 
 
 @query("st08_capture_log")
@@ -109,9 +115,15 @@ def st09s(spark, d):
     return rounded(ops.windowed_metrics(A.online_interactions(spark, d), "24 hours", "60 minutes").drop("approx_users"))
 
 
+AGE_EDGES = [20.0, 30.0, 40.0, 50.0, 60.0, 70.0]
+
+
 @query("st10_windowed_quality")
 def st10(spark, d):
-    return rounded(ops.windowed_quality(A.feature_records(spark, d), "age"))
+    """Windows of all records against the records before 16 January."""
+    r = A.feature_records(spark, d)
+    base = ops.quality_baseline(r.where(F.col("ts") < F.lit(dt.datetime(2024, 1, 16))), "age", AGE_EDGES)
+    return rounded(ops.window_drift(ops.windowed_quality(r, "age", edges=AGE_EDGES), cut_lineage(base), "age"))
 
 
 @query("st11_session_window")

@@ -27,6 +27,10 @@ from pyspark.sql import types as T
 from recframe.sources import io as IO
 
 
+#: Folder name that Spark gives to a null partition value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def key_bucket(key: str | list[str], buckets: int) -> Column:
     """Partition number of a key."""
     cols = [key] if isinstance(key, str) else key
@@ -123,7 +127,7 @@ class PublishedTable:
         if before is None:
             return self.publish(last, partition_by, meta)
         by = before["partition_by"]
-        touched = [""] if not by else ["/".join(f"{c}={r[c]}" for c in by) for r in new.select(*by).distinct().collect()]
+        touched = [""] if not by else ["/".join(f"{c}={NO_VALUE if r[c] is None else r[c]}" for c in by) for r in new.select(*by).distinct().collect()]
         old = self._frame(before, {p: before["folders"][p] for p in touched if p in before["folders"]})
         rest = old.join(last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_anti")
         merged = rest.unionByName(last, allowMissingColumns=True)
