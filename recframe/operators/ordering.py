@@ -16,8 +16,9 @@ value repeated a billion times is one row.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +88,73 @@ def global_prefix(df: DataFrame, order: list, weight: str | None = None,
     return out.drop("_pid", "_lidx", *(["_lcum"] if weight is not None else []))
 
 
+#: Strata of one split: bounds the cut points that every task gets.
+MAX_STRATA = 10_000
+_DIGIT = 20
+
+
+def order_cuts(df: DataFrame, key: Column, ties: list[str], ranks: Callable[[DataFrame], DataFrame], group: str | None = None) -> DataFrame:
+    """The rows at given ranks of an order, found without sorting: (g, cut, k, t).
+
+    ``ranks`` turns the sizes (g, n) of the strata (g is null without ``group``)
+    into (g, cut, rank), cut being a name; the order is the whole number ``key``,
+    then ``ties``.  A histogram over the leading bits of
+    the key says in which range each rank lies; the range is refined ``_DIGIT``
+    bits at a time, and the last few rows are told apart by their ties.  Only the
+    columns of the order are stored (once); a rank beyond the last row has no cut."""
+    rel = cut_lineage(df.select((F.col(group) if group else F.lit(None).cast("int")).alias("g"), key.cast("long").alias("k"), F.struct(*ties).alias("t")))
+    low, high = rel.agg(F.min("k"), F.max("k")).first()
+    if low is None:
+        return rel.select("g", F.lit("").alias("cut"), "k", "t").limit(0)
+    sizes = rel.groupBy("g").agg(F.count("*").alias("n"))
+    if group is not None and sizes.limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    rel = rel.withColumn("k", F.col("k") - F.lit(low))
+    left = (high - low).bit_length()
+    found = ranks(sizes).select("g", "cut", F.col("rank").alias("_rest"), F.lit(0).cast("long").alias("_pre"))
+
+    def pick(rows: DataFrame, by: str) -> DataFrame:
+        """The value of ``by`` in which each rank lies, and the rank inside it."""
+        upto = F.sum("_n").over(Window.partitionBy("g", "cut").orderBy(by))
+        return (rows.groupBy("g", "cut", "_rest", by).agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+                .where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_n") <= F.col("_rest")))
+                .select("g", "cut", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest"), by))
+
+    def inside(width: int) -> DataFrame:
+        c = found.select(F.col("g").alias("_g"), "cut", "_rest", "_pre")  # at most MAX_STRATA strata, checked above
+        return rel.join(F.broadcast(c), F.col("g").eqNullSafe(F.col("_g")) & (F.shiftright("k", width) == F.col("_pre"))).drop("_g")
+
+    while left > 0:
+        step = min(_DIGIT, left)
+        found = pick(inside(left).withColumn("_p", F.shiftright("k", left - step)), "_p").withColumnRenamed("_p", "_pre")
+        left -= step
+    last = pick(inside(0), "t").select("g", "cut", "t")
+    keys = found.select(F.col("g").alias("_g"), F.col("cut").alias("_c"), (F.col("_pre") + F.lit(low)).alias("k"))
+    return last.join(keys, F.col("g").eqNullSafe(F.col("_g")) & (F.col("cut") == F.col("_c"))).select("g", "cut", "k", "t")
+
+
+def with_cuts(df: DataFrame, cuts: DataFrame, names: list[str], key: Column, ties: list[str], group: str | None = None) -> DataFrame:
+    """``df`` with, for each cut, whether a row comes before it (``_before_<name>``)."""
+    spark = df.sparkSession
+    rows = cuts.collect()  # a cut for each name and stratum
+    place = F.struct(key.cast("long").alias("k"), F.struct(*ties).alias("t"))
+    if group is None:
+        at = {r["cut"]: r for r in rows}
+        kept = spark.createDataFrame(rows, cuts.schema) if rows else cuts.limit(0)
+        out = df
+        for n in names:
+            one = kept.where(F.col("cut") == n).select(F.first(F.struct("k", "t")).alias("c")).scalar()
+            out = out.withColumn(f"_before_{n}", place < one if n in at else F.lit(True))
+        return out
+    kept = spark.createDataFrame(rows, cuts.schema) if rows else cuts.limit(0)
+    out = df
+    for n in names:
+        c = kept.where(F.col("cut") == n).select(F.col("g").alias("_g"), F.struct("k", "t").alias("_c"))
+        out = (out.join(F.broadcast(c), F.col(group).eqNullSafe(F.col("_g")), "left")
+               .withColumn(f"_before_{n}", F.coalesce(place < F.col("_c"), F.lit(True))).drop("_g", "_c"))
+    return out
+
+
 def dense_index(values: DataFrame, col: str, start: int = 0) -> DataFrame:
     """Sorted distinct values of ``col`` numbered ``start, start+1, …``."""
     d = values.select(col).where(F.col(col).isNotNull()).distinct()

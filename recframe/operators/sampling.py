@@ -2,8 +2,9 @@
 U01, U02, U04).
 
 Shuffles are md5 orderings of stable keys (never ``rand()``), so splits do
-not change with partitioning or re-execution; index cuts use the exact
-global index (``global_prefix``), never a single-partition window.
+not change with partitioning or re-execution.  Splits find their cut points by
+histograms of the key (``order_cuts``) and label rows by comparison, so no row is
+sorted, moved or stored for them.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 
 from recframe.operators.encoders import hash_bucket
 from recframe.operators.experiments import h60
-from recframe.operators.ordering import global_prefix
+from recframe.operators.ordering import global_prefix, order_cuts, with_cuts
 from recframe.session import cut_lineage
+from recframe.sources.published import PublishedTable
+
+#: Catalogue indices that one row lists at most.
+_BLOCK = 4096
 
 
 def _key(cols: list[str], seed: int) -> Column:
@@ -28,39 +33,36 @@ def _cut_points(train: float, val: float, test: float | None, normalise: bool):
     return train, train + val
 
 
-def _assign(idx: Column, n: Column, train: float, upto_val: float) -> Column:
-    t_end = F.floor(n * F.lit(train))
-    v_end = F.floor(n * F.lit(upto_val))
-    return F.when(idx < t_end, "train").when(idx < v_end, "val").otherwise("test")
+def _split_at(df: DataFrame, key: Column, ties: list[str], train: float, upto_val: float, group: str | None = None) -> DataFrame:
+    """Cut at int(n·train) and int(n·upto_val) in the order of (key, ties), in each
+    stratum.  Rows are compared with the two cut points; none is sorted or stored."""
+    def ranks(sizes: DataFrame) -> DataFrame:
+        parts = [F.struct(F.lit(name).alias("cut"), F.floor(F.col("n") * F.lit(part)).alias("rank")) for name, part in (("train", train), ("val", upto_val))]
+        return sizes.select("g", F.explode(F.array(*parts)).alias("c")).select("g", "c.*")
+
+    out = with_cuts(df, order_cuts(df, key, ties, ranks, group), ["train", "val"], key, ties, group)
+    return out.withColumn("split", F.when(F.col("_before_train"), "train").when(F.col("_before_val"), "val").otherwise("test")).drop(
+        "_before_train", "_before_val")
 
 
 def random_split(df: DataFrame, key_cols: list[str], train: float = 0.8, val: float = 0.1,
                  test: float | None = 0.1, seed: int = 42, normalise: bool = True) -> DataFrame:
-    """Shuffle by md5(key ‖ seed), cut at int(n·train), int(n·(train+val))."""
-    tr, tv = _cut_points(train, val, test, normalise)
-    k = df.withColumn("_k", _key(key_cols, seed))
-    g = global_prefix(k, ["_k", *key_cols])
-    n = df.select(F.count(F.lit(1))).scalar()
-    return g.withColumn("split", _assign(F.col("_gidx"), n, tr, tv)).drop("_k", "_gidx")
+    """Shuffle by md5(key ‖ seed), cut at int(n·train), int(n·(train+val)).
+    Rows of equal ``key_cols`` stay together."""
+    return _split_at(df, _key(key_cols, seed), key_cols, *_cut_points(train, val, test, normalise))
 
 
 def time_split(df: DataFrame, ts: str, tie_cols: list[str], train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """Order by time (ties by ``tie_cols``), cut at int(n·r)."""
-    g = global_prefix(df, [ts, *tie_cols])
-    n = df.select(F.count(F.lit(1))).scalar()
-    return g.withColumn("split", _assign(F.col("_gidx"), n, train, train + val)).drop("_gidx")
+    """Order by time (ties by ``tie_cols``), cut at int(n·r); rows without a
+    time come first."""
+    key = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(1 << 60)))
+    return _split_at(df, key, tie_cols, train, train + val)
 
 
 def stratified_split(df: DataFrame, label: str, key_cols: list[str], train: float = 0.8, val: float = 0.1,
                      test: float | None = None, seed: int = 42) -> DataFrame:
     """X01 inside each label value (same cut rule per class)."""
-    tr, tv = _cut_points(train, val, test, test is not None)
-    k = df.withColumn("_k", _key(key_cols, seed))
-    g = global_prefix(k, [label, "_k", *key_cols])
-    per = g.groupBy(label).agg(F.min("_gidx").alias("_g0"), F.count(F.lit(1)).alias("_n"))
-    j = g.join(per, label)
-    return j.withColumn("split", _assign(F.col("_gidx") - F.col("_g0"), F.col("_n"), tr, tv)).drop(
-        "_k", "_gidx", "_g0", "_n")
+    return _split_at(df, _key(key_cols, seed), key_cols, *_cut_points(train, val, test, test is not None), label)
 
 
 def bernoulli_split(df: DataFrame, key_cols: list[str], p_train: float = 0.8, seed: int = 42) -> DataFrame:
@@ -74,19 +76,40 @@ def balance_labels(df: DataFrame, key_cols: list[str], ratio: float = 1.0, label
     """Down-sample to positives / negatives = ratio: negatives to
     int(P / ratio) if more, else positives to int(N · ratio); hash-ordered
     choice inside each label."""
-    counts = df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    P, N = counts.select("p").scalar(), counts.select("n").scalar()
-    tneg = F.floor(P / F.lit(float(ratio)))
-    tpos = F.floor(N * F.lit(float(ratio)))
-    neg_quota = F.when((P == 0) | (N == 0), N).when(N > tneg, tneg).otherwise(N)
-    pos_quota = F.when((P == 0) | (N == 0), P).when((N < tneg) & (P > tpos), tpos).otherwise(P)
-    k = df.withColumn("_k", _key(key_cols, seed))
-    g = global_prefix(k, [label, "_k", *key_cols])
-    first = g.groupBy(label).agg(F.min("_gidx").alias("_g0"))
-    j = g.join(first, label)
-    idx = F.col("_gidx") - F.col("_g0")
-    keep = F.when(F.col(label) == 1, idx < pos_quota).when(F.col(label) == 0, idx < neg_quota).otherwise(F.lit(True))
-    return j.where(keep).drop("_k", "_gidx", "_g0")
+    def ranks(sizes: DataFrame) -> DataFrame:
+        of = lambda y: F.coalesce(F.sum(F.when(F.col("g") == y, F.col("n"))), F.lit(0))
+        both = sizes.agg(of(1).alias("p"), of(0).alias("n"))
+        tneg, tpos = F.floor(F.col("p") / F.lit(float(ratio))), F.floor(F.col("n") * F.lit(float(ratio)))
+        none = (F.col("p") == 0) | (F.col("n") == 0)
+        neg = F.when(none, F.col("n")).when(F.col("n") > tneg, tneg).otherwise(F.col("n"))
+        pos = F.when(none, F.col("p")).when((F.col("n") < tneg) & (F.col("p") > tpos), tpos).otherwise(F.col("p"))
+        kind = sizes.schema["g"].dataType
+        rows = F.array(*[F.struct(F.lit(y).cast(kind).alias("g"), F.lit("keep").alias("cut"), q.alias("rank")) for y, q in ((1, pos), (0, neg))])
+        return both.select(F.explode(rows).alias("c")).select("c.*")
+
+    key = _key(key_cols, seed)
+    out = with_cuts(df, order_cuts(df, key, key_cols, ranks, label), ["keep"], key, key_cols, label)
+    return out.where(F.col("_before_keep") | ~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).drop("_before_keep")
+
+
+def merge_gate(merged: DataFrame, labels: DataFrame, min_labels: int = 100) -> DataFrame:
+    """``merged`` if there are at least ``min_labels`` labels, else no row."""
+    return merged.where(labels.select(F.count(F.lit(1))).scalar() >= F.lit(min_labels))
+
+
+def retraining_dataset(merged: DataFrame, table: PublishedTable, key: str, min_samples: int = 100, ratio: float = 1.0,
+                       train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame | None:
+    """Balance, split and publish ``merged`` as the next version of ``table``
+    (a folder a split); its summary (A17 and the split sizes).  With fewer than
+    ``min_samples`` rows nothing is published and None comes back."""
+    from recframe.operators.feedback import retrain_summary
+    if merged.limit(min_samples).count() < min_samples:
+        return None
+    split = random_split(cut_lineage(balance_labels(merged, [key], ratio)), [key], train, val, test)
+    table.publish(split, ["split"])
+    kept = table.read()
+    sizes = [F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_samples") for s in ("train", "val", "test")]
+    return retrain_summary(kept).select("*", *[kept.agg(c).scalar().alias(n) for c, n in zip(sizes, ("train_samples", "val_samples", "test_samples"), strict=True)])
 
 
 def union_samples(pos: DataFrame, neg: DataFrame) -> DataFrame:
@@ -112,42 +135,51 @@ def _video_index(videos: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def negatives_per_positive(pos: DataFrame, videos: DataFrame, ratio: int = 3, seed: int = 42,
-                           oversample: int = 4, pos_key: str = "interaction_id") -> DataFrame:
+                           oversample: int = 4, pos_key: str = "interaction_id", rounds: int = 3) -> DataFrame:
     """Per positive, ``ratio`` distinct videos the user has no positive
     with (or the whole pool when smaller), context copied from the positive.
 
-    Round 1 draws ``oversample·ratio`` hashed catalogue indices per positive,
-    drops the user's positive videos (anti join), and keeps the first
-    ``ratio`` distinct survivors in draw order — the draws of one positive
-    are a bounded group, so one aggregate replaces a window.  Positives left
-    short get an exact second round over the full catalogue (only those
-    positives), so every positive receives min(ratio, pool).
-    """
+    Round r draws ``oversample·ratio·4^r`` hashed catalogue indices for each
+    positive that is still short, drops the user's positive videos (anti join) and
+    keeps the first ``ratio`` distinct survivors in draw order.  Who is short after
+    the last round has a positive with nearly every video; only for those users the
+    pool is listed (a catalogue's worth of rows for a user with nearly as many
+    positives), numbered, and read from a hashed start."""
     vidx = _video_index(videos)
     V = vidx.select(F.count(F.lit(1))).scalar()
     ctx = ["previously_watched_category", "interaction_time_day", "interaction_time_hour", "device"]
-    # the positives feed three branches: materialise them once
+    # the positives feed every round: materialise them once
     base = cut_lineage(pos.select(pos_key, "user_id", "video_id", *ctx))
     user_pos = base.select("user_id", "video_id").distinct()
-    m = oversample * ratio
-    draws = base.select(pos_key, "user_id", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_a"))
-    draws = draws.withColumn("vidx", F.pmod(F.xxhash64(F.col(pos_key), F.col("_a"), F.lit(seed)), F.lit(V)))
-    cand = draws.join(vidx, "vidx").join(user_pos, ["user_id", "video_id"], "left_anti")
-    picked = cut_lineage(cand.groupBy(pos_key).agg(
-        F.array_sort(F.collect_list(F.struct("_a", "video_id"))).alias("_c")).select(
-        pos_key, F.slice(F.array_distinct(F.transform("_c", lambda x: x["video_id"])), 1, ratio).alias("_vids")))
-    short = (base.select(pos_key, "user_id").join(picked, pos_key, "left")
-             .withColumn("_got", F.coalesce(F.size("_vids"), F.lit(0))).where(F.col("_got") < ratio))
-    # exact round for the short positives: every catalogue video not already taken
-    full = (short.select(pos_key, "user_id", "_got", F.coalesce("_vids", F.array().cast("array<bigint>")).alias("_vids"),
-                         F.explode(F.sequence(F.lit(0), F.lit(V - 1))).alias("vidx"))
-            .join(vidx, "vidx").where(~F.array_contains("_vids", F.col("video_id")))
-            .join(user_pos, ["user_id", "video_id"], "left_anti")
-            .withColumn("_ord", F.xxhash64(F.col(pos_key), F.col("video_id"), F.lit(seed))))
-    w2 = Window.partitionBy(pos_key).orderBy("_ord", "video_id")
-    r2 = full.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= F.lit(ratio) - F.col("_got"))
-    picks = (picked.select(pos_key, F.explode("_vids").alias("video_id"))
-             .unionByName(r2.select(pos_key, "video_id")))
+    todo, parts = base.select(pos_key, "user_id").distinct(), []
+    for r in range(rounds):
+        m = oversample * ratio * 4 ** r
+        draws = todo.select(pos_key, "user_id", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_a"))
+        draws = draws.withColumn("vidx", F.pmod(F.xxhash64(F.col(pos_key), F.col("_a"), F.lit(seed + r)), F.lit(V)))
+        cand = draws.join(vidx, "vidx").join(user_pos, ["user_id", "video_id"], "left_anti")
+        picked = cut_lineage(cand.groupBy(pos_key).agg(
+            F.array_sort(F.collect_list(F.struct("_a", "video_id"))).alias("_c")).select(
+            pos_key, F.slice(F.array_distinct(F.transform("_c", lambda x: x["video_id"])), 1, ratio).alias("_vids"))
+            .where(F.size("_vids") == ratio))
+        parts.append(picked.select(pos_key, F.explode("_vids").alias("video_id")))
+        todo = todo.join(picked.select(pos_key), pos_key, "left_anti")
+        if todo.isEmpty():
+            break
+    else:
+        todo = cut_lineage(todo)
+        blocks = todo.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((V - 1) / F.lit(_BLOCK)))).alias("_b"))
+        every = blocks.select("user_id", F.explode(F.sequence(F.col("_b") * _BLOCK, F.least(F.col("_b") * _BLOCK + _BLOCK, V) - 1)).alias("vidx"))
+        pool = every.join(vidx, "vidx").join(user_pos, ["user_id", "video_id"], "left_anti")
+        by_hash = Window.partitionBy("user_id").orderBy(F.xxhash64("user_id", "video_id", F.lit(seed)), "video_id")
+        pool = cut_lineage(pool.select("user_id", "video_id", (F.row_number().over(by_hash) - 1).cast("long").alias("_i")))
+        size = pool.groupBy("user_id").agg(F.count(F.lit(1)).alias("_p"))
+        wanted = todo.join(size, "user_id").select(
+            pos_key, "user_id", "_p", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(ratio).cast("long"), F.col("_p")) - 1)).alias("_j"))
+        wanted = wanted.select(pos_key, "user_id", F.pmod(F.pmod(F.xxhash64(F.col(pos_key), F.lit(seed)), F.col("_p")) + F.col("_j"), F.col("_p")).alias("_i"))
+        parts.append(wanted.join(pool, ["user_id", "_i"]).select(pos_key, "video_id"))
+    picks = parts[0]
+    for p in parts[1:]:
+        picks = picks.unionByName(p)
     out = picks.join(base.drop("video_id"), pos_key)
     return out.select(F.col(pos_key).alias("source_interaction_id"), "user_id", "video_id",
                       F.lit("negative_sample").alias("interaction_type"), F.lit("-").alias("interaction_value"),
@@ -157,8 +189,8 @@ def negatives_per_positive(pos: DataFrame, videos: DataFrame, ratio: int = 3, se
 def negatives_global(inter: DataFrame, users: DataFrame, videos: DataFrame, n_target: int | Column,
                      seed: int = 42, oversample: int = 3) -> DataFrame:
     """``n_target`` distinct random (user, video) pairs absent from all
-    interactions (label 0).  Hashed draws; while short, twice as many are drawn
-    again, so exactly ``n_target`` pairs come back.  Raises if fewer exist."""
+    interactions (label 0).  Hashed draws; while short, twice as many for the
+    missing ones, so exactly ``n_target`` pairs come back.  Raises if fewer exist."""
     U = users.select(F.count(F.lit(1))).collect()[0][0]
     uidx = global_prefix(users.select(F.col("id").alias("user_id")).distinct(), ["user_id"]).select(
         "user_id", F.col("_gidx").alias("uidx"))
@@ -170,17 +202,19 @@ def negatives_global(inter: DataFrame, users: DataFrame, videos: DataFrame, n_ta
     taken = seen.join(uidx, "user_id").join(vidx, "video_id").count()
     if n > U * V - taken:
         raise ValueError(f"{n} negatives asked, {U * V - taken} unseen pairs exist")
-    r = 0
-    while True:
-        k = spark.range(0, n * oversample * 2 ** r).select(F.col("id").alias("_j"))
+    found, r, have = None, 0, 0
+    while found is None or have < n:  # what was found stays; only the rest is drawn
+        k = spark.range(0, (n - have) * oversample * 2 ** r).select(F.col("id").alias("_j"))
         tag = F.concat_ws("|", F.col("_j").cast("string"), F.lit(str(seed)), F.lit(str(r)))
         pairs = k.select("_j", F.pmod(h60(F.concat(tag, F.lit("u"))), U).alias("uidx"),
                          F.pmod(h60(F.concat(tag, F.lit("v"))), V).alias("vidx"))
         pairs = (pairs.join(uidx, "uidx").join(vidx, "vidx")
-                 .groupBy("user_id", "video_id").agg(F.min("_j").alias("_ord"))
+                 .groupBy("user_id", "video_id").agg(F.min(F.struct(F.lit(r).alias("r"), "_j")).alias("_ord"))
                  .join(seen, ["user_id", "video_id"], "left_anti"))
-        if pairs.count() >= n:
-            break
-        r += 1
-    g = global_prefix(pairs, ["_ord", "user_id", "video_id"])
+        if found is not None:
+            pairs = pairs.join(found.select("user_id", "video_id"), ["user_id", "video_id"], "left_anti")
+        new = cut_lineage(pairs)
+        found = new if found is None else found.unionByName(new)
+        have, r = have + new.count(), r + 1
+    g = global_prefix(found, ["_ord", "user_id", "video_id"])
     return g.where(F.col("_gidx") < n).select("user_id", "video_id", F.lit(0).alias("label"))

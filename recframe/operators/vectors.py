@@ -9,8 +9,6 @@ blocks' best.  Nothing goes through the driver but the two row counts.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recframe.session import cut_lineage
+from recframe.sources.published import PublishedTable
+
 EPS = 1e-8
 #: Bytes of float64 vectors in one block, and of scores in one tile.
 BLOCK_BYTES, TILE_BYTES = 16 << 20, 16 << 20
@@ -264,32 +265,47 @@ def tag_embedding(items: DataFrame, tag_vectors: DataFrame, id_col: str = "id",
         id_col, F.coalesce("tag_embedding", zero).alias("tag_embedding"))
 
 
-def hash_vector(text: str, dim: int) -> np.ndarray:
-    """Deterministic unit vector seeded by md5(text) (the E21 fallback)."""
-    seed = int(hashlib.md5((text or "").encode()).hexdigest()[:8], 16)
-    v = np.random.default_rng(seed).standard_normal(dim)
-    return v / (np.linalg.norm(v) + EPS)
+def hash_vector(text, dim: int) -> Column:
+    """E21 without an encoder: a unit vector made of md5(text#i), i < dim."""
+    raw = F.array(*[F.conv(F.substring(F.md5(F.concat(F.coalesce(_c(text), F.lit("")), F.lit(f"#{i}"))), 1, 8), 16, 10).cast("double") / float(1 << 31) - 1.0
+                    for i in range(dim)])
+    return normalize(raw)
 
 
 def text_embedding(df: DataFrame, text_col: str, id_col: str, dim: int = 64, encoder=None) -> DataFrame:
     """Batch encoder over Arrow batches (``encoder`` maps a
-    list of texts to an (n, dim) array); default = md5-seeded unit vectors."""
-    schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    list of texts to an (n, dim) array); without one, hashed unit vectors."""
+    if encoder is None:
+        return df.select(id_col, hash_vector(text_col, dim).alias("embedding"))
+    schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def fn(batches):
         for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            if encoder is not None:
-                m = np.asarray(encoder(texts), dtype=np.float32)
-            else:
-                m = np.vstack([hash_vector(t, dim) for t in texts]).astype(np.float32) if texts else np.zeros((0, dim))
+            m = np.asarray(encoder(pdf[text_col].fillna("").astype(str).tolist()), dtype=np.float64)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "embedding": list(m)})
     return df.select(id_col, text_col).mapInPandas(fn, schema)
 
 
-def embedding_cache(new: DataFrame, cached: DataFrame | None, id_col: str, compute) -> DataFrame:
-    """Compute vectors only for ids absent from the cache, then union."""
-    if cached is None:
-        return compute(new)
-    todo = new.join(cached.select(id_col), id_col, "left_anti")
-    return cached.unionByName(compute(todo))
+class EmbeddingCache:
+    """Vectors kept by the SHA-256 of their text in a published table; a run
+    computes only the texts that are new, once each, and appends them."""
+
+    def __init__(self, table: PublishedTable, dim: int = 64, encoder=None, compact_after: int = 16):
+        self.table, self.dim, self.encoder, self.compact_after = table, dim, encoder, compact_after
+
+    def embed(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, embedding, cached): cached tells whether the vector was there before."""
+        texts = df.select(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        current = self.table.current()
+        version = current["version"] if current else 0
+        todo = texts.groupBy("key").agg(F.first("text").alias("text"))
+        if current:
+            todo = todo.join(self.table.read().select("key"), "key", "left_anti")
+        todo = cut_lineage(todo)
+        if current is None or not todo.isEmpty():
+            new = text_embedding(todo, "text", "key", self.dim, self.encoder).withColumn("added", F.lit(version + 1))
+            self.table.append(new)
+            if max(len(names) for names in self.table.current()["folders"].values()) > self.compact_after:
+                self.table.compact()
+        vectors = self.table.read()
+        return texts.drop("text").join(vectors, "key").select(id_col, "embedding", (F.col("added") <= version).alias("cached"))

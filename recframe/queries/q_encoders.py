@@ -36,8 +36,9 @@ def e02(spark, d):
 @query("e03_inverse_lookup")
 def e03(spark, d):
     i = A.interactions(spark, d)
-    v = E.integer_vocab(A.videos(spark, d).where(F.col("id") % 3 != 0), "id")
-    out = E.lookup_integer(i.select("interaction_id", "video_id"), "video_id", v, "video_id_idx")
+    v = E.integer_vocab(A.videos(spark, d), "id")
+    seen = F.when(F.col("video_id") % 11 == 0, -1 - F.col("video_id")).otherwise(F.col("video_id"))  # ids that no catalogue has
+    out = E.lookup_integer(i.select("interaction_id", seen.alias("video_id")), "video_id", v, "video_id_idx")
     return E.inverse_integer(out, "video_id_idx", v, "video_id_back")
 
 

@@ -13,6 +13,8 @@ from recframe.queries.common import query, rounded
 from recframe.queries.q_encoders import pairs
 from recframe.queries.q_labels import enriched
 from recframe.sources import adapters as A
+from recframe.sources import io as IO
+from recframe.sources.published import PublishedTable
 
 
 def labels(spark, d):
@@ -156,20 +158,26 @@ def x05(spark, d):
     return S.balance_labels(labels(spark, d), ["interaction_id"], 1.0).select("interaction_id", "label")
 
 
+def _retraining(spark, d):
+    m = merged(spark, d).withColumn("record_id", F.concat_ws(":", "inference_id", F.col("video_id").cast("string")))
+    table = PublishedTable(spark, IO.scratch_dir(spark, "x06"))
+    return table, S.retraining_dataset(m, table, "record_id")
+
+
 @query("x06_retraining_dataset")
 def x06(spark, d):
-    m = merged(spark, d).withColumn("record_id", F.concat_ws(":", "inference_id", F.col("video_id").cast("string")))
-    b = S.balance_labels(m, ["record_id"], 1.0)
-    s = S.random_split(b, ["record_id"], 0.8, 0.1, 0.1)
-    return s.select("record_id", "label", "split")
+    return _retraining(spark, d)[0].read().select("record_id", "label", "split")
+
+
+@query("x06_retraining_summary")
+def x06_summary(spark, d):
+    return _retraining(spark, d)[1].select("total_samples", "positive_samples", "negative_samples", "unique_users", "unique_videos",
+                                           "train_samples", "val_samples", "test_samples")
 
 
 @query("x07_merge_gate")
 def x07(spark, d):
-    lab = labels(spark, d)
-    n = lab.count()
-    m = merged(spark, d)
-    return m.select("inference_id", "video_id", "label") if n >= 100 else m.limit(0).select("inference_id", "video_id", "label")
+    return S.merge_gate(merged(spark, d).select("inference_id", "video_id", "label"), labels(spark, d), min_labels=100)
 
 
 def _positives(spark, d):

@@ -191,5 +191,5 @@ def a39(spark, d):
 
 @query("j24_item_feature_table")
 def j24(spark, d):
-    ch = A.channels(spark, d).where(F.col("id") % 10 != 3)  # some channels unknown → 0 subscribers
-    return DS.item_feature_table(A.videos(spark, d), ch)
+    unknown = F.when(F.col("id") % 10 == 3, -1 - F.col("channel_id")).otherwise(F.col("channel_id"))  # no such channel → 0 subscribers
+    return DS.item_feature_table(A.videos(spark, d).withColumn("channel_id", unknown), A.channels(spark, d))

@@ -34,22 +34,22 @@ def _quality(spark, d):
 
 @query("a01_numeric_profile")
 def a01(spark, d):
-    return rounded(M.numeric_profile(_fr(spark, d)[0], NUM))
+    return rounded(M.numeric_profile(A.feature_records(spark, d), NUM))
 
 
 @query("a02_categorical_profile")
 def a02(spark, d):
-    return rounded(M.categorical_profile(_fr(spark, d)[0], CAT))
+    return rounded(M.categorical_profile(A.feature_records(spark, d), CAT))
 
 
 @query("k02_top_values")
 def k02(spark, d):
-    return M.top_values(M.value_counts(_fr(spark, d)[0], CAT), 10)
+    return M.top_values(M.value_counts(A.feature_records(spark, d), CAT), 10)
 
 
 @query("a03_profile_features")
 def a03(spark, d):
-    return rounded(M.profile_features(_fr(spark, d)[0], NUM, CAT))
+    return rounded(M.profile_features(A.feature_records(spark, d), NUM, CAT))
 
 
 @query("j22_stat_vs_baseline")

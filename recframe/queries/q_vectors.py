@@ -97,14 +97,16 @@ def f08(spark, d):
 @query("e21_text_embedding")
 def e21(spark, d):
     docs = A.videos(spark, d).select("id", "title")
-    return V.text_embedding(docs, "title", "id", dim=64)
+    return V.text_embedding(docs, "title", "id", dim=64).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query("e22_embedding_cache")
 def e22(spark, d):
+    """Two runs over one cache: the first for the videos up to the middle id."""
     v = A.videos(spark, d).select("id", "title")
-    cached = V.text_embedding(v.where(F.col("id") % 2 == 0), "title", "id", 64)
-    return V.embedding_cache(v, cached, "id", lambda todo: V.text_embedding(todo, "title", "id", 64))
+    cache = V.EmbeddingCache(PublishedTable(spark, IO.scratch_dir(spark, "e22")))
+    cache.embed(v.where(F.col("id") < v.select(F.avg("id")).scalar()), "id", "title")
+    return rounded(cache.embed(v, "id", "title").select("id", "cached", F.col("embedding")[0].alias("e0"), F.col("embedding")[63].alias("e63")))
 
 
 # --- ordering of candidate lists ------------------------------------------------

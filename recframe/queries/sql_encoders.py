@@ -106,10 +106,11 @@ R = lambda c: f"round({c}, 6) as {c}"
 SQL = {
     "e01_string_vocab": with_views(svocab("videos", "category", start=True, mask="-"), "videos"),
     "e02_integer_vocab": with_views(ivocab("interactions", "video_id"), "interactions"),
-    "e03_inverse_lookup": with_views(f"""WITH v AS ({ivocab('(select * from videos where id % 3 <> 0)', 'id')}),
+    "e03_inverse_lookup": with_views(f"""WITH v AS ({ivocab('videos', 'id')}),
         l AS (select i.interaction_id, i.video_id,
                      case when i.video_id is null then 0 else coalesce(v.idx, 1) end as video_id_idx
-              from interactions i left join v on i.video_id = v.value)
+              from (select interaction_id, case when video_id % 11 = 0 then -1 - video_id else video_id end as video_id from interactions) i
+              left join v on i.video_id = v.value)
         select l.*, case when l.video_id_idx = 0 then -1 when l.video_id_idx = 1 then -2 else v.value end as video_id_back
         from l left join v on l.video_id_idx = v.idx""", "videos", "interactions"),
     "e04_hash_bucket": with_views(f"""select id, cast(((('0x' || substr(md5(k), 1, 16))::UBIGINT % 1000) * {(1 << 64) % 1000}

@@ -1,6 +1,5 @@
 """Oracle SQL (DuckDB) for ``q_feedback``."""
 
-from recframe.operators.sampling import _cut_points
 from recframe.queries.sql_experiments import bucket, h60
 from recframe.queries.sql_labels import ENRICHED, PAIRS
 from recframe.queries.views import with_views
@@ -45,9 +44,9 @@ def split_case(idx: str, n: str, tr: float, tv: float) -> str:
             f"else 'test' end")
 
 
-TR, TV = _cut_points(0.8, 0.1, 0.1, True)
-STR, STV = _cut_points(0.8, 0.1, None, False)
-PTR, PTV = _cut_points(0.7, 0.15, 0.15, True)
+TR, TV = 0.8 / (0.8 + 0.1 + 0.1), 0.8 / (0.8 + 0.1 + 0.1) + 0.1 / (0.8 + 0.1 + 0.1)  # shares of train, and of train and val
+STR, STV = 0.8, 0.8 + 0.1
+PTR, PTV = 0.7 / (0.7 + 0.15 + 0.15), 0.7 / (0.7 + 0.15 + 0.15) + 0.15 / (0.7 + 0.15 + 0.15)
 
 
 def balance(src: str, keycol: str) -> str:
@@ -159,6 +158,13 @@ SQL = {
         bal AS (select * from {balance('mr', 'record_id')})
         select record_id, label, {split_case('i', 'n', TR, TV)} as split from (
           select record_id, label, row_number() over (order by {key(['record_id'])}, record_id) - 1 as i, count(*) over () as n from bal)"""),
+    "x06_retraining_summary": fw(f""", mr AS (select *, inference_id || ':' || cast(video_id as varchar) as record_id from merged),
+        bal AS (select * from {balance('mr', 'record_id')}),
+        sp AS (select *, {split_case('i', 'n', TR, TV)} as split from (
+          select *, row_number() over (order by {key(['record_id'])}, record_id) - 1 as i, count(*) over () as n from bal))
+        select count(*) as total_samples, count(*) filter (where label = 1) as positive_samples, count(*) filter (where label = 0) as negative_samples,
+               count(distinct user_id) as unique_users, count(distinct video_id) as unique_videos, count(*) filter (where split = 'train') as train_samples,
+               count(*) filter (where split = 'val') as val_samples, count(*) filter (where split = 'test') as test_samples from sp"""),
     "x07_merge_gate": fw("select inference_id, video_id, label from merged where (select count(*) from labels) >= 100"),
     "u01_union_samples": with_views(f"""WITH {ENRICHED}
         select interaction_id, user_id, video_id, device, 1 as label from enriched where is_positive

@@ -115,5 +115,5 @@ SQL = {
     "j24_item_feature_table": with_views("""select v.id as video_id, v.category, v.language as video_language,
           v.duration as video_duration, v.popularity, v.view_count, v.like_count, v.comment_count,
           cast(coalesce(c.subscriber_count, 0) as bigint) as channel_subscriber_count
-        from videos v left join (select * from channels where id % 10 <> 3) c on v.channel_id = c.id""", "videos", "channels"),
+        from videos v left join channels c on case when v.id % 10 = 3 then -1 - v.channel_id else v.channel_id end = c.id""", "videos", "channels"),
 }

@@ -69,6 +69,11 @@ def qw(body: str) -> str:
     return with_views(f"WITH {BASE}, {DRIFT} {body}", "users", "videos", "online", "feature_records")
 
 
+def every(body: str) -> str:
+    """The same over all records."""
+    return qw(body).replace("where ts >= timestamp '2024-01-16'", "", 1)
+
+
 PERF = """
 def_log AS (select * from inference_log),
 pm AS (select 'all' as part, * from (select count(*) as num_samples, avg(len(recommendations)) as avg_num_recommendations,
@@ -128,10 +133,10 @@ def lw(body: str) -> str:
 OW = "select * from online"
 
 SQL = {
-    "a01_numeric_profile": qw(f"select {NPROF_COLS} from ncur"),
-    "a02_categorical_profile": qw("select feature, count, missing_count, unique_count, round(missing_rate, 6) as missing_rate from ccur"),
-    "k02_top_values": qw("select feature, value, count, row_number() over (partition by feature order by count desc, value) as rank from vc qualify rank <= 10"),
-    "a03_profile_features": qw(f"""select {NPROF_COLS}, 'numerical' as feature_type, cast(0 as bigint) as unique_count from ncur
+    "a01_numeric_profile": every(f"select {NPROF_COLS} from ncur"),
+    "a02_categorical_profile": every("select feature, count, missing_count, unique_count, round(missing_rate, 6) as missing_rate from ccur"),
+    "k02_top_values": every("select feature, value, count, row_number() over (partition by feature order by count desc, value) as rank from vc qualify rank <= 10"),
+    "a03_profile_features": every(f"""select {NPROF_COLS}, 'numerical' as feature_type, cast(0 as bigint) as unique_count from ncur
         union all by name select feature, count, missing_count, unique_count, round(missing_rate, 6) as missing_rate,
                                  'categorical' as feature_type from ccur"""),
     "j22_stat_vs_baseline": qw("""select c.feature, round(c.mean, 6) as mean, round(c.std, 6) as std,

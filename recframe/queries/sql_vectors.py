@@ -1,4 +1,4 @@
-"""Oracle SQL (DuckDB) for ``q_vectors`` (R01, J15, E21, E22 are rows-only)."""
+"""Oracle SQL (DuckDB) for ``q_vectors`` (J15 is rows-only)."""
 
 from recframe.queries.views import with_views
 
@@ -87,6 +87,11 @@ SCANNED = f"""WITH t AS {topk_sql(QALL, 20)},
           where kept < 10)"""
 
 
+HASHED = f"""WITH raw AS (select id, title, list_transform(range(64), lambda i:
+            ('0x' || substr(md5(title || '#' || cast(i as varchar)), 1, 8))::UBIGINT / 2147483648.0 - 1.0) as r from videos),
+        hv AS (select id, title, {unit('r')} as u from raw)"""
+
+
 SQL = {
     "j14_vector_topk_exact": vw(f"select query_id, item_id, round(score, 6) as score, rank from {topk_sql(QALL, 10)}"),
     "k01_global_topk": vw(f"select item_id, round(score, 6) as score, rank from {topk_sql('(select id as query_id, embedding from items where id = 0)', 10)}"),
@@ -122,6 +127,9 @@ SQL = {
         select v.id, round(coalesce(nv.te[1], 0.0), 6) as e0,
                round(coalesce(sqrt(list_dot_product(nv.te, nv.te)), 0.0), 6) as norm
         from videos v left join nv on v.id = nv.id""", "videos", "items"),
+    "e21_text_embedding": with_views(f"""{HASHED} select id, list_transform(u, lambda x: round(x, 6)) as embedding from hv""", "videos"),
+    "e22_embedding_cache": with_views(f"""{HASHED} select id, title in (select title from videos where id < (select avg(id) from videos)) as cached,
+          round(u[1], 6) as e0, round(u[64], 6) as e63 from hv""", "videos"),
     "f08_parse_tags": with_views("""select id, case when manual_tags is null or trim(manual_tags) = '' or trim(manual_tags) = '-' then []::varchar[]
           else list_filter(list_transform(string_split(manual_tags, '|'), lambda x: lower(trim(x))), lambda x: x <> '') end as tags
         from videos""", "videos"),
