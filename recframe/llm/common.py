@@ -4,13 +4,13 @@ arrays, word positions and rolling fingerprints, and bucketed text tables."""
 from __future__ import annotations
 
 import ctypes
-import functools
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,22 +54,20 @@ def written_small(df: DataFrame) -> DataFrame:
         return written(df)
 
 
-@functools.cache
-def _libc() -> ctypes.CDLL | None:
-    """glibc, told once to take arrays of 1 MB and more from the system and give them back when freed."""
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)
-        return libc
-    except (OSError, AttributeError):
-        return None
+_trimmed: int | None = None
 
 
 def hand_back() -> None:
-    """Return unused memory: Spark keeps Python workers for later tasks, with all that they hold."""
+    """Return unused memory, once a task: Spark keeps Python workers for later
+    tasks, with all that they hold."""
+    global _trimmed
     pa.default_memory_pool().release_unused()
-    if _libc() is not None:
-        _libc().malloc_trim(0)
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context else None
+    if task is None or task != _trimmed:
+        _trimmed = task
+        with suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -80,7 +78,6 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             yield out
             del out
             pa.default_memory_pool().release_unused()
-        hand_back()
     return task
 
 

@@ -47,6 +47,8 @@ BUCKET_BYTES = 2 << 20
 #: Bytes of contexts in one suffix array; positions must fit 21 bits.
 SHARD_BYTES = 3 << 18
 KEYS_PER_PART = 200_000
+#: Bytes of text (or one text) whose anchors are found at once.
+ANCHOR_BYTES = 256 << 10
 #: Bytes of text for one range of the fingerprints of split anchors.
 MERGE_BYTES = 4 << 20
 
@@ -71,7 +73,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.
     """(place, fingerprint) of the anchors of all texts in ``data``, some whole
     texts at a time: the passes below need 100 bytes and more for one of text."""
     place, found = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-    for lo, hi in slices(offs):
+    for lo, hi in slices(offs, ANCHOR_BYTES):
         p, h = _anchors(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], width)
         place.append(p + offs[lo])
         found.append(h)

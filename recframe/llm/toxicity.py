@@ -294,6 +294,10 @@ class Model:
     slope: float
     offset: float
 
+    def forget(self) -> None:
+        """Drop the words met: the worker that holds the model is kept for other tasks."""
+        self.__dict__.pop("cache", None)
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.marks is None:
             return np.zeros(len(texts))
@@ -370,11 +374,13 @@ def score(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(texts_of(b)), pa.float64())], ["doc_id", "score"])
+        shared.value.forget()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = pa.array(shared.value.scores(texts_of(b)) < 0.5)
             yield pa.RecordBatch.from_struct_array(b.filter(ok).column(0))
+        shared.value.forget()
 
     if keep == "clean":
         return written_small(docs.select(F.struct("*").alias("row"), text_bytes().alias("raw")).mapInArrow(frugal(clean), docs.schema))
