@@ -80,3 +80,9 @@ PSI_SCALE = 0.5
 # Prediction lifetime and attribution window.
 PREDICTION_TTL_HOURS = 48
 ATTRIBUTION_HOURS = 24
+
+# Widths of the model's embedding layers (E23), fixed values.
+USER_TOWER_DIMS = {"user_id": 32, "country": 16, "language": 16, "category": 32, "age_bucket": 8}
+VIDEO_TOWER_DIMS = {"video_id": 32, "category": 32, "popularity": 4, "duration_bucket": 8}
+TITLE_EMBEDDING_DIM = 768
+TAGS_EMBEDDING_DIM = 100

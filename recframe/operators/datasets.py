@@ -178,10 +178,14 @@ def capture_record(log: DataFrame) -> DataFrame:
                       .alias("metadata"))
 
 
-def catalogue_counts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Rows and distinct ids per named table."""
+def catalogue_counts(tables: dict[str, tuple[DataFrame, str]],
+                     splits: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """Rows and distinct ids per named table, and per part of a split table
+    (``<name>_<split>``, by its ``split`` column; a part without rows has no row)."""
     parts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
                     F.count_distinct(key).alias("distinct_ids")) for name, (df, key) in tables.items()]
+    parts += [df.groupBy(F.concat(F.lit(f"{name}_"), "split").alias("table")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("distinct_ids")) for name, (df, key) in (splits or {}).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recframe import constants as C
-from recframe.operators.ordering import dense_index, exact_quantiles
+from recframe.operators.ordering import dense_index, exact_quantiles, global_prefix
 
 
 def _c(x) -> Column:
@@ -100,6 +100,27 @@ def oov_vocab(values: DataFrame, col: str) -> DataFrame:
     return string_vocab(values, col, True, True, False, None, C.PAD, C.OOV)
 
 
+def _vocabs_of(pairs: DataFrame) -> DataFrame:
+    """(vocab, value) rows, nulls and specials dropped → (vocab, value, idx):
+    one exact ordering over (vocab, value), each vocabulary's indices restarting
+    at 2 after [PAD] 0 and the unknown token 1."""
+    g = global_prefix(pairs, ["vocab", "value"])
+    first = g.groupBy("vocab").agg(F.min("_gidx").alias("_g0"))
+    return g.join(first, "vocab").select("vocab", "value", (F.col("_gidx") - F.col("_g0") + 2).alias("idx"))
+
+
+def _vocab_specials(names: DataFrame, unk_token: str) -> DataFrame:
+    return names.select("vocab", F.explode(F.array(
+        F.struct(F.lit(C.PAD).alias("value"), F.lit(0).cast("bigint").alias("idx")),
+        F.struct(F.lit(unk_token).alias("value"), F.lit(1).cast("bigint").alias("idx")))).alias("s")
+    ).select("vocab", "s.value", "s.idx")
+
+
+def _unpivot(df: DataFrame, named: list[tuple[str, Column]]) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("vocab"), c.cast("string").alias("value"))
+                                         for n, c in named])).alias("p")).select("p.*")
+
+
 def build_all_vocabs(users: DataFrame, videos: DataFrame) -> DataFrame:
     """user_id, country, user_language, video_id, category,
     video_language, shared language and popularity vocabularies in one pass
@@ -108,43 +129,38 @@ def build_all_vocabs(users: DataFrame, videos: DataFrame) -> DataFrame:
     One unpivot, one distinct, one exact ordering over (vocab, value); each
     vocabulary's indices restart at 2 after [PAD] 0 and [OOV] 1.
     """
-    u = users.select(F.col("id").cast("string").alias("user_id"), F.col("country_code").alias("country"),
-                     F.col("preferred_language").alias("user_language"))
-    v = videos.select(F.col("id").cast("string").alias("video_id"), "category",
-                      F.col("language").alias("video_language"), "popularity")
-    pairs = (u.select(F.explode(F.array(
-        F.struct(F.lit("user_id").alias("vocab"), F.col("user_id").alias("value")),
-        F.struct(F.lit("country").alias("vocab"), F.col("country").alias("value")),
-        F.struct(F.lit("user_language").alias("vocab"), F.col("user_language").alias("value")),
-        F.struct(F.lit("language").alias("vocab"), F.col("user_language").alias("value")))).alias("p"))
-        .unionByName(v.select(F.explode(F.array(
-            F.struct(F.lit("video_id").alias("vocab"), F.col("video_id").alias("value")),
-            F.struct(F.lit("category").alias("vocab"), F.col("category").alias("value")),
-            F.struct(F.lit("video_language").alias("vocab"), F.col("video_language").alias("value")),
-            F.struct(F.lit("language").alias("vocab"), F.col("video_language").alias("value")),
-            F.struct(F.lit("popularity").alias("vocab"), F.col("popularity").alias("value")))).alias("p")))
-        .select("p.*").where(F.col("value").isNotNull()
-                             & ~F.col("value").isin(C.PAD, C.OOV)).distinct())
-    from recframe.operators.ordering import global_prefix
-    g = global_prefix(pairs, ["vocab", "value"])
-    first = g.groupBy("vocab").agg(F.min("_gidx").alias("_g0"))
-    regular = g.join(first, "vocab").select("vocab", "value", (F.col("_gidx") - F.col("_g0") + 2).alias("idx"))
-    names = pairs.select("vocab").distinct()
-    specials = names.select("vocab", F.explode(F.array(
-        F.struct(F.lit(C.PAD).alias("value"), F.lit(0).cast("bigint").alias("idx")),
-        F.struct(F.lit(C.OOV).alias("value"), F.lit(1).cast("bigint").alias("idx")))).alias("s")
-    ).select("vocab", "s.value", "s.idx")
-    return specials.unionByName(regular)
-
-
-def apply_vocabs(df: DataFrame, vocabs: DataFrame, cols: list[str]) -> DataFrame:
-    """``<col>_idx`` by vocabulary of the same name; unknown → [OOV] 1."""
+    pairs = (_unpivot(users, [("user_id", F.col("id")), ("country", F.col("country_code")),
+                              ("user_language", F.col("preferred_language")), ("language", F.col("preferred_language"))])
+             .unionByName(_unpivot(videos, [("video_id", F.col("id")), ("category", F.col("category")),
+                                            ("video_language", F.col("language")), ("language", F.col("language")),
+                                            ("popularity", F.col("popularity"))]))
+             .where(F.col("value").isNotNull() & ~F.col("value").isin(C.PAD, C.OOV)).distinct())
+    return _vocab_specials(pairs.select("vocab").distinct(), C.OOV).unionByName(_vocabs_of(pairs))
+
+
+def column_vocabs(df: DataFrame, cols: list[str], fixed: dict[str, list[str]] | None = None) -> DataFrame:
+    """E06 over the columns of one table → (vocab, value, idx), one vocabulary
+    a column, [PAD] 0 and [UNK] 1 first, even of a column without values.
+    ``fixed`` gives the whole values of vocabularies that are not fitted."""
+    spark = df.sparkSession
+    fixed = fixed or {}
+    pairs = (_unpivot(df, [(c, F.col(c)) for c in cols])
+             .where(F.col("value").isNotNull() & ~F.col("value").isin(C.PAD, C.UNK)).distinct())
+    if fixed:
+        pairs = pairs.unionByName(spark.createDataFrame([(n, v) for n, vs in fixed.items() for v in vs], "vocab string, value string"))
+    names = spark.createDataFrame([(n,) for n in [*cols, *fixed]], "vocab string")
+    return _vocab_specials(names, C.UNK).unionByName(_vocabs_of(pairs))
+
+
+def apply_vocabs(df: DataFrame, vocabs: DataFrame, cols: list[str], null_index: int = 1) -> DataFrame:
+    """``<col>_idx`` by vocabulary of the same name; unknown → [OOV] 1,
+    NULL → ``null_index``."""
     out = df
     for c in cols:
         v = vocabs.where(F.col("vocab") == c).select(F.col("value").alias(f"_k_{c}"),
                                                       F.col("idx").alias(f"_i_{c}"))
         out = out.join(v, F.col(c).cast("string") == v[f"_k_{c}"], "left")
-        out = out.withColumn(f"{c}_idx", F.coalesce(F.col(f"_i_{c}"), F.lit(1)).cast("bigint")) \
+        out = out.withColumn(f"{c}_idx", F.coalesce(F.col(f"_i_{c}"), F.when(F.col(c).isNull(), null_index).otherwise(1)).cast("bigint")) \
                  .drop(f"_k_{c}", f"_i_{c}")
     return out
 

@@ -119,29 +119,36 @@ def two_sided_p(z: pd.Series) -> pd.Series:
 
 def experiment_report(inter: DataFrame, experiment_id: str, variants: list[Variant], min_sample_size: int = 100,
                       confidence: float = 0.95, primary_metric: str = "click_through_rate") -> DataFrame:
-    """Time range, A09 per variant, A10 with its p-value and the
-    recommendation text."""
+    """Time range, A10 with its p-value (two variants only) and the
+    recommendation text; one row, whatever the experiment holds.
+
+    Without an interaction: "Insufficient data for analysis", no times, p 1.0.
+    Else the first variant (in the order given) with fewer than
+    ``min_sample_size`` users, one without any included, keeps it running."""
     ex = inter.where(F.col("experiment_id") == experiment_id)
-    rng = ex.agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+    body = ex.agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count(F.lit(1)).alias("_n"))
     vm = variant_metrics(inter, experiment_id, variants)
-    test = two_proportion_test(vm, variants[0].name, variants[1].name, confidence)
-    short = vm.where(F.col("sample_size") < min_sample_size).agg(
-        F.min_by(F.struct("variant", "sample_size"), "variant").alias("s"))
-    p = two_sided_p(F.col("z_score"))
-    body = test.select("*", p.alias("p_value"), *[rng.select(F.first(c)).scalar().alias(c) for c in rng.columns],
-                       short.select(F.first("s")).scalar().alias("_short"))
-    text = (F.when(F.col("_short").isNotNull(),
-                   F.format_string(f"Continue experiment: %s has only %d/{min_sample_size} required samples",
-                                   F.col("_short.variant"), F.col("_short.sample_size")))
-            .when(~F.col("is_significant"),
-                  F.format_string("No significant difference detected (p=%.3f). Consider running longer or "
-                                  "accepting null hypothesis.", F.col("p_value")))
+    if len(variants) == 2:
+        test = two_proportion_test(vm, variants[0].name, variants[1].name, confidence)
+        body = body.select("*", *[test.select(c).scalar().alias(c) for c in ("z_score", "relative_improvement", "is_significant", "winner")])
+    else:
+        body = body.select("*", F.lit(None).cast("double").alias("z_score"), F.lit(0.0).alias("relative_improvement"),
+                           F.lit(False).alias("is_significant"), F.lit(None).cast("string").alias("winner"))
+    body = body.select("*", two_sided_p(F.col("z_score")).alias("p_value"))
+    text = F.when(F.col("_n") == 0, F.lit("Insufficient data for analysis"))
+    for v in variants:
+        users = F.coalesce(vm.where(F.col("variant") == v.name).select(F.max("sample_size")).scalar(), F.lit(0))
+        text = text.when(users < min_sample_size,
+                         F.format_string("Continue experiment: %s has only %d/%d required samples", F.lit(v.name), users, F.lit(min_sample_size)))
+    text = (text.when(~F.col("is_significant"),
+                      F.format_string("No significant difference detected (p=%.3f). Consider running longer or "
+                                      "accepting null hypothesis.", F.col("p_value")))
             .otherwise(F.format_string(f"Recommend deploying '%s' (+%.1f%% {primary_metric}, p=%.4f)",
                                        F.col("winner"), F.col("relative_improvement") * 100, F.col("p_value"))))
+    hours = (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))) / 3.6e9
     return body.select(F.lit(experiment_id).alias("experiment_id"), "start_time", "end_time",
-                       ((F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp")))
-                        / 3.6e9).alias("duration_hours"),
-                       "z_score", "p_value", "is_significant", "winner", text.alias("recommendation"))
+                       F.coalesce(hours, F.lit(0.0)).alias("duration_hours"), "z_score", "p_value",
+                       "relative_improvement", "is_significant", "winner", text.alias("recommendation"))
 
 
 # --- exploration sampling ------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recframe import constants as C
@@ -72,6 +72,25 @@ def video_features(df: DataFrame, videos: DataFrame, users: DataFrame | None = N
                       E.bucketize("video_duration", DURATION_BOUNDARIES).alias("duration_bucket_idx"))
 
 
+def video_embeddings(df: DataFrame, titles: DataFrame, tags: DataFrame, key: str = "video_id") -> DataFrame:
+    """E15, the vector half: ``title_embedding`` and ``tag_embedding`` of every row
+    by its video.  ``titles`` and ``tags`` are tables of (id, embedding), computed
+    once a video (E21, E20); a video without one gets the zero vector, an empty
+    table gives empty vectors."""
+    out = df
+    for name, table in (("title_embedding", titles), ("tag_embedding", tags)):
+        t = table.select(F.col("id").alias("_eid"), F.col("embedding").cast("array<double>").alias(name))
+        width = F.coalesce(t.select(F.max(F.size(name))).scalar(), F.lit(0))
+        out = out.join(t, out[key] == F.col("_eid"), "left").drop("_eid")
+        out = out.withColumn(name, F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), width)))
+    return out
+
+
+def all_tags(manual, augmented=None) -> Column:
+    """The tag text of a video: manual tags, then the augmented ones where there are any."""
+    return F.concat_ws("|", manual, *([augmented] if augmented is not None else []))
+
+
 def ranker_star_join(samples: DataFrame, users: DataFrame, videos: DataFrame,
                      channels: DataFrame) -> DataFrame:
     """Samples ⟕ users ⟕ videos ⟕ channels with the ranker column names."""
@@ -89,12 +108,37 @@ RANKER_STRINGS = ["country", "user_language", "category", "child_categories", "v
                   "device", "interaction_time_day", "popularity"]
 
 
-def ranker_features(df: DataFrame, fit_df: DataFrame | None = None, keys=("user_id", "video_id")) -> DataFrame:
-    """E17 (string form): categoricals filled with "UNKNOWN"; age z / bucket
-    (fill 30); log-duration z / bucket (fill 300); log counts; like / comment
-    per view and like per subscriber (NULL or 0 → 1); subscriber log / tier;
-    hour with sin / cos (fill 12); label."""
+#: Index form: column → name of its index; child categories have a vocabulary but no index.
+RANKER_INDEXED = {"country": "country_idx", "user_language": "user_language_idx", "category": "category_idx",
+                  "video_language": "video_language_idx", "device": "device_idx",
+                  "interaction_time_day": "day_idx", "popularity": "popularity_idx"}
+
+
+def ranker_vocabs(fit: DataFrame) -> DataFrame:
+    """E17 fit of the index form → (vocab, value, idx), one pass over the rows;
+    the popularity vocabulary holds the fixed levels."""
+    children = fit.select(F.explode(F.split(F.col("child_categories"), r"\|")).alias("child_categories")).distinct()
+    cols = [c for c in RANKER_INDEXED if c != "popularity"]
+    return (E.column_vocabs(fit, cols, {"popularity": C.POPULARITY_LEVELS})
+            .unionByName(E.column_vocabs(children, ["child_categories"])))
+
+
+def ranker_features(df: DataFrame, fit_df: DataFrame | None = None, keys=("user_id", "video_id"),
+                    form: str = "string") -> DataFrame:
+    """Categoricals; age z / bucket (fill 30); log-duration z / bucket
+    (fill 300); log counts; like / comment per view and like per subscriber
+    (NULL or 0 → 1); subscriber log / tier; hour with sin / cos (fill 12); label.
+
+    ``form`` "string" fills categoricals with "UNKNOWN"; "index" gives their
+    places in the vocabularies of ``fit_df`` (NULL → 0, unseen → 1)."""
+    if form not in ("string", "index"):
+        raise ValueError(f"form must be string or index, not {form!r}")
     fit = fit_df if fit_df is not None else df
+    if form == "index":
+        df = E.apply_vocabs(df.drop(*[f"{c}_idx" for c in RANKER_INDEXED]), ranker_vocabs(fit), list(RANKER_INDEXED), null_index=0)
+        kinds = [F.col(f"{c}_idx").alias(name) for c, name in RANKER_INDEXED.items()]
+    else:
+        kinds = [F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias(c) for c in RANKER_STRINGS]
     za = E.ZScore.fit(fit.where(F.col("age").isNotNull()), "age")
     logd = F.log1p(F.col("video_duration").cast("double"))
     fd = fit.where(F.col("video_duration").isNotNull()).select(F.log1p(F.col("video_duration").cast("double")).alias("x"))
@@ -106,7 +150,7 @@ def ranker_features(df: DataFrame, fit_df: DataFrame | None = None, keys=("user_
     hour = F.coalesce(F.col("interaction_time_hour"), F.lit(C.RANKER_FILLS["hour"]))
     sin, cos = E.cyclical(hour, 24)
     zero = F.lit(0)
-    cols = [*keys, *[F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias(c) for c in RANKER_STRINGS],
+    cols = [*keys, *kinds,
             za.transform(age).alias("age_normalized"), E.bucketize(age, AGE_BOUNDARIES).alias("age_bucket"),
             zd.transform(F.log1p(dur.cast("double"))).alias("duration_log_normalized"),
             E.bucketize(dur, DURATION_BOUNDARIES).alias("duration_bucket"),
@@ -153,14 +197,39 @@ def service_derived(df: DataFrame) -> DataFrame:
                      (F.coalesce(F.col("comment_count"), z) / views).alias("comment_view_ratio"))
 
 
-def feature_specs(vocabs: DataFrame, embedding_dims: dict[str, int] | None = None) -> DataFrame:
-    """Vocabulary sizes (max index + 1, T43) and embedding widths as
-    (feature, kind, size) rows."""
-    sizes = vocabs.groupBy("vocab").agg((F.max("idx") + 1).alias("size")).select(
-        F.col("vocab").alias("feature"), F.lit("vocabulary").alias("kind"), F.col("size").cast("bigint"))
-    if embedding_dims:
-        spark = vocabs.sparkSession
-        emb = spark.createDataFrame([(k, "embedding", int(v)) for k, v in embedding_dims.items()],
-                                    "feature string, kind string, size bigint")
-        sizes = sizes.unionByName(emb)
-    return sizes
+RANKER_NUMERIC = ["age_normalized", "age_bucket", "duration_log_normalized", "duration_bucket", "view_count_log",
+                  "like_count_log", "comment_count_log", "like_ratio", "comment_ratio", "subscriber_count_log",
+                  "subscriber_tier", "engagement_rate", "hour", "hour_sin", "hour_cos"]
+
+
+def feature_specs(users: DataFrame, videos: DataFrame) -> DataFrame:
+    """What a model builder needs to size its inputs → (model, feature,
+    kind, size).
+
+    kind "vocabulary": indices of the feature, max index + 1 (T43), which is the
+    specials and the distinct values, so nothing is ordered.  "embedding": width
+    of its layer.  "categorical", "numeric", "label": columns of the ranker, one wide each."""
+    def distinct(df, col, specials, mask=None):
+        c = F.col(col) if mask is None else F.when(F.col(col) != mask, F.col(col))
+        return df.agg((F.count_distinct(c) + specials).alias("n")).scalar()
+
+    category = distinct(videos, "category", 2)
+    sizes = {
+        ("user_tower", "user_id"): distinct(users, "id", 2),
+        ("user_tower", "country"): distinct(users, "country_code", 2),
+        ("user_tower", "language"): distinct(_languages(users, videos), "v", 2),
+        ("user_tower", "category"): distinct(videos, "category", 3, mask="-"),
+        ("user_tower", "age_bucket"): F.lit(len(AGE_BOUNDARIES) + 1),
+        ("video_tower", "video_id"): distinct(videos, "id", 2),
+        ("video_tower", "category"): category,
+        ("video_tower", "popularity"): F.lit(len(C.POPULARITY_LEVELS) + 2),
+        ("video_tower", "duration_bucket"): F.lit(len(DURATION_BOUNDARIES) + 1),
+    }
+    known = [(m, f, "vocabulary", n) for (m, f), n in sizes.items()]
+    known += [(m, f, "embedding", F.lit(n)) for m, dims in (("user_tower", C.USER_TOWER_DIMS), ("video_tower", {
+        **C.VIDEO_TOWER_DIMS, "title": C.TITLE_EMBEDDING_DIM, "tags": C.TAGS_EMBEDDING_DIM})) for f, n in dims.items()]
+    known += [("ranker", f, kind, F.lit(1)) for kind, names in (("categorical", RANKER_STRINGS), ("numeric", RANKER_NUMERIC),
+                                                                ("label", ["label"])) for f in names]
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("feature"), F.lit(k).alias("kind"),
+                              n.cast("bigint").alias("size")) for m, f, k, n in known])
+    return users.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")

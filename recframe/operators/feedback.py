@@ -147,11 +147,13 @@ def user_predictions(predictions: DataFrame, now, limit: int = 100) -> DataFrame
 
 
 def attribute_feedback(feedback: DataFrame, predictions: DataFrame, now,
-                       max_delay_hours: int = C.ATTRIBUTION_HOURS) -> DataFrame:
-    """J09 (as-of join): the newest live prediction of the same user (among
-    its newest 100) that recommended the video, with feedback − prediction
-    ≤ max delay (upper bound only).  Unattributed feedback gets NULL."""
-    up = user_predictions(predictions, now).select(
+                       max_delay_hours: int = C.ATTRIBUTION_HOURS, newest: int | None = 100) -> DataFrame:
+    """J09 (as-of join): the newest live prediction of the same user that
+    recommended the video, with feedback − prediction ≤ max delay (upper bound
+    only).  Only a user's ``newest`` live predictions are looked at, as W05 lists
+    them; None looks at all.  Unattributed feedback gets NULL."""
+    live = ttl_filter(predictions, now) if newest is None else user_predictions(predictions, now, newest)
+    up = live.select(
         "user_id", F.col("inference_id").alias("attributed_inference_id"), F.col("ts").alias("_pts"),
         F.explode(F.array_distinct("recommended_video_ids")).alias("video_id"))
     fb = feedback.select("feedback_id", "user_id", "video_id", F.col("ts").alias("_fts"))

@@ -8,8 +8,10 @@ from recframe.functions import labels as L
 from recframe.operators import encoders as E
 from recframe.operators import features as FT
 from recframe.operators import interactions as I
+from recframe.operators import vectors as V
 from recframe.queries.common import query, rounded
 from recframe.queries.q_labels import enriched
+from recframe.queries.q_vectors import tag_vectors
 from recframe.sources import adapters as A
 
 
@@ -124,6 +126,17 @@ def e15(spark, d):
     return rounded(FT.video_features(pairs(spark, d), A.videos(spark, d), A.users(spark, d)))
 
 
+@query("e15_video_embeddings")
+def e15_embeddings(spark, d):
+    """The vector half of the video row; titles and tags are embedded once a video."""
+    v = A.videos(spark, d)
+    titles = V.text_embedding(v, "title", "id", dim=64)
+    tags = V.tag_embedding(v.select("id", FT.all_tags(F.col("manual_tags")).alias("tags")), tag_vectors(spark, d)).select(
+        "id", F.col("tag_embedding").alias("embedding"))
+    e = FT.video_embeddings(pairs(spark, d).select("user_id", "video_id"), titles, tags)
+    return e.select("user_id", "video_id", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("title_embedding", "tag_embedding")])
+
+
 @query("e26_transformed_pairs")
 def e26(spark, d):
     p = pairs(spark, d)
@@ -143,6 +156,16 @@ def e17(spark, d):
     return rounded(FT.ranker_features(ranker_rows(spark, d), keys=("interaction_id",)))
 
 
+@query("e17_ranker_features_index")
+def e17_index(spark, d):
+    return rounded(FT.ranker_features(ranker_rows(spark, d), keys=("interaction_id",), form="index"))
+
+
+@query("e17_ranker_vocabs")
+def e17_vocabs(spark, d):
+    return FT.ranker_vocabs(ranker_rows(spark, d))
+
+
 @query("e18_serving_features")
 def e18(spark, d):
     r = ranker_rows(spark, d).select("interaction_id", "view_count", "like_count", "comment_count",
@@ -159,7 +182,7 @@ def e19(spark, d):
 
 @query("e23_feature_specs")
 def e23(spark, d):
-    return FT.feature_specs(E.build_all_vocabs(A.users(spark, d), A.videos(spark, d)))
+    return FT.feature_specs(A.users(spark, d), A.videos(spark, d))
 
 
 @query("a23_normalization_stats")

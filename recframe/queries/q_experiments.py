@@ -34,6 +34,12 @@ def a11(spark, d):
     return rounded(X.experiment_report(A.online_interactions(spark, d), "exp_1", VARIANTS))
 
 
+@query("a11_experiment_report_no_data")
+def a11_no_data(spark, d):
+    """An experiment that none of the interactions belongs to."""
+    return rounded(X.experiment_report(A.online_interactions(spark, d), "exp_0", VARIANTS))
+
+
 def _ranked(spark, d):
     s = scored(spark, d, by="user").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("request_id"),
                                            F.col("item_id").alias("video_id"), F.col("score").alias("ranker_score"))

@@ -10,6 +10,7 @@ from recframe.operators import datasets as DS
 from recframe.operators import encoders as E
 from recframe.operators import feedback as FB
 from recframe.operators import ranking as R
+from recframe.operators import sampling as S
 from recframe.operators.ordering import dense_index
 from recframe.queries.common import query, rounded
 from recframe.queries.q_encoders import pairs, ranker_rows
@@ -94,6 +95,12 @@ def r05(spark, d):
     return log
 
 
+@query("r05_tracked_predictions")
+def r05_predictions(spark, d):
+    p = A.predictions(spark, d).select("request_id", "user_id", "recommended_video_ids", "ts", "model_version", "experiment_id")
+    return FB.track_inference(p)[0]
+
+
 @query("r06_capture_from_response")
 def r06(spark, d):
     return DS.capture_record(A.inference_log(spark, d))
@@ -116,7 +123,10 @@ def a45(spark, d):
 def a50(spark, d):
     return DS.catalogue_counts({"users": (A.users(spark, d), "id"), "videos": (A.videos(spark, d), "id"),
                                 "channels": (A.channels(spark, d), "id"),
-                                "interactions": (A.interactions(spark, d), "interaction_id")})
+                                "interactions": (A.interactions(spark, d), "interaction_id"),
+                                "positive_interactions": (enriched(spark, d).where("is_positive"), "interaction_id")},
+                               {"two_tower": (S.bernoulli_split(pairs(spark, d), ["user_id", "video_id"]), "user_id"),
+                                "ranker": (S.bernoulli_split(ranker_rows(spark, d), ["interaction_id"]), "interaction_id")})
 
 
 @query("f07_watch_percentage")

@@ -72,7 +72,8 @@ def a46(spark, d):
 def j11(spark, d):
     v = A.videos(spark, d).select(F.col("id").alias("video_id"))
     e = V.embedding_lookup(v, "video_id", items(spark, d))
-    return rounded(e.select("video_id", F.size("embedding").alias("dim"), V.l2norm("embedding").alias("norm")))
+    return rounded(e.select("video_id", F.size("embedding").alias("dim"), V.l2norm("embedding").alias("norm"),
+                            F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding")))
 
 
 def tag_vectors(spark, d):
@@ -86,7 +87,8 @@ def tag_vectors(spark, d):
 def e20(spark, d):
     v = A.videos(spark, d).select("id", F.col("manual_tags").alias("tags"))
     t = V.tag_embedding(v, tag_vectors(spark, d))
-    return rounded(t.select("id", F.col("tag_embedding")[0].alias("e0"), V.l2norm("tag_embedding").alias("norm")))
+    return rounded(t.select("id", F.transform("tag_embedding", lambda x: F.round(x, 6)).alias("tag_embedding"),
+                            V.l2norm("tag_embedding").alias("norm")))
 
 
 @query("f08_parse_tags")

@@ -1,6 +1,7 @@
 """Oracle SQL (DuckDB) for ``q_encoders``."""
 
 from recframe.queries.sql_labels import ENRICHED, PAIRS
+from recframe.queries.sql_vectors import HASHED, TAGGED
 from recframe.queries.views import with_views
 
 
@@ -97,8 +98,51 @@ def _round_all(cols: list[str], src: str) -> str:
     return "select " + ", ".join(cols) + f" from {src}"
 
 
-def ew(body: str) -> str:
-    return with_views(f"WITH {ENRICHED}, {body}", "users", "videos", "channels", "interactions")
+def ew(body: str, *extra: str) -> str:
+    return with_views(f"WITH {ENRICHED}, {body}", "users", "videos", "channels", "interactions", *extra)
+
+
+ZEROS = "list_transform(range(64), lambda k: cast(0 as double))"
+
+
+RANKER_STRINGS = ["country", "user_language", "category", "child_categories", "video_language", "device",
+                  "interaction_time_day", "popularity"]
+RANKER_INDEXED = {"country": "country_idx", "user_language": "user_language_idx", "category": "category_idx",
+                  "video_language": "video_language_idx", "device": "device_idx",
+                  "interaction_time_day": "day_idx", "popularity": "popularity_idx"}
+
+RANKER_VOCABS = "rv_src AS (" + " union ".join(
+    f"select '{c}' as vocab, cast({c} as varchar) as value from rk where {c} is not null" for c in RANKER_INDEXED if c != "popularity") + """
+  union select 'popularity', unnest(['low', 'medium', 'high', 'viral'])
+  union select 'child_categories', unnest(string_split(child_categories, '|')) from rk where child_categories is not null),
+rv AS (select vocab, value, 1 + row_number() over (partition by vocab order by value) as idx from rv_src
+  union all select distinct vocab, '[PAD]', 0 from rv_src union all select distinct vocab, '[UNK]', 1 from rv_src)"""
+
+
+def ranker_sql(categoricals: str, extra: str = "") -> str:
+    """Both forms of the ranker's feature row."""
+    return ew(f"""{RANKER},
+        st AS (select avg(age) as am, stddev_pop(age) as asd,
+                      avg(ln(1 + video_duration)) filter (where video_duration is not null) as dm,
+                      stddev_pop(ln(1 + video_duration)) filter (where video_duration is not null) as dsd from rk){', ' + extra if extra else ''}
+        select interaction_id, {categoricals},
+          round((coalesce(age, 30) - am) / (asd + 1e-8), 6) as age_normalized,
+          {digitize('coalesce(age, 30)', [18, 25, 35, 45, 55, 65])} as age_bucket,
+          round((ln(1 + coalesce(video_duration, 300)) - dm) / (dsd + 1e-8), 6) as duration_log_normalized,
+          {digitize('coalesce(video_duration, 300)', [60, 300, 600, 1800, 3600])} as duration_bucket,
+          round(ln(1 + coalesce(view_count, 0)), 6) as view_count_log,
+          round(ln(1 + coalesce(like_count, 0)), 6) as like_count_log,
+          round(coalesce(like_count, 0) / coalesce(nullif(view_count, 0), 1), 6) as like_ratio,
+          round(ln(1 + coalesce(comment_count, 0)), 6) as comment_count_log,
+          round(coalesce(comment_count, 0) / coalesce(nullif(view_count, 0), 1), 6) as comment_ratio,
+          round(ln(1 + coalesce(channel_subscriber_count, 0)), 6) as subscriber_count_log,
+          {digitize('coalesce(channel_subscriber_count, 0)', [10000, 100000, 1000000])} as subscriber_tier,
+          round(coalesce(like_count, 0) / coalesce(nullif(channel_subscriber_count, 0), 1), 6) as engagement_rate,
+          coalesce(interaction_time_hour, 12) as hour,
+          round(sin(2 * pi() * coalesce(interaction_time_hour, 12) / 24.0), 6) as hour_sin,
+          round(cos(2 * pi() * coalesce(interaction_time_hour, 12) / 24.0), 6) as hour_cos,
+          label
+        from rk, st""")
 
 
 R = lambda c: f"round({c}, 6) as {c}"
@@ -152,31 +196,11 @@ SQL = {
         from userf u join videof v on u.user_id = v.user_id and u.video_id = v.video_id"""),
     "j03_ranker_star_join": ew(f"""{RANKER}
         select interaction_id, user_id, video_id, country, age, category, video_duration, channel_subscriber_count, label from rk"""),
-    "e17_ranker_features": ew(f"""{RANKER},
-        st AS (select avg(age) as am, stddev_pop(age) as asd,
-                      avg(ln(1 + video_duration)) filter (where video_duration is not null) as dm,
-                      stddev_pop(ln(1 + video_duration)) filter (where video_duration is not null) as dsd from rk)
-        select interaction_id, """ + ", ".join(
-            f"coalesce(cast({c} as varchar), 'UNKNOWN') as {c}" for c in
-            ["country", "user_language", "category", "child_categories", "video_language", "device",
-             "interaction_time_day", "popularity"]) + f""",
-          round((coalesce(age, 30) - am) / (asd + 1e-8), 6) as age_normalized,
-          {digitize('coalesce(age, 30)', [18, 25, 35, 45, 55, 65])} as age_bucket,
-          round((ln(1 + coalesce(video_duration, 300)) - dm) / (dsd + 1e-8), 6) as duration_log_normalized,
-          {digitize('coalesce(video_duration, 300)', [60, 300, 600, 1800, 3600])} as duration_bucket,
-          round(ln(1 + coalesce(view_count, 0)), 6) as view_count_log,
-          round(ln(1 + coalesce(like_count, 0)), 6) as like_count_log,
-          round(coalesce(like_count, 0) / coalesce(nullif(view_count, 0), 1), 6) as like_ratio,
-          round(ln(1 + coalesce(comment_count, 0)), 6) as comment_count_log,
-          round(coalesce(comment_count, 0) / coalesce(nullif(view_count, 0), 1), 6) as comment_ratio,
-          round(ln(1 + coalesce(channel_subscriber_count, 0)), 6) as subscriber_count_log,
-          {digitize('coalesce(channel_subscriber_count, 0)', [10000, 100000, 1000000])} as subscriber_tier,
-          round(coalesce(like_count, 0) / coalesce(nullif(channel_subscriber_count, 0), 1), 6) as engagement_rate,
-          coalesce(interaction_time_hour, 12) as hour,
-          round(sin(2 * pi() * coalesce(interaction_time_hour, 12) / 24.0), 6) as hour_sin,
-          round(cos(2 * pi() * coalesce(interaction_time_hour, 12) / 24.0), 6) as hour_cos,
-          label
-        from rk, st"""),
+    "e17_ranker_features": ranker_sql(", ".join(f"coalesce(cast({c} as varchar), 'UNKNOWN') as {c}" for c in RANKER_STRINGS)),
+    "e17_ranker_features_index": ranker_sql(", ".join(
+        f"case when {c} is null then 0 else coalesce((select idx from rv where vocab = '{c}' and value = cast(rk.{c} as varchar)), 1) end as {name}"
+        for c, name in RANKER_INDEXED.items()), RANKER_VOCABS),
+    "e17_ranker_vocabs": ew(f"{RANKER}, {RANKER_VOCABS} select vocab, value, idx from rv"),
     "e18_serving_features": ew(f"""{RANKER}
         select interaction_id, view_count, like_count, comment_count, channel_subscriber_count, interaction_time_hour, video_duration,
           round(ln(1 + view_count), 6) as view_count_log, round(ln(1 + like_count), 6) as like_count_log,
@@ -199,9 +223,26 @@ SQL = {
           round(coalesce(like_count, 0) / greatest(coalesce(view_count, 0), 1), 6) as like_view_ratio,
           round(coalesce(comment_count, 0) / greatest(coalesce(view_count, 0), 1), 6) as comment_view_ratio
         from rk"""),
-    "e23_feature_specs": with_views(f"""WITH {ALLV}
-        select vocab as feature, 'vocabulary' as kind, cast(max(idx) + 1 as bigint) as size from allv group by vocab""",
-                                    "users", "videos"),
+    "e15_video_embeddings": ew(f"""{PAIRS}, {HASHED.removeprefix("WITH ")}, {TAGGED}
+        select p.user_id, p.video_id, list_transform(coalesce(h.u, {ZEROS}), lambda x: round(x, 6)) as title_embedding,
+               list_transform(coalesce(t.te, {ZEROS}), lambda x: round(x, 6)) as tag_embedding
+        from pairs p left join hv h on p.video_id = h.id left join tagged t on p.video_id = t.id""", "items"),
+    "e23_feature_specs": with_views(f"""select 'user_tower' as model, 'user_id' as feature, 'vocabulary' as kind, count(distinct id) + 2 as size from users
+        union all select 'user_tower', 'country', 'vocabulary', count(distinct country_code) + 2 from users
+        union all select 'user_tower', 'language', 'vocabulary', count(distinct v) + 2 from {LANGS}
+        union all select 'user_tower', 'category', 'vocabulary', count(distinct category) filter (where category <> '-') + 3 from videos
+        union all select 'video_tower', 'video_id', 'vocabulary', count(distinct id) + 2 from videos
+        union all select 'video_tower', 'category', 'vocabulary', count(distinct category) + 2 from videos
+        union all select * from (values ('user_tower', 'age_bucket', 'vocabulary', 7), ('video_tower', 'popularity', 'vocabulary', 6),
+          ('video_tower', 'duration_bucket', 'vocabulary', 6), ('user_tower', 'user_id', 'embedding', 32), ('user_tower', 'country', 'embedding', 16),
+          ('user_tower', 'language', 'embedding', 16), ('user_tower', 'category', 'embedding', 32), ('user_tower', 'age_bucket', 'embedding', 8),
+          ('video_tower', 'video_id', 'embedding', 32), ('video_tower', 'category', 'embedding', 32), ('video_tower', 'popularity', 'embedding', 4),
+          ('video_tower', 'duration_bucket', 'embedding', 8), ('video_tower', 'title', 'embedding', 768), ('video_tower', 'tags', 'embedding', 100),
+          ('ranker', 'label', 'label', 1))
+        union all select 'ranker', unnest({RANKER_STRINGS}), 'categorical', 1
+        union all select 'ranker', unnest(['age_normalized', 'age_bucket', 'duration_log_normalized', 'duration_bucket', 'view_count_log', 'like_count_log',
+          'comment_count_log', 'like_ratio', 'comment_ratio', 'subscriber_count_log', 'subscriber_tier', 'engagement_rate', 'hour', 'hour_sin', 'hour_cos']),
+          'numeric', 1""", "users", "videos"),
     "a23_normalization_stats": with_views("""WITH l AS (
           select 'duration' as feature, cast(duration as double) as v, false as is_log from videos
           union all select 'view_count', view_count, true from videos

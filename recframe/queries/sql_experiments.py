@@ -78,6 +78,11 @@ def rw(body: str) -> str:
 
 
 SQL = {
+    "a11_experiment_report_no_data": with_views("""select 'exp_0' as experiment_id, min(ts) as start_time, max(ts) as end_time,
+          coalesce((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 0) as duration_hours, cast(null as double) as z_score, cast(1 as double) as p_value,
+          cast(0 as double) as relative_improvement, false as is_significant, cast(null as varchar) as winner,
+          case when count(*) = 0 then 'Insufficient data for analysis' end as recommendation
+        from online where experiment_id = 'exp_0'""", "online"),
     "f01_ab_assign": with_views(f"""select user_id, round(b / 10000.0, 6) as bucket,
           case when b / 10000.0 < 0.5 then 'control' when b / 10000.0 < 1.0 then 'treatment' else 'treatment' end as variant,
           case when b / 10000.0 < 0.5 then 'v1' when b / 10000.0 < 1.0 then 'v2' else 'v2' end as model_version

@@ -1,6 +1,7 @@
 """Oracle SQL (DuckDB) for ``q_misc``."""
 
 from recframe.queries.sql_encoders import ALLV, RANKER, ew
+from recframe.queries.sql_experiments import bucket
 from recframe.queries.sql_labels import ENRICHED, PAIRS
 from recframe.queries.sql_ranking import SCORED
 from recframe.queries.views import with_views
@@ -58,11 +59,18 @@ SQL = {
     "a45_user_item_sets": with_views(f"""WITH {ENRICHED}
         select user_id, list_sort(list(distinct video_id)) as positive_videos from enriched where is_positive group by user_id""",
                                      "videos", "interactions"),
-    "a50_catalogue_counts": with_views("""select 'users' as "table", count(*) as rows, count(distinct id) as distinct_ids from users
+    "a50_catalogue_counts": ew(f"""{PAIRS}, {RANKER},
+        tt AS (select *, case when {bucket("concat_ws('|', cast(user_id as varchar), cast(video_id as varchar), '42')")} < 8000 then 'train' else 'val' end as split from pairs),
+        rs AS (select *, case when {bucket("concat_ws('|', interaction_id, '42')")} < 8000 then 'train' else 'val' end as split from rk)
+        select 'users' as "table", count(*) as rows, count(distinct id) as distinct_ids from users
         union all select 'videos', count(*), count(distinct id) from videos
         union all select 'channels', count(*), count(distinct id) from channels
-        union all select 'interactions', count(*), count(distinct interaction_id) from interactions""",
-                                       "users", "videos", "channels", "interactions"),
+        union all select 'interactions', count(*), count(distinct interaction_id) from interactions
+        union all select 'positive_interactions', count(*), count(distinct interaction_id) from enriched where is_positive
+        union all select 'two_tower_' || split, count(*), count(distinct user_id) from tt group by split
+        union all select 'ranker_' || split, count(*), count(distinct interaction_id) from rs group by split"""),
+    "r05_tracked_predictions": with_views("""select 'inf_' || substr(md5(request_id), 1, 16) as inference_id, request_id, user_id,
+          recommended_video_ids, ts, model_version, experiment_id, ts + interval 48 hour as expires_at from predictions""", "predictions"),
     "f07_watch_percentage": with_views("""select feedback_id, case when video_duration_seconds > 0
           then watch_time_seconds / video_duration_seconds else 0.0 end as watch_percentage from feedback""", "feedback"),
     "f09_one_hot_popularity": with_views("""select id, cast(popularity = 'low' as double) as popularity_low,

@@ -91,6 +91,18 @@ HASHED = f"""WITH raw AS (select id, title, list_transform(range(64), lambda i:
             ('0x' || substr(md5(title || '#' || cast(i as varchar)), 1, 8))::UBIGINT / 2147483648.0 - 1.0) as r from videos),
         hv AS (select id, title, {unit('r')} as u from raw)"""
 
+# unit mean of the vectors of a video's tags; zeros without a known tag
+TAGGED = f"""vt AS (select id, unnest(tags) as tag from (
+            select id, case when manual_tags is null or trim(manual_tags) = '' or trim(manual_tags) = '-' then []::varchar[]
+                            else list_filter(list_transform(string_split(manual_tags, '|'), lambda x: lower(trim(x))), lambda x: x <> '') end as tags
+            from videos)),
+        tv AS (select t.tag, i.embedding as vector from (select distinct tag from vt) t
+               join items i on i.id = (length(t.tag) * 37) % (select count(*) from items)),
+        dims AS (select vt.id, d, avg(cast(x as double)) as m from vt join (select tag, generate_subscripts(vector, 1) as d, unnest(vector) as x from tv) e using (tag) group by all),
+        mv AS (select id, list(m order by d) as mean from dims group by id),
+        nv AS (select id, {unit('mean')} as te from mv),
+        tagged AS (select v.id, coalesce(nv.te, list_transform(range(64), lambda k: cast(0 as double))) as te from videos v left join nv on v.id = nv.id)"""
+
 
 SQL = {
     "j14_vector_topk_exact": vw(f"select query_id, item_id, round(score, 6) as score, rank from {topk_sql(QALL, 10)}"),
@@ -113,20 +125,12 @@ SQL = {
         select batch_id, round(avg(m + ln(se) - sii), 6) as loss, round(avg(case when best = i then 1.0 else 0.0 end), 6) as accuracy
         from pi group by batch_id"""),
     "j11_embedding_lookup": with_views("""select v.id as video_id, cast(coalesce(len(i.embedding), 64) as int) as dim,
-          round(coalesce(sqrt(list_dot_product(cast(i.embedding as double[]), cast(i.embedding as double[]))), 0.0), 6) as norm
+          round(coalesce(sqrt(list_dot_product(cast(i.embedding as double[]), cast(i.embedding as double[]))), 0.0), 6) as norm,
+          list_transform(coalesce(cast(i.embedding as double[]), list_transform(range(64), lambda k: cast(0 as double))), lambda x: round(x, 6)) as embedding
         from videos v left join items i on v.id = i.id""", "videos", "items"),
-    "e20_tag_embedding": with_views(f"""WITH vt AS (select id, unnest(tags) as tag from (
-            select id, case when manual_tags is null or trim(manual_tags) = '' or trim(manual_tags) = '-' then []::varchar[]
-                            else list_filter(list_transform(string_split(manual_tags, '|'), lambda x: lower(trim(x))), lambda x: x <> '') end as tags
-            from videos)),
-        tv AS (select t.tag, i.embedding as vector from (select distinct tag from vt) t
-               join items i on i.id = (length(t.tag) * 37) % (select count(*) from items)),
-        dims AS (select vt.id, d, avg(cast(x as double)) as m from vt join (select tag, generate_subscripts(vector, 1) as d, unnest(vector) as x from tv) e using (tag) group by all),
-        mv AS (select id, list(m order by d) as mean from dims group by id),
-        nv AS (select id, {unit('mean')} as te from mv)
-        select v.id, round(coalesce(nv.te[1], 0.0), 6) as e0,
-               round(coalesce(sqrt(list_dot_product(nv.te, nv.te)), 0.0), 6) as norm
-        from videos v left join nv on v.id = nv.id""", "videos", "items"),
+    "e20_tag_embedding": with_views(f"""WITH {TAGGED}
+        select id, list_transform(te, lambda x: round(x, 6)) as tag_embedding, round(coalesce(sqrt(list_dot_product(te, te)), 0.0), 6) as norm from tagged""",
+                                    "videos", "items"),
     "e21_text_embedding": with_views(f"""{HASHED} select id, list_transform(u, lambda x: round(x, 6)) as embedding from hv""", "videos"),
     "e22_embedding_cache": with_views(f"""{HASHED} select id, title in (select title from videos where id < (select avg(id) from videos)) as cached,
           round(u[1], 6) as e0, round(u[64], 6) as e63 from hv""", "videos"),
