@@ -10,9 +10,10 @@ remove, merged per document.
 
 Only words that the phrases use are symbols of the index.  A stretch of such
 words shorter than the shortest phrase cannot hold one and is left out; this
-changes no result.  Phrases travel in blocks of bounded size (BLOCK_WORDS); a
-larger benchmark means more narrow passes over the documents, each adding to
-the spans and items found so far, with no shuffle.
+changes no result.  Phrases travel as numbered words and places in them, in
+blocks of bounded size (BLOCK_WORDS); a larger benchmark means more narrow
+passes over the documents, each adding to the spans and items found so far, with
+no shuffle.  Between passes the result is written, so one block lives at a time.
 
 Defined cases: null and empty texts and items have no words; repeated rows give
 one result each; item_ids that repeat count once; a null item_id reads as "";
@@ -29,44 +30,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import (ALNUM_WORD, LOWER, alnum_words, blocks, flat, frugal, merge_intervals, span_hashes,
-                                 text_bytes, word_spans, written_small)
+from recframe.llm.common import (ALNUM_WORD, LOWER, blocks, flat, frugal, merge_intervals, mix, span_hashes, text_bytes,
+                                 window_hashes, word_spans, written_small)
 from recframe.llm.suffix import suffix_array
 
 WINDOW = 13
-#: Words of benchmark text in one broadcast block (8 bytes each, and the ids).
-BLOCK_WORDS = 4_000_000
+#: Words of benchmark text in one broadcast block, at most (20 bytes each); an item is never cut.
+BLOCK_WORDS = 2_000_000
 #: Bytes of training text in one shard.
 SHARD_BYTES = 8 << 20
 SAMPLE = 8
 
 
 class Phrases:
-    """Distinct phrases of a block of items as rows of word ids, by length."""
+    """Distinct phrases of a block of items, each a place in the numbered words
+    of the items, and the items that hold it."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        words = [(i, alnum_words(t)) for i, t in items]
-        all_words = sorted({w for _, ws in words for w in ws})
-        data = np.frombuffer(b"".join(all_words), np.uint8)
-        ends = np.cumsum([len(w) for w in all_words], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        hashes = span_hashes(data, starts, ends)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        number = {all_words[j]: r + 1 for r, j in enumerate(order)}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, ws in words:
-            ids = [number[w] for w in ws]
-            n = min(window, len(ids))
-            for a in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(tuple(ids[a:a + n]), set()).add(item)
-        self.items = [sorted(v) for v in found.values()]
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []  # (numbers of the phrases, word ids)
-        keys = list(found)
-        for n in sorted({len(k) for k in keys}):
-            nums = np.array([j for j, k in enumerate(keys) if len(k) == n], np.int64)
-            self.by_length.append((nums, np.array([keys[j] for j in nums], np.int64)))
-        self.shortest = min((m.shape[1] for _, m in self.by_length), default=0)
+        self.names = sorted({i for i, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        owner = np.array([number[i] for i, _ in items], np.int64)
+        low = LOWER[np.frombuffer(b"".join(t for _, t in items), np.uint8)]
+        offs = np.concatenate([[0], np.cumsum([len(t) for _, t in items], dtype=np.int64)]).astype(np.int64)
+        starts, ends, rows = word_spans(low, offs, ALNUM_WORD)
+        self.hashes, ids = np.unique(span_hashes(low, starts, ends), return_inverse=True)
+        self.words = (ids + 1).astype(np.int32)
+        counts = np.bincount(rows, minlength=len(items))
+        size = np.minimum(counts, window)
+        windows = np.where(counts > 0, counts - size + 1, 0)
+        item = np.repeat(np.arange(len(items)), windows)
+        place = np.repeat(np.cumsum(counts) - counts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        length = size[item]
+        # equal phrases stand together in the order of their fingerprints; words decide
+        order = np.lexsort((window_hashes(mix(self.words.astype(np.uint64)), place, length), length))
+        item, place, length = item[order], place[order], length[order]
+        same = np.zeros(len(place), bool)
+        same[1:] = length[1:] == length[:-1]
+        for j in range(window):
+            at = np.flatnonzero(same & (length > j))
+            same[at] = self.words[place[at] + j] == self.words[place[at - 1] + j]
+        phrase = np.cumsum(~same) - 1
+        held = np.unique(phrase * max(1, len(self.names)) + owner[item])
+        holders, self.held = np.divmod(held, max(1, len(self.names)))
+        self.held = self.held.astype(np.int32)
+        place, length = place[~same].astype(np.int32), length[~same]
+        self.held_from = np.searchsorted(holders, np.arange(len(place) + 1))
+        self.by_length = [(int(n), np.flatnonzero(length == n), place[length == n]) for n in np.unique(length)]
+        self.shortest = self.by_length[0][0] if self.by_length else 0
+
+    def items(self, phrases: np.ndarray) -> list[str]:
+        """Names of the items that hold any of the phrases."""
+        held = np.concatenate([self.held[self.held_from[p]:self.held_from[p + 1]] for p in np.unique(phrases).tolist()])
+        return [self.names[k] for k in np.unique(held).tolist()]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """1.. for a word of the phrases, 0 for any other."""
@@ -123,13 +138,13 @@ class FMIndex:
         self.samples = self.sa[self.sampled]
         del self.sa
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that begin with each phrase."""
-        lo = np.zeros(len(phrases), np.int64)
-        hi = np.full(len(phrases), len(self.bwt), np.int64)
-        live = np.arange(len(phrases))
-        for j in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, j]
+    def search(self, words: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the suffixes that begin with the ``length`` words from each place."""
+        lo = np.zeros(len(places), np.int64)
+        hi = np.full(len(places), len(self.bwt), np.int64)
+        live = np.arange(len(places))
+        for j in range(length - 1, -1, -1):
+            c = words[places[live] + j]
             lo[live] = self.less[c] + self.wavelet.rank(c, lo[live])
             hi[live] = self.less[c] + self.wavelet.rank(c, hi[live])
             gone = hi[live] <= lo[live]
@@ -186,42 +201,43 @@ class Shard:
         self.docs += len(offs) - 1
         self.bytes += len(data)
 
-    def find(self) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
-        """(words of each document, its [(start, end, phrase number)])."""
+    def find(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each document; rows (document, start, stop, phrase) by
+        document; where the rows of each document begin."""
         n_words = np.concatenate(self.n_words) if self.n_words else np.zeros(0, np.int64)
-        hits: list[list[tuple[int, int, int]]] = [[] for _ in range(self.docs)]
+        hits = [np.zeros((4, 0), np.int64)]
         text = np.append(np.concatenate(self.symbols), 0) if self.symbols else np.zeros(1, np.int64)
         if len(text) > 1:
             rows, places = np.concatenate(self.rows), np.concatenate(self.places)
             index = FMIndex(text, len(self.phrases.hashes))
-            for nums, words in self.phrases.by_length:
-                lo, hi = index.search(words)
+            for length, nums, at in self.phrases.by_length:
+                lo, hi = index.search(self.phrases.words, at, length)
                 n = hi - lo
-                which = np.repeat(np.arange(len(nums)), n)
-                row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                pos = index.locate(row)
-                for d, s, p in zip(rows[pos].tolist(), places[pos].tolist(), nums[which].tolist(), strict=True):
-                    hits[d].append((s, s + words.shape[1], p))
-        return n_words, hits
+                pos = index.locate(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+                hits.append(np.stack([rows[pos], places[pos], places[pos] + length, np.repeat(nums, n)]))
+        found = np.concatenate(hits, axis=1)
+        found = found[:, np.argsort(found[0], kind="stable")]
+        return n_words, found, np.searchsorted(found[0], np.arange(self.docs + 1))
 
 
 _FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string()))])
 _FOUND_SQL = "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"
 
 
-def _merge(old: dict | None, n_words: int, hits: list[tuple[int, int, int]], items: list[list[str]]) -> dict:
-    spans = [(s["start"], s["stop"]) for s in old["spans"]] if old else []
-    names = set(old["items"]) if old else set()
-    spans += [(a, b) for a, b, _ in hits]
-    for p in {p for _, _, p in hits}:
-        names.update(items[p])
-    s, e = merge_intervals(np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64))
-    return {"n_words": n_words, "spans": [{"start": a, "stop": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)], "items": sorted(names)}
+def _merge(old: dict | None, n_words: int, hits: np.ndarray, phrases: Phrases) -> dict:
+    if not hits.shape[1]:
+        return old or {"n_words": n_words, "spans": [], "items": []}
+    before = old["spans"] if old else []
+    s, e = merge_intervals(np.append(hits[1], [x["start"] for x in before]).astype(np.int64), np.append(hits[2], [x["stop"] for x in before]).astype(np.int64))
+    names = phrases.items(hits[3])
+    if old and old["items"]:
+        names = sorted({*names, *old["items"]})
+    return {"n_words": n_words, "spans": [{"start": a, "stop": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)], "items": names}
 
 
 def _phrase_blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[Phrases, bool]]:
     """Blocks of items, each at most about BLOCK_WORDS words, and whether it is the last."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), text_bytes().alias("t"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), text_bytes().alias("t")).distinct()
     size = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n = max(1, -(-int(size) // (2 * BLOCK_WORDS)))  # a word takes two bytes at least, with its separator
     for b in range(n):
@@ -246,11 +262,11 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carr
             shard = Shard(shared.value)
 
             def flush() -> Iterator[pa.RecordBatch]:
-                n_words, hits = shard.find()
+                n_words, hits, begin = shard.find()
                 at = 0
                 for b in held:
                     old = b.column("found").to_pylist() if b.column("found").null_count < b.num_rows else [None] * b.num_rows
-                    found = [_merge(o, int(n_words[at + i]), hits[at + i], shard.phrases.items) for i, o in enumerate(old)]
+                    found = [_merge(o, int(n_words[at + i]), hits[:, begin[at + i]:begin[at + i + 1]], shard.phrases) for i, o in enumerate(old)]
                     at += b.num_rows
                     cols = {"row": b.column("row"), "found": pa.array(found, _FOUND), "raw": b.column("raw")}
                     yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
@@ -266,6 +282,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carr
 
         kinds = {"row": kind, "found": _FOUND_SQL, "raw": "binary"}
         out = out.mapInArrow(frugal(run), ", ".join(f"{c} {kinds[c]}" for c in names))
+        if not last:
+            out = written_small(out)
+            shared.destroy()
     return out
 
 

@@ -47,6 +47,13 @@ def test_contamination(spark, docs):
     items = [(1, corpus()[0][1]), (2, "w1"), (None, "the of"), (2, "w2 w3"), (5, None), (6, ""), (7, "never seen words here")]
     bench = spark.createDataFrame(items, "item_id int, text string")
     assert rows_of(decontaminate.contamination(docs, bench)) == ordered(brute.contamination(corpus(), items))
+    # many blocks of phrases, one pass each; repeated items; a phrase that thousands of words match
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "BLOCK_WORDS", 400)
+        again = spark.createDataFrame(items + items, "item_id int, text string")
+        assert rows_of(decontaminate.contamination(docs, again)) == ordered(brute.contamination(corpus(), items))
+    common = [(1, "ly"), (3, "LY ly"), (2, "a b a")]
+    assert rows_of(decontaminate.contamination(docs, spark.createDataFrame(common, "item_id int, text string"))) == ordered(brute.contamination(corpus(), common))
     none = spark.createDataFrame([], "item_id int, text string")
     assert not any(r[5] for r in rows_of(decontaminate.contamination(docs, none)))
 
