@@ -55,7 +55,7 @@ class CollisionIndex:
         p = x @ proj
         order = np.argsort(p, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        self.order = np.ascontiguousarray(order.T)
         self.n, self.m = p.shape
         known, self.which = np.unique(ids, return_inverse=True)
         self.n_ids = len(known)
@@ -63,6 +63,9 @@ class CollisionIndex:
     def distinct(self, rows: np.ndarray) -> int:
         return len(rows) if self.n_ids == self.n else int(np.count_nonzero(np.bincount(self.which[rows], minlength=self.n_ids)))
 
+    def tally(self, pieces: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate(pieces), minlength=self.n) if pieces else np.zeros(self.n, np.int64)
+
     def candidates(self, centres: np.ndarray, k: int) -> list[np.ndarray]:
         """For each query (row of projections): rows that collide often enough, of
         ``k`` ids at least if there are as many."""
@@ -75,16 +78,19 @@ class CollisionIndex:
             bounds.append((np.stack([np.searchsorted(self.sorted[j], centres[:, j] - half) for j in range(self.m)], 1),
                            np.stack([np.searchsorted(self.sorted[j], centres[:, j] + half, side="right") for j in range(self.m)], 1)))
         for q in range(len(centres)):
-            count = np.zeros(self.n, np.int64)
+            count = None
             old_lo = old_hi = None
             got = np.zeros(0, np.int64)
             for lo_all, hi_all in bounds:
                 lo, hi = lo_all[q], hi_all[q]
-                if old_lo is None:
-                    rings = [self.order[j, lo[j]:hi[j]] for j in range(self.m)]
+                if count is None:
+                    # of a window over more than half of its line the rows outside are counted
+                    wide = 2 * (hi - lo) > self.n
+                    outside = [part for j in np.flatnonzero(wide) for part in (self.order[j, :lo[j]], self.order[j, hi[j]:])]
+                    count = self.tally([self.order[j, lo[j]:hi[j]] for j in np.flatnonzero(~wide)]) + int(wide.sum()) - self.tally(outside)
                 else:
                     rings = [self.order[j, lo[j]:old_lo[j]] for j in range(self.m)] + [self.order[j, old_hi[j]:hi[j]] for j in range(self.m)]
-                count += np.bincount(np.concatenate(rings), minlength=self.n)
+                    count += self.tally(rings)
                 old_lo, old_hi = lo, hi
                 got = np.flatnonzero(count >= least)
                 if self.distinct(got) >= need:
