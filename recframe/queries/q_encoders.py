@@ -12,6 +12,7 @@ from recframe.operators import vectors as V
 from recframe.queries.common import query, rounded
 from recframe.queries.q_labels import enriched
 from recframe.queries.q_vectors import tag_vectors
+from recframe.session import store
 from recframe.sources import adapters as A
 
 
@@ -151,14 +152,19 @@ def j03(spark, d):
                                         "category", "video_duration", "channel_subscriber_count", "label")
 
 
+def stored_ranker_rows(spark, d):
+    """The joined rows, which the fits and the projection read again: stored once."""
+    return store(ranker_rows(spark, d).drop("user_id", "video_id", "channel_id"), "ranker")
+
+
 @query("e17_ranker_features")
 def e17(spark, d):
-    return rounded(FT.ranker_features(ranker_rows(spark, d), keys=("interaction_id",)))
+    return rounded(FT.ranker_features(stored_ranker_rows(spark, d), keys=("interaction_id",)))
 
 
 @query("e17_ranker_features_index")
 def e17_index(spark, d):
-    return rounded(FT.ranker_features(ranker_rows(spark, d), keys=("interaction_id",), form="index"))
+    return rounded(FT.ranker_features(stored_ranker_rows(spark, d), keys=("interaction_id",), form="index"))
 
 
 @query("e17_ranker_vocabs")
