@@ -234,3 +234,10 @@ def feature_specs(users: DataFrame, videos: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(f).alias("feature"), F.lit(k).alias("kind"),
                               n.cast("bigint").alias("size")) for m, f, k, n in known])
     return users.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def vocabulary_sizes(vocabs: DataFrame) -> DataFrame:
+    """E23, the sizes of vocabularies as they are built (E06): max index + 1
+    → (model, feature, kind, size), model "shared"."""
+    return vocabs.groupBy(F.col("vocab").alias("feature")).agg((F.max("idx") + 1).alias("size")).select(
+        F.lit("shared").alias("model"), "feature", F.lit("vocabulary").alias("kind"), F.col("size").cast("bigint").alias("size"))

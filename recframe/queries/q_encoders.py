@@ -188,7 +188,8 @@ def e19(spark, d):
 
 @query("e23_feature_specs")
 def e23(spark, d):
-    return FT.feature_specs(A.users(spark, d), A.videos(spark, d))
+    users, videos = A.users(spark, d), A.videos(spark, d)
+    return FT.feature_specs(users, videos).unionByName(FT.vocabulary_sizes(E.build_all_vocabs(users, videos)))
 
 
 @query("a23_normalization_stats")

@@ -227,7 +227,9 @@ SQL = {
         select p.user_id, p.video_id, list_transform(coalesce(h.u, {ZEROS}), lambda x: round(x, 6)) as title_embedding,
                list_transform(coalesce(t.te, {ZEROS}), lambda x: round(x, 6)) as tag_embedding
         from pairs p left join hv h on p.video_id = h.id left join tagged t on p.video_id = t.id""", "items"),
-    "e23_feature_specs": with_views(f"""select 'user_tower' as model, 'user_id' as feature, 'vocabulary' as kind, count(distinct id) + 2 as size from users
+    "e23_feature_specs": with_views(f"""WITH {ALLV}
+        select 'shared' as model, vocab as feature, 'vocabulary' as kind, cast(max(idx) + 1 as bigint) as size from allv group by vocab
+        union all select 'user_tower' as model, 'user_id' as feature, 'vocabulary' as kind, count(distinct id) + 2 as size from users
         union all select 'user_tower', 'country', 'vocabulary', count(distinct country_code) + 2 from users
         union all select 'user_tower', 'language', 'vocabulary', count(distinct v) + 2 from {LANGS}
         union all select 'user_tower', 'category', 'vocabulary', count(distinct category) filter (where category <> '-') + 3 from videos
