@@ -164,15 +164,20 @@ def e24(spark, d):
                                   ["view_count", "like_count", "comment_count"]).unionByName(
         E.normalization_stats(users, ["age"]))
     i = A.interactions(spark, d).select("interaction_id", "user_id", "video_id")
-    j = DS.preprocess_join(i, users, videos.drop("tags", "title", "manual_tags", "child_categories"))
+    # users and videos are encoded before they meet the interactions, which are exchanged once for each
     cols = ["user_id", "video_id", "country", "user_language", "category", "video_language", "popularity"]
-    out = E.apply_vocabs(j, vocabs, cols)
+    of_user, of_video = ["user_id", "country", "user_language"], ["video_id", "category", "video_language", "popularity"]
+    u = E.apply_vocabs(users, vocabs, of_user).select("user_id", *[f"{c}_idx" for c in of_user], "age")
+    v = E.apply_vocabs(videos, vocabs, of_video).select(
+        "video_id", *[f"{c}_idx" for c in of_video], "video_duration", "view_count", "like_count", "comment_count")
+    out = DS.preprocess_join(i, u, v)
+    known = [F.coalesce(F.col(f"{c}_idx"), F.lit(1).cast("bigint")).alias(f"{c}_idx") for c in cols]  # without its user or video: unknown
     norm = []
     for c in ["age", "video_duration", "view_count", "like_count", "comment_count"]:
         st = stats.where(F.col("feature") == c)
         m, s = st.select(F.first("mean")).scalar(), st.select(F.first("std")).scalar()
         norm.append(((F.col(c) - m) / s).alias(f"{c}_normalized"))
-    return rounded(out.select("interaction_id", *[f"{c}_idx" for c in cols], *norm))
+    return rounded(out.select("interaction_id", *known, *norm))
 
 
 @query("a39_deploy_gate")
