@@ -9,6 +9,8 @@ blocks' best.  Nothing goes through the driver but the two row counts.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,12 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recframe.session import cut_lineage
+from recframe.session import cut_lineage, store
 from recframe.sources.published import PublishedTable
 
 EPS = 1e-8
 #: Bytes of float64 vectors in one block, and of scores in one tile.
-BLOCK_BYTES, TILE_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, TILE_BYTES = 8 << 20, 4 << 20
 #: Scores closer than this to the cut are computed again term by term, so that equal vectors tie exactly.
 MARGIN = 1e-9
 #: Recall that the IVF search aims at, above the 0.9 asked for, and the items it is measured on.
@@ -58,6 +60,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + EPS)
 
 
+def _trim() -> None:
+    """Give the memory of a finished block pair back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def _vectors(table: pa.Table, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, unit vectors) of one block."""
     col = table.column(vec_col).combine_chunks()
@@ -87,6 +98,8 @@ def _tile_topk(k: int, tile_bytes: int, out: pa.Schema):
             keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < kk
             parts.append((qi[keep] + lo, ii[keep], score[keep]))
         qi, ii, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del x, q, parts
+        _trim()
         return pa.Table.from_arrays([pa.array(qids[qi], out.field(0).type), pa.array(iids[ii], out.field(1).type), pa.array(score)], schema=out)
     return fn
 
@@ -149,12 +162,27 @@ def vector_topk_ivf(queries: DataFrame, items: DataFrame, k: int, nlist: int | N
     if nprobe is None:
         nprobe = _probes_for_recall(assigned, cents, k, i_id, i_vec)
     probe = _nearest_centroids(queries.select(q_id, q_vec), cents, nprobe, q_id, q_vec)
-    probe = probe.select(q_id, "cluster", normalize("_q").alias("_qu"))
-    assigned = assigned.select(i_id, "cluster", normalize(i_vec).alias("_iu"))
-    j = probe.join(assigned, "cluster").select(
-        F.col(q_id).alias("query_id"), F.col(i_id).alias("item_id"), dot("_qu", "_iu").alias("score"))
+    best = _search_lists(probe.select(F.col(q_id).alias("query_id"), F.col("_q").alias("_qv"), "cluster"),
+                         assigned.select(F.col(i_id).alias("item_id"), F.col(i_vec).alias("_iv"), "cluster"), k, cents.shape[1])
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _search_lists(probe: DataFrame, items: DataFrame, k: int, dim: int, block_bytes: int = BLOCK_BYTES,
+                  tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Best k items of each probed list, list by list as matrix products.  A long
+    list, or one that many queries probe, is cut into block pairs as in the exact
+    search; the sizes of the lists (one row a list) say how many."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    per_block = max(1, block_bytes // (8 * max(1, dim)))
+    blocks = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_block)).alias(name))
+    sizes = F.broadcast(store(blocks(probe, "_nq").join(blocks(items, "_ni"), "cluster"), "lists"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    qs = probe.join(sizes, "cluster").select("cluster", "query_id", "_qv", F.pmod(F.xxhash64("query_id", "_qv"), "_nq").alias("_qb"), every("_ni").alias("_ib"))
+    its = items.join(sizes, "cluster").select("cluster", "item_id", "_iv", F.pmod(F.xxhash64("item_id", "_iv"), "_ni").alias("_ib"), every("_nq").alias("_qb"))
+    schema = T.StructType([probe.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
+    keys = ["cluster", "_qb", "_ib"]
+    return qs.groupBy(*keys).cogroup(its.groupBy(*keys)).applyInArrow(_tile_topk(k, tile_bytes, to_arrow_schema(schema)), schema)
 
 
 def _probes_for_recall(assigned: DataFrame, cents: np.ndarray, k: int, i_id: str, i_vec: str) -> int:
@@ -248,6 +276,16 @@ def embedding_lookup(df: DataFrame, key: str, table: DataFrame, t_id: str = "id"
     return j.withColumn(out, F.coalesce(F.col("_evec"), zero)).drop("_eid", "_evec")
 
 
+def _mean_vector(vectors) -> Column:
+    """Mean of a list of vectors, place by place over the values that are there."""
+    def add(acc, v):
+        return F.zip_with(acc, v, lambda a, x: F.struct(
+            (F.coalesce(a["s"], F.lit(0.0)) + F.coalesce(x, F.lit(0.0))).alias("s"),
+            (F.coalesce(a["n"], F.lit(0)) + F.when(x.isNull(), 0).otherwise(1)).alias("n")))
+    return F.aggregate(_c(vectors), F.array().cast("array<struct<s:double,n:int>>"), add,
+                       lambda acc: F.transform(acc, lambda a: F.when(a["n"] > 0, a["s"] / a["n"])))
+
+
 def tag_embedding(items: DataFrame, tag_vectors: DataFrame, id_col: str = "id", tags_col: str = "tags",
                   dim: int | None = None) -> DataFrame:
     """Parse tags (F08), mean of the known tag vectors, L2-normalised;
@@ -255,10 +293,9 @@ def tag_embedding(items: DataFrame, tag_vectors: DataFrame, id_col: str = "id",
     from recframe.functions.scalar import parse_tags
     d = dim or len(tag_vectors.select("vector").first()[0])
     ex = items.select(id_col, F.explode(parse_tags(tags_col)).alias("tag"))
-    j = ex.join(tag_vectors, "tag").select(id_col, F.posexplode("vector").alias("_d", "_x"))
-    per_dim = j.groupBy(id_col, "_d").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    vec = per_dim.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_p")).select(
-        id_col, F.transform("_p", lambda s: s["_m"]).alias("_mean"))
+    j = ex.join(tag_vectors, "tag").where(F.size("vector") > 0).select(id_col, F.col("vector").cast("array<double>").alias("_v"))
+    # an item's few vectors meet whole and are added place by place, not exploded to a row a dimension
+    vec = j.groupBy(id_col).agg(F.collect_list("_v").alias("_vs")).select(id_col, _mean_vector("_vs").alias("_mean"))
     vec = vec.select(id_col, normalize("_mean").alias("tag_embedding"))
     zero = F.array_repeat(F.lit(0.0), d)
     return items.select(id_col).join(vec, id_col, "left").select(
@@ -269,12 +306,15 @@ def hash_vector(text, dim: int) -> Column:
     """E21 without an encoder: a unit vector made of md5(text#i), i < dim."""
     raw = F.array(*[F.conv(F.substring(F.md5(F.concat(F.coalesce(_c(text), F.lit("")), F.lit(f"#{i}"))), 1, 8), 16, 10).cast("double") / float(1 << 31) - 1.0
                     for i in range(dim)])
-    return normalize(raw)
+    # as a lambda's variable the digests are made once, not at each place where the norm reads them
+    return F.element_at(F.transform(F.array(raw), normalize), 1)
 
 
 def text_embedding(df: DataFrame, text_col: str, id_col: str, dim: int = 64, encoder=None) -> DataFrame:
     """Batch encoder over Arrow batches (``encoder`` maps a
     list of texts to an (n, dim) array); without one, hashed unit vectors."""
+    # texts are small and their encoding is not: a table of few files is spread over the tasks first
+    df = df.select(id_col, text_col).repartition(id_col, text_col)
     if encoder is None:
         return df.select(id_col, hash_vector(text_col, dim).alias("embedding"))
     schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
@@ -283,7 +323,7 @@ def text_embedding(df: DataFrame, text_col: str, id_col: str, dim: int = 64, enc
         for pdf in batches:
             m = np.asarray(encoder(pdf[text_col].fillna("").astype(str).tolist()), dtype=np.float64)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "embedding": list(m)})
-    return df.select(id_col, text_col).mapInPandas(fn, schema)
+    return df.mapInPandas(fn, schema)
 
 
 class EmbeddingCache:
