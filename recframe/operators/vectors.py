@@ -307,7 +307,7 @@ def hash_vector(text, dim: int) -> Column:
     raw = F.array(*[F.conv(F.substring(F.md5(F.concat(F.coalesce(_c(text), F.lit("")), F.lit(f"#{i}"))), 1, 8), 16, 10).cast("double") / float(1 << 31) - 1.0
                     for i in range(dim)])
     # as a lambda's variable the digests are made once, not at each place where the norm reads them
-    return F.element_at(F.transform(F.array(raw), normalize), 1)
+    return F.element_at(F.transform(F.array(raw), lambda v: normalize(v)), 1)  # noqa: PLW0108 (the second argument is not an index)
 
 
 def text_embedding(df: DataFrame, text_col: str, id_col: str, dim: int = 64, encoder=None) -> DataFrame:

@@ -57,6 +57,7 @@ def test_negatives_of_repeated_and_null_keys(spark):
 def test_text_digests_are_made_once(spark):
     df = spark.createDataFrame([(1, "a b")], "id long, t string")
     assert plan(V.text_embedding(df, "t", "id", dim=4)).count("md5(") == 4  # three times as many before
+    assert "1.0E-8" in plan(V.text_embedding(df, "t", "id", dim=4))
     v = V.text_embedding(df, "t", "id", dim=4).first().embedding
     assert abs(sum(x * x for x in v) - 1) < 1e-6
 
