@@ -3,9 +3,10 @@
 Method (query-aware collision counting, Huang et al. 2015): M random lines; each
 keeps its vectors in an array sorted by projection.  A query lays a window
 centred on its own projection over every array.  A vector in the windows of
-enough lines is a candidate.  Virtual rehashing widens the windows by RATIO,
-counting only the rings added, until enough candidates are found; then the
-candidates are verified by their inner product in double precision.
+enough lines is a candidate: its places in the arrays are compared with the ends
+of the windows.  Virtual rehashing widens the windows by RATIO until enough
+candidates are found; then the candidates are verified by their inner product in
+double precision.
 
 Inner products are turned into distances by one more coordinate: vectors are
 divided by the largest norm of the table and padded to unit length, queries are
@@ -26,6 +27,8 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +39,8 @@ QUERY_STEP = 20
 LINES = 128
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 1_024
+#: Rows of a shard whose collisions are counted at once.
+TILE = 1_024
 #: First half width of a window, its growth, and the share of lines that must collide.
 START, RATIO, ROUNDS = 1.0, 1.25, 8
 THRESHOLD = 0.6
@@ -48,56 +53,69 @@ def lines(dim: int, m: int = LINES, seed: int = 5) -> np.ndarray:
 
 
 class CollisionIndex:
-    """Sorted projection arrays of one shard of unit vectors (rows of x); ``ids``
-    may come in several rows."""
+    """Sorted projections of one shard of unit vectors (rows of x) and the place of
+    each row on every line; ``ids`` may come in several rows."""
 
     def __init__(self, x: np.ndarray, proj: np.ndarray, ids: np.ndarray):
-        p = x @ proj
-        order = np.argsort(p, axis=0, kind="stable")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, axis=0).T)
-        self.order = np.ascontiguousarray(order.T)
-        self.n, self.m = p.shape
+        p = np.ascontiguousarray((x @ proj).T)
+        order = np.argsort(p, axis=1)  # rows of equal projection are in a window together, in any order
+        self.sorted = np.take_along_axis(p, order, axis=1)
+        self.m, self.n = p.shape
+        self.kind = np.uint16 if self.n < 1 << 16 else np.uint32
+        self.count = np.uint8 if self.m < 1 << 8 else np.uint32
+        place = np.empty((self.m, self.n), self.kind)
+        np.put_along_axis(place, order, np.arange(self.n, dtype=self.kind)[None], axis=1)
+        self.places = [np.ascontiguousarray(place[:, a:a + TILE]) for a in range(0, self.n, TILE)]
         known, self.which = np.unique(ids, return_inverse=True)
         self.n_ids = len(known)
 
     def distinct(self, rows: np.ndarray) -> int:
         return len(rows) if self.n_ids == self.n else int(np.count_nonzero(np.bincount(self.which[rows], minlength=self.n_ids)))
 
-    def tally(self, pieces: list[np.ndarray]) -> np.ndarray:
-        return np.bincount(np.concatenate(pieces), minlength=self.n) if pieces else np.zeros(self.n, np.int64)
+    def windows(self, centres: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and length of every query's window on every line in round r."""
+        half = START * RATIO ** r
+        lo = np.stack([np.searchsorted(self.sorted[j], centres[:, j] - half) for j in range(self.m)], 1)
+        hi = np.stack([np.searchsorted(self.sorted[j], centres[:, j] + half, side="right") for j in range(self.m)], 1)
+        return lo.astype(self.kind), (hi - lo).astype(self.kind)
+
+    def tally(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """On how many lines each row lies in the window.  A place before a window
+        wraps round to a large number, so one comparison tests both its ends."""
+        lo, size = lo[:, None], size[:, None]
+        return np.concatenate([np.add.reduce((place - lo < size).view(np.uint8), axis=0, dtype=self.count) for place in self.places])
 
-    def candidates(self, centres: np.ndarray, k: int) -> list[np.ndarray]:
+    def candidates(self, centres: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """For each query (row of projections): rows that collide often enough, of
-        ``k`` ids at least if there are as many."""
+        ``k`` ids at least if there are as many.  They come from the first round that
+        finds enough of them; as a wider window loses none, the search for that
+        round starts where the query before ended."""
         need = min(self.n_ids, k + int(ENOUGH * self.n_ids))
         least = int(np.ceil(THRESHOLD * self.m))
-        out = []
-        bounds = []
-        for r in range(ROUNDS):
-            half = START * RATIO ** r
-            bounds.append((np.stack([np.searchsorted(self.sorted[j], centres[:, j] - half) for j in range(self.m)], 1),
-                           np.stack([np.searchsorted(self.sorted[j], centres[:, j] + half, side="right") for j in range(self.m)], 1)))
+        rounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def collide(q: int, r: int) -> tuple[np.ndarray, int]:
+            if r not in rounds:
+                rounds[r] = self.windows(centres, r)
+            got = np.flatnonzero(self.tally(*(w[q] for w in rounds[r])) >= least)
+            return got, self.distinct(got)
+
+        r = 0
         for q in range(len(centres)):
-            count = None
-            old_lo = old_hi = None
-            got = np.zeros(0, np.int64)
-            for lo_all, hi_all in bounds:
-                lo, hi = lo_all[q], hi_all[q]
-                if count is None:
-                    # of a window over more than half of its line the rows outside are counted
-                    wide = 2 * (hi - lo) > self.n
-                    outside = [part for j in np.flatnonzero(wide) for part in (self.order[j, :lo[j]], self.order[j, hi[j]:])]
-                    count = self.tally([self.order[j, lo[j]:hi[j]] for j in np.flatnonzero(~wide)]) + int(wide.sum()) - self.tally(outside)
-                else:
-                    rings = [self.order[j, lo[j]:old_lo[j]] for j in range(self.m)] + [self.order[j, old_hi[j]:hi[j]] for j in range(self.m)]
-                    count += self.tally(rings)
-                old_lo, old_hi = lo, hi
-                got = np.flatnonzero(count >= least)
-                if self.distinct(got) >= need:
+            got, n = collide(q, r)
+            while n < need and r < ROUNDS - 1:
+                r += 1
+                got, n = collide(q, r)
+                if n >= need:
                     break
+            else:
+                while n >= need and r > 0:
+                    fewer, m = collide(q, r - 1)
+                    if m < need:
+                        break
+                    got, n, r = fewer, m, r - 1
             # the widest windows still leave too few: everything is verified
-            out.append(got if self.distinct(got) >= min(self.n_ids, k) else np.arange(self.n))
-        return out
+            yield got if n >= min(self.n_ids, k) else np.arange(self.n)
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, norm: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +128,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     qs, vs, ss = [], [], []
     for i, found in enumerate(index.candidates(centres, k + 1)):
         found = found[ids[found] != q_ids[i]]
-        score = np.einsum("ij,j->i", x[found], q[i])
+        score = np.einsum("ij,j->i", np.take(x, found, axis=0), q[i])
         if index.n_ids < index.n:  # the best row of each id
             order = np.lexsort((-score, ids[found]))
             one = ids[found[order]]
