@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 pytest.importorskip("recframe.llm")
 
 from recframe.llm import ann  # noqa: E402
+from recframe.llm.suffix import equal_prefixes  # noqa: E402
+from recframe.llm.suffix_dedup import SHARD_BYTES, repeated_starts  # noqa: E402
 
 
 @pytest.mark.parametrize("rows, ids", [(7, 7), (300, 300), (300, 90), (2500, 2500)])
@@ -35,3 +39,31 @@ def test_collisions_are_counted_window_by_window(rows, ids, monkeypatch):
             want = np.arange(rows)
         assert rows_found.tolist() == want.tolist()
     assert len(asked) <= (ann.ROUNDS + 1) * len(centres)
+
+
+@pytest.mark.parametrize("width", [1, 3, 8, 50])
+def test_equal_prefixes_are_all_that_the_suffix_array_needs(width):
+    """Runs of suffixes that share the width, in order; texts end where they end."""
+    rng = np.random.default_rng(width)
+    for letters in (1, 2, 30, 200):
+        texts = [rng.integers(0, letters, n).astype(np.uint8).tobytes() for n in rng.integers(1, 120, 8)]
+        texts += [t[int(rng.integers(0, 5)):] + b"\1" for t in texts[:4]]
+        data, lens = b"".join(texts), [len(t) for t in texts]
+        limit = np.repeat(np.cumsum(lens), lens) - np.arange(len(data))
+        want: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(limit >= width).tolist():
+            want.setdefault(data[i:i + width], []).append(i)
+        pos, new = equal_prefixes(np.frombuffer(data, np.uint8), limit.astype(np.int32), width)
+        got = [sorted(p.tolist()) for p in np.split(pos, np.flatnonzero(new)[1:])] if len(pos) else []
+        assert got == [v for _, v in sorted(want.items()) if len(v) > 1]
+
+
+def test_a_shard_takes_little_memory():
+    """A suffix array of a whole shard, with numpy's own accounts: under 64 bytes for one of text."""
+    text = np.random.default_rng(1).integers(97, 123, SHARD_BYTES // 2).astype(np.uint8).tobytes()
+    contexts = [t for i in range(0, len(text), 750) for t in (text[i:i + 750], text[i:i + 700])]
+    tracemalloc.start()
+    base, repeats, _ = repeated_starts(contexts, np.arange(len(contexts), dtype=np.uint64) << np.uint64(32), np.zeros(len(contexts), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * base[-1] and repeats.sum() == 2 * sum(max(0, n - 399) for n in np.diff(base)[1::2])
