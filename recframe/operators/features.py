@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recframe import constants as C
@@ -17,6 +17,8 @@ from recframe.operators import encoders as E
 
 AGE_BOUNDARIES = [18, 25, 35, 45, 55, 65]
 DURATION_BOUNDARIES = [60, 300, 600, 1800, 3600]
+#: What ``video_features`` reads of a row, besides its keys.
+VIDEO_INPUTS = ("category", "video_language", "popularity", "video_duration")
 SUBSCRIBER_BOUNDARIES = [10000, 100000, 1000000]
 
 
@@ -26,10 +28,10 @@ def _languages(users: DataFrame, videos: DataFrame) -> DataFrame:
             .unionByName(videos.select(F.col("language").alias("v"))).distinct())
 
 
-def user_features(df: DataFrame, users: DataFrame, videos: DataFrame) -> DataFrame:
+def user_features(df: DataFrame, users: DataFrame, videos: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """user_id_idx, country_idx, user_language_idx, age_normalized,
     age_bucket_idx, prev_category_idx for rows carrying user_id, country,
-    user_language, age, previously_watched_category."""
+    user_language, age, previously_watched_category; and the columns to ``keep``."""
     uid = E.integer_vocab(users, "id")
     country = E.string_vocab(users, "country_code")
     lang = E.string_vocab(_languages(users, videos), "v")
@@ -42,14 +44,14 @@ def user_features(df: DataFrame, users: DataFrame, videos: DataFrame) -> DataFra
                           include_start=True, mask_value="-")
     return out.select("user_id", "video_id", "user_id_idx", "country_idx", "user_language_idx",
                       z.transform("age").alias("age_normalized"),
-                      E.bucketize("age", AGE_BOUNDARIES).alias("age_bucket_idx"), "prev_category_idx")
+                      E.bucketize("age", AGE_BOUNDARIES).alias("age_bucket_idx"), "prev_category_idx", *keep)
 
 
-def video_features(df: DataFrame, videos: DataFrame, users: DataFrame | None = None) -> DataFrame:
+def video_features(df: DataFrame, videos: DataFrame, users: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """video_id_idx, category_idx, video_language_idx, popularity_idx,
     popularity one-hot (unknown → low), duration_log_normalized and
     duration_bucket_idx for rows carrying video_id, category, video_language,
-    popularity, video_duration."""
+    popularity, video_duration; before them the columns to ``keep``."""
     vid = E.integer_vocab(videos, "id")
     cat = E.string_vocab(videos, "category")
     langs = _languages(users, videos) if users is not None else videos.select(F.col("language").alias("v"))
@@ -66,12 +68,25 @@ def video_features(df: DataFrame, videos: DataFrame, users: DataFrame | None = N
     known = p.isin(*C.POPULARITY_LEVELS)
     hot = [F.when((p == lv) | ((lv == "low") & (~known | p.isNull())), 1.0).otherwise(0.0)
            .alias(f"popularity_{lv}") for lv in C.POPULARITY_LEVELS]
-    return out.select("user_id", "video_id", "video_id_idx", "category_idx", "video_language_idx",
+    return out.select("user_id", "video_id", *keep, "video_id_idx", "category_idx", "video_language_idx",
                       "popularity_idx", *hot,
                       z.transform(logd.transform("video_duration")).alias("duration_log_normalized"),
                       E.bucketize("video_duration", DURATION_BOUNDARIES).alias("duration_bucket_idx"))
 
 
+def pair_features(pairs: DataFrame, users: DataFrame, videos: DataFrame) -> DataFrame:
+    """User and video features of the pairs, in one row.
+
+    Both are looked up along one row, not apart and joined again.  Pairs without a
+    user or video are left out; a pair that comes m times (repeated users or videos)
+    has each of its rows m times, as every user row meets every video row."""
+    u = user_features(pairs, users, videos, keep=VIDEO_INPUTS)
+    names = tuple(c for c in u.columns if c not in ("user_id", "video_id", *VIDEO_INPUTS))
+    out = video_features(u.where(F.col("user_id").isNotNull() & F.col("video_id").isNotNull()), videos, users, keep=names)
+    times = F.count(F.lit(1)).over(Window.partitionBy("user_id", "video_id"))
+    return out.withColumn("_m", times).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m", "_copy")
+
+
 def video_embeddings(df: DataFrame, titles: DataFrame, tags: DataFrame, key: str = "video_id") -> DataFrame:
     """E15, the vector half: ``title_embedding`` and ``tag_embedding`` of every row
     by its video.  ``titles`` and ``tags`` are tables of (id, embedding), computed

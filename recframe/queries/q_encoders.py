@@ -140,10 +140,7 @@ def e15_embeddings(spark, d):
 
 @query("e26_transformed_pairs")
 def e26(spark, d):
-    p = pairs(spark, d)
-    u = FT.user_features(p, A.users(spark, d), A.videos(spark, d))
-    v = FT.video_features(p, A.videos(spark, d), A.users(spark, d))
-    return rounded(u.join(v, ["user_id", "video_id"]))
+    return rounded(FT.pair_features(pairs(spark, d), A.users(spark, d), A.videos(spark, d)))
 
 
 @query("j03_ranker_star_join")
