@@ -5,13 +5,14 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("recframe.llm")
 
-from recframe.llm import ann  # noqa: E402
+from recframe.llm import ann, common  # noqa: E402
 from recframe.llm.suffix import equal_prefixes  # noqa: E402
-from recframe.llm.suffix_dedup import SHARD_BYTES, repeated_starts  # noqa: E402
+from recframe.llm.suffix_dedup import SHARD_BYTES, anchors, repeated_starts  # noqa: E402
 
 
 @pytest.mark.parametrize("rows, ids", [(7, 7), (300, 300), (300, 90), (2500, 2500)])
@@ -67,3 +68,30 @@ def test_a_shard_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 * base[-1] and repeats.sum() == 2 * sum(max(0, n - 399) for n in np.diff(base)[1::2])
+
+
+def test_least_grams_are_dealt_evenly():
+    """Anchors are least fingerprints, all near 0; no range of their exchange gets more than its share, none is lost."""
+    data = np.random.default_rng(2).integers(97, 123, 200_000).astype(np.uint8)
+    _, keys = anchors(data, np.array([0, len(data)]), 200)
+    keys = np.concatenate([keys, keys[:100]])
+    rows = common.packed_table(7, keys, 8).to_pylist()
+    got = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    assert max(map(len, got)) < 1.5 * len(set(keys.tolist())) / 8
+    assert {(r["part"], r["bucket"]) for r in rows} == {(p, 7) for p in range(8)}
+    many = {k: m for r, ks in zip(rows, got, strict=True) for k, m in zip(ks.tolist(), np.frombuffer(r["many"], np.bool_).tolist(), strict=True)}
+    values, counts = np.unique(keys, return_counts=True)
+    assert many == dict(zip(values.tolist(), (counts > 1).tolist(), strict=True)) and sum(map(len, got)) == len(values)
+
+
+def test_a_worker_keeps_nothing_of_a_task(monkeypatch):
+    """What a Python task held goes back when its work ends, not when the worker gets another task."""
+    said = []
+    monkeypatch.setattr(common, "hand_back", lambda done=False: said.append("end" if done else "start"))
+    batch = pa.record_batch({"x": [1]})
+    out = common.frugal(lambda batches: (said.append("work") or b for b in batches))(iter([batch]))
+    assert [x.num_rows for x in out] == [1]
+    table = pa.table({"x": [1]})
+    assert common.frugal_group(lambda t: said.append("work") or t)(table) is table
+    assert common.frugal_cogroup(lambda a, b: said.append("work") or b)(table, table) is table
+    assert said == ["start", "work", "end"] * 3
