@@ -38,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import (PACKED, SPACE_WORD, Roller, buckets_for, flat, has_key, id_or_least, merge_intervals, mix, pack,
-                                 packed_table, row_key, shared_keys, span_hashes, text_bytes, total_bytes, unpack,
-                                 window_hashes, word_spans)
+from recframe.llm.common import (PACKED, SPACE_WORD, Roller, buckets_for, flat, frugal_cogroup, frugal_group, has_key, id_or_least,
+                                 merge_intervals, mix, pack, packed_table, row_key, shared_keys, slices, span_hashes, text_bytes,
+                                 total_bytes, unpack, window_hashes, word_spans)
 
 WINDOW = 20
 LEVELS = 3
 BUCKET_BYTES = 2 << 20
 KEYS_PER_PART = 200_000
 WINDOWS_PER_PART = 200_000
+#: Bytes of text (or one word), or words, that are fingerprinted at once.
+PIECE = 64 << 10
 
 _U = np.uint64
 _CHECK = Roller(0xA0761D6478BD642F | 1)
@@ -103,12 +105,31 @@ def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of all words, some at a time: its passes need 40 bytes for one of text."""
+    out = np.empty(len(starts), _U)
+    for i, j in slices(np.append(starts, ends[-1:]), PIECE):
+        at = starts[i]
+        out[i:j] = span_hashes(data[at:ends[j - 1]], starts[i:j] - at, ends[i:j] - at)
+    return out
+
+
+def window_names(words: np.ndarray, at: np.ndarray, *roll: Roller) -> np.ndarray:
+    """``window_hashes`` of the windows at increasing places, some at a time."""
+    out = np.empty(len(at), _U)
+    for i, j in slices(np.append(at, at[-1:] + 1), PIECE):
+        out[i:j] = window_hashes(words[at[i]:at[j - 1] + WINDOW], at[i:j] - at[i], WINDOW, *roll)
+    return out
+
+
 class BucketText:
     """Words, windows and window keys of the distinct documents of a bucket."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        starts, ends, self.doc = word_spans(data, offs, SPACE_WORD)
-        self.words = span_hashes(data, starts, ends)
+        starts, ends, doc = word_spans(data, offs, SPACE_WORD)
+        self.doc = doc.astype(np.int32)
+        self.words = word_names(data, starts, ends)
+        del starts, ends, doc
         counts = np.bincount(self.doc, minlength=len(offs) - 1)
         self.first = np.cumsum(counts) - counts
         end = np.repeat(np.cumsum(counts), counts)
@@ -150,19 +171,23 @@ def window_rows(bucket: int, ids: np.ndarray, text: BucketText, wanted: np.ndarr
     the intervals already known to repeat."""
     _, least, has = text.keys()
     at = text.at[~has | has_key(least, wanted)]
-    h = window_hashes(text.words, at, WINDOW)
-    c = (window_hashes(text.words, at, WINDOW, _CHECK) >> _U(32)).astype(np.uint32)
+    del least, has
+    h = window_names(text.words, at)
+    c = (window_names(text.words, at, _CHECK) >> _U(32)).astype(np.uint32)
     doc = text.doc[at]
-    start = at - text.first[doc]
+    start = (at - text.first[doc]).astype(np.int32)
+    del at
     order = np.lexsort((start, ids[doc], c, h))
     h, c, doc, start = h[order], c[order], doc[order], start[order]
+    del order
     new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, bool)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     first = (ids[doc] == ids[doc[head]]) & (start == start[head])
+    del new, head
     s_doc, s_lo, s_hi = _runs(doc[~first], start[~first])
     h, c, doc, start = h[first], c[first], doc[first], start[first]
     rows = [(p, bucket, *cols, b"", b"", b"") for p, cols in
-            pack(h, n_parts, c, ids[doc], start.astype(np.int32), doc.astype(np.int32))]
+            pack(h, n_parts, c, ids[doc], start, doc)]
     if len(s_doc):
         rows.append((bucket % n_parts, bucket, b"", b"", b"", b"", b"", s_doc.tobytes(), s_lo.tobytes(), s_hi.tobytes()))
     cols = list(zip(*rows, strict=True)) if rows else [()] * 10
@@ -229,10 +254,10 @@ def _run(docs: DataFrame, carry: Column, finish: Callable[[pa.Table, list[list[t
             spans.append(list(zip(s.tolist(), e.tolist(), strict=True)))
         return finish(part, spans)
 
-    shared = shared_keys(texts.groupBy("bucket").applyInArrow(pick, PACKED))
-    windows = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, _WINDOWS)
-    gone = windows.groupBy("part").applyInArrow(later_windows, _GONE)
-    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(close, schema)
+    shared = shared_keys(texts.groupBy("bucket").applyInArrow(frugal_group(pick), PACKED))
+    windows = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(frugal_cogroup(cut), _WINDOWS)
+    gone = windows.groupBy("part").applyInArrow(frugal_group(later_windows), _GONE)
+    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(frugal_cogroup(close), schema)
 
 
 def keep_words(raw: bytes, gone: list[tuple[int, int]]) -> tuple[int, bytes]:

@@ -10,7 +10,7 @@ import pytest
 
 pytest.importorskip("recframe.llm")
 
-from recframe.llm import ann, common  # noqa: E402
+from recframe.llm import ann, common, recompress  # noqa: E402
 from recframe.llm.suffix import equal_prefixes  # noqa: E402
 from recframe.llm.suffix_dedup import SHARD_BYTES, anchors, repeated_starts  # noqa: E402
 
@@ -70,6 +70,58 @@ def test_a_shard_takes_little_memory():
     assert peak < 64 * base[-1] and repeats.sum() == 2 * sum(max(0, n - 399) for n in np.diff(base)[1::2])
 
 
+def _bucket(rng, n_words, lengths):
+    """Texts of random words, the second half of them the first once more: (bytes, offsets)."""
+    words = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in rng.integers(*lengths, n_words)]
+    texts = [b" ".join(words[i:i + 300]) for i in range(0, n_words, 300)] * 2
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+
+
+def test_a_bucket_of_words_takes_little_memory(monkeypatch):
+    """All steps of operator 5 on a whole bucket, with numpy's own accounts: under 32 bytes for one of text."""
+    data, offs = _bucket(np.random.default_rng(3), recompress.BUCKET_BYTES // 14, (2, 11))
+    assert len(data) > 0.9 * recompress.BUCKET_BYTES
+    monkeypatch.setattr(common, "_BYTE_ROLL", common.Roller(common._BYTE_ROLL.base))
+    tracemalloc.start()
+    text = recompress.BucketText(data, offs)
+    _, least, has = text.keys()
+    wanted = np.unique(least[has])
+    del least, has
+    rows = recompress.window_rows(0, np.arange(len(offs) - 1), text, wanted, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(data)
+    assert sum(len(x) for x in rows.column("h").to_pylist()) // 8 == len(text.at) // 2
+    assert sum(len(x) for x in rows.column("s_doc").to_pylist()) // 4 == (len(offs) - 1) // 2
+
+
+def test_names_made_in_pieces_are_those_of_the_whole():
+    """Words longer than a piece, gaps between windows wider than one, no words at all."""
+    rng = np.random.default_rng(4)
+    data, offs = _bucket(rng, 30_000, (1, 20))
+    data = np.concatenate([data, np.full(recompress.PIECE + 9, 97, np.uint8), data])
+    offs = np.concatenate([offs, offs + offs[-1] + recompress.PIECE + 9])
+    for d, o in ((data, offs), (data[:0], offs[:1])):
+        starts, ends, _ = common.word_spans(d, o, common.SPACE_WORD)
+        words = recompress.word_names(d, starts, ends)
+        assert (words == common.span_hashes(d, starts, ends)).all()
+    words = rng.integers(0, 9, 3 * recompress.PIECE).astype(np.uint64)
+    at = np.arange(len(words) - recompress.WINDOW + 1)
+    for some in (at, at[(at < 100) | (at > 2 * recompress.PIECE)], at[:0]):
+        for roll in ((), (recompress._CHECK,)):
+            assert (recompress.window_names(words, some, *roll) == common.window_hashes(words, some, recompress.WINDOW, *roll)).all()
+
+
+def test_every_step_of_recompression_hands_its_memory_back(spark, monkeypatch):
+    seen = []
+    for name in ("frugal_group", "frugal_cogroup"):
+        monkeypatch.setattr(recompress, name, lambda f, wrap=getattr(common, name): seen.append(f.__name__) or wrap(f))
+    text = " ".join(str(i) for i in range(25))
+    got = recompress.dedup_digest(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in got.collect()} == {1: (25, 0), 2: (25, 25), 3: (0, 0)}
+    assert sorted(seen) == ["close", "cut", "later_windows", "pick"]
+
+
 def test_least_grams_are_dealt_evenly():
     """Anchors are least fingerprints, all near 0; no range of their exchange gets more than its share, none is lost."""
     data = np.random.default_rng(2).integers(97, 123, 200_000).astype(np.uint8)
