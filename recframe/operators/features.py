@@ -91,12 +91,15 @@ def video_embeddings(df: DataFrame, titles: DataFrame, tags: DataFrame, key: str
     """E15, the vector half: ``title_embedding`` and ``tag_embedding`` of every row
     by its video.  ``titles`` and ``tags`` are tables of (id, embedding), computed
     once a video (E21, E20); a video without one gets the zero vector, an empty
-    table gives empty vectors."""
+    table gives empty vectors.
+
+    The tables are merged, never broadcast: Spark counts an array as one element, so
+    a table of vectors looks small to it and would go through the driver."""
     out = df
     for name, table in (("title_embedding", titles), ("tag_embedding", tags)):
         t = table.select(F.col("id").alias("_eid"), F.col("embedding").cast("array<double>").alias(name))
         width = F.coalesce(t.select(F.max(F.size(name))).scalar(), F.lit(0))
-        out = out.join(t, out[key] == F.col("_eid"), "left").drop("_eid")
+        out = out.join(t.hint("merge"), out[key] == F.col("_eid"), "left").drop("_eid")
         out = out.withColumn(name, F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), width)))
     return out
 

@@ -26,6 +26,8 @@ EPS = 1e-8
 BLOCK_BYTES, TILE_BYTES = 8 << 20, 4 << 20
 #: Scores closer than this to the cut are computed again term by term, so that equal vectors tie exactly.
 MARGIN = 1e-9
+#: Vectors that are sent to every executor.
+SENT_VECTORS = 10_000
 #: Recall that the IVF search aims at, above the 0.9 asked for, and the items it is measured on.
 IVF_RECALL, IVF_SAMPLE = 0.95, 200
 
@@ -293,6 +295,9 @@ def tag_embedding(items: DataFrame, tag_vectors: DataFrame, id_col: str = "id",
     from recframe.functions.scalar import parse_tags
     d = dim or len(tag_vectors.select("vector").first()[0])
     ex = items.select(id_col, F.explode(parse_tags(tags_col)).alias("tag"))
+    # neither is broadcast unless told: lists and vectors are larger than Spark takes them to be
+    tag_vectors = store(tag_vectors.select("tag", "vector"), "tags")
+    tag_vectors = F.broadcast(tag_vectors) if tag_vectors.limit(SENT_VECTORS + 1).count() <= SENT_VECTORS else tag_vectors.hint("merge")
     j = ex.join(tag_vectors, "tag").where(F.size("vector") > 0).select(id_col, F.col("vector").cast("array<double>").alias("_v"))
     # an item's few vectors meet whole and are added place by place, not exploded to a row a dimension
     vec = j.groupBy(id_col).agg(F.collect_list("_v").alias("_vs")).select(id_col, _mean_vector("_vs").alias("_mean"))
