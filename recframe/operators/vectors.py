@@ -52,12 +52,6 @@ def dot(a, b) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _as_matrix(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series])
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + EPS)
 
@@ -203,25 +197,31 @@ def _probes_for_recall(assigned: DataFrame, cents: np.ndarray, k: int, i_id: str
     return int(need[int(np.ceil(IVF_RECALL * len(need))) - 1]) + 1
 
 
-def _nearest_centroids(queries: DataFrame, cents: np.ndarray, nprobe: int, q_id: str, q_vec: str) -> DataFrame:
+def _nearest_centroids(queries: DataFrame, cents: np.ndarray, nprobe: int, q_id: str, q_vec: str,
+                       tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(q_id, _q, cluster): a row for each of a query's ``nprobe`` nearest centroids.
+
+    Python holds a tile of scores and gives each vector back once, with the list of its
+    clusters; the rows are made of it afterwards, one by one."""
     cu = cents  # KMeans centres of unit vectors; nearest by inner product
     npb = min(nprobe, len(cu))
     qtype = queries.schema[q_id].dataType
     vtype = queries.schema[q_vec].dataType
     schema = T.StructType([T.StructField(q_id, qtype), T.StructField("_q", vtype),
-                           T.StructField("cluster", T.IntegerType())])
+                           T.StructField("_near", T.ArrayType(T.IntegerType()))])
+    step = max(1, tile_bytes // (8 * max(cu.shape)))
 
     def fn(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = _unit(_as_matrix(pdf[q_vec]))
-            s = q @ cu.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :npb]
-            rep = np.repeat(np.arange(len(pdf)), npb)
-            yield pd.DataFrame({q_id: pdf[q_id].to_numpy()[rep], "_q": pdf[q_vec].to_numpy()[rep],
-                                "cluster": top.reshape(-1).astype("int32")})
-    return queries.mapInPandas(fn, schema)
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                b = batch.slice(lo, step)
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                s = _unit(flat.reshape(len(b), -1)) @ cu.T
+                near = np.argsort(-s, axis=1, kind="stable")[:, :npb].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * npb), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=[q_id, "_q", "_near"])
+        _trim()
+    return queries.where(F.col(q_vec).isNotNull()).select(q_id, q_vec).mapInArrow(fn, schema).select(q_id, "_q", F.explode("_near").alias("cluster"))
 
 
 def list_diversity(lists: DataFrame, vectors: DataFrame, list_col: str = "query_id", item_col: str = "item_id",

@@ -51,3 +51,15 @@ def test_exploded_tags_are_not_broadcast(spark, monkeypatch):
     large = V.tag_embedding(items, tags, dim=1)
     assert "BuildLeft" not in physical(small) and "SortMergeJoin [tag" in physical(large)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
+def test_probed_vectors_leave_python_once(spark):
+    rng = np.random.default_rng(5)
+    x, cents = rng.standard_normal((50, 4)).astype(np.float32), rng.standard_normal((7, 4))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "query_id long, embedding array<float>").coalesce(1)
+    want = {(i, int(c)) for i, s in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)) @ cents.T) for c in np.argsort(-s)[:3]}
+    for tile in (V.TILE_BYTES, 8 * 7 * 4):
+        got = V._nearest_centroids(q, cents, 3, "query_id", "embedding", tile)
+        assert got.columns == ["query_id", "_q", "cluster"] and {(r.query_id, r.cluster) for r in got.collect()} == want
+    plan = physical(got)
+    assert plan.index("Generate explode(_near") < plan.index("MapInArrow")  # rows are made of the lists after Python
