@@ -35,6 +35,16 @@ def shuffle_files(spark) -> set[str]:
     return {f.rpartition("/")[2] for f in files.split(",") if "/shuffle_" in f}
 
 
+def test_stored_steps_leave_no_shuffle_files(spark):
+    df = spark.range(5000).groupBy((F.col("id") % 900).alias("k")).agg(F.count("*").alias("n"))
+    before = shuffle_files(spark)
+    assert store(df).agg(F.sum("n")).first()[0] == 5000
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(key, "false") == "false"  # as before
+    left = shuffle_files(spark) - before
+    assert len({f.split("_")[1] for f in left}) <= 1  # those of the sum above only
+
+
 def test_vectors_are_not_broadcast(spark):
     pairs = spark.createDataFrame([(1, 1), (2, 1), (3, 9)], "user_id long, video_id long")
     v = spark.createDataFrame([(1, [0.5, 0.5])], "id long, embedding array<double>")
@@ -63,3 +73,22 @@ def test_probed_vectors_leave_python_once(spark):
         assert got.columns == ["query_id", "_q", "cluster"] and {(r.query_id, r.cluster) for r in got.collect()} == want
     plan = physical(got)
     assert plan.index("Generate explode(_near") < plan.index("MapInArrow")  # rows are made of the lists after Python
+
+
+def test_positives_without_hits_are_not_exchanged(spark, no_estimates):
+    ctx = "previously_watched_category string, interaction_time_day string, interaction_time_hour int, device string"
+    df = spark.createDataFrame([(f"p{i}", i % 50, i, "c", "d", 1, "m") for i in range(200)], f"interaction_id string, user_id long, video_id long, {ctx}")
+    out = S.negatives_per_positive(df, spark.range(20000), 3)
+    assert "hashpartitioning(interaction_id" not in physical(out.where(F.col("user_id") >= 0)).split("Union")[0]
+    assert out.count() == 600
+    taken = {(i % 50, i) for i in range(200)}
+    assert not any((r.user_id, r.video_id) in taken for r in out.collect())
+
+
+def test_names_are_the_same_by_exchange(spark, monkeypatch):
+    ctx = "previously_watched_category string, interaction_time_day string, interaction_time_hour int, device string"
+    df = spark.createDataFrame([(f"p{i}", i % 5, i, "c", "d", 1, "m") for i in range(60)], f"interaction_id string, user_id long, video_id long, {ctx}")
+    videos = spark.range(70).select((F.col("id") * 3).alias("id"))
+    sent = sorted(map(str, S.negatives_per_positive(df, videos, 3).collect()))
+    monkeypatch.setattr(S, "_SENT", 1)
+    assert sorted(map(str, S.negatives_per_positive(df, videos, 3).collect())) == sent
