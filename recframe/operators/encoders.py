@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from recframe import constants as C
 from recframe.operators.ordering import dense_index, exact_quantiles, global_prefix
+from recframe.session import few, store
 
 
 def _c(x) -> Column:
@@ -49,7 +50,7 @@ def lookup_string(df: DataFrame, col, vocab: DataFrame, out: str, include_pad: b
     v = vocab.select(F.col("value").alias(key), F.col("idx").alias(f"_i_{out}"))
     src = _c(col).cast("string")
     j = df.withColumn(f"_s_{out}", src)
-    j = j.join(v, j[f"_s_{out}"] == v[key], "left")
+    j = j.join(few(v), F.col(f"_s_{out}") == F.col(key), "left")
     pad = 0 if include_pad else (1 if include_unk else 0)
     unk = (1 if include_pad else 0) if include_unk else None
     start = (2 if include_pad and include_unk else int(include_pad) + int(include_unk)) if include_start else unk
@@ -69,7 +70,7 @@ def integer_vocab(values: DataFrame, col: str) -> DataFrame:
 def lookup_integer(df: DataFrame, col: str, vocab: DataFrame, out: str) -> DataFrame:
     """E02 lookup: NULL → 0, unknown → 1."""
     v = vocab.select(F.col("value").alias(f"_k_{out}"), F.col("idx").alias(f"_i_{out}"))
-    j = df.join(v, F.col(col).cast("bigint") == v[f"_k_{out}"], "left")
+    j = df.join(few(v), F.col(col).cast("bigint") == F.col(f"_k_{out}"), "left")
     expr = F.when(F.col(col).isNull(), F.lit(0)).otherwise(F.coalesce(F.col(f"_i_{out}"), F.lit(1)))
     return j.withColumn(out, expr.cast("bigint")).drop(f"_k_{out}", f"_i_{out}")
 
@@ -162,11 +163,11 @@ def column_vocabs(df: DataFrame, cols: list[str], fixed: dict[str, list[str]] |
 def apply_vocabs(df: DataFrame, vocabs: DataFrame, cols: list[str], null_index: int = 1) -> DataFrame:
     """``<col>_idx`` by vocabulary of the same name; unknown → [OOV] 1,
     NULL → ``null_index``."""
-    out = df
+    out, vocabs = df, store(vocabs, "vocabs")  # read once a column
     for c in cols:
         v = vocabs.where(F.col("vocab") == c).select(F.col("value").alias(f"_k_{c}"),
                                                       F.col("idx").alias(f"_i_{c}"))
-        out = out.join(v, F.col(c).cast("string") == v[f"_k_{c}"], "left")
+        out = out.join(few(v), F.col(c).cast("string") == F.col(f"_k_{c}"), "left")
         out = out.withColumn(f"{c}_idx", F.coalesce(F.col(f"_i_{c}"), F.when(F.col(c).isNull(), null_index).otherwise(1)).cast("bigint")) \
                  .drop(f"_k_{c}", f"_i_{c}")
     return out

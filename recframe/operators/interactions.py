@@ -63,7 +63,8 @@ def two_tower_pairs(pos: DataFrame, users: DataFrame, videos: DataFrame) -> Data
     v = videos.select(F.col("id").alias("video_id"), "category", "title",
                       F.col("duration").alias("video_duration"), "popularity",
                       F.col("language").alias("video_language"), F.col("manual_tags").alias("tags"))
-    return (first.join(u, "user_id", "left").join(v, "video_id", "left")
+    # enriched rows lie by video already: videos first, and only one exchange, by user
+    return (first.join(v, "video_id", "left").join(u, "user_id", "left")
             .select("user_id", "country", "user_language", "age", "previously_watched_category",
                     "video_id", "category", "title", "video_duration", "popularity",
                     "video_language", "tags"))

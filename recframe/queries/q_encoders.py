@@ -16,14 +16,18 @@ from recframe.session import store
 from recframe.sources import adapters as A
 
 
-def pairs(spark, d):
-    return I.two_tower_pairs(I.positives(enriched(spark, d)), A.users(spark, d), A.videos(spark, d))
+def pairs(spark, d, rows=None):
+    """``rows``: the enriched interactions, where they are stored."""
+    return I.two_tower_pairs(I.positives(rows if rows is not None else enriched(spark, d)), A.users(spark, d), A.videos(spark, d))
 
 
-def ranker_rows(spark, d):
-    e = enriched(spark, d).select("interaction_id", "user_id", "video_id", "device", "interaction_time_day",
-                                  "interaction_time_hour", F.col("is_positive").cast("int").alias("label"))
-    return FT.ranker_star_join(e, A.users(spark, d), A.videos(spark, d), A.channels(spark, d))
+#: What a ranker row reads of an enriched interaction.
+RANKER_COLUMNS = ("interaction_id", "user_id", "video_id", "device", "interaction_time_day", "interaction_time_hour", "is_positive")
+
+
+def ranker_rows(spark, d, rows=None, users_first=False):
+    e = (rows if rows is not None else enriched(spark, d)).select(*RANKER_COLUMNS[:-1], F.col("is_positive").cast("int").alias("label"))
+    return FT.ranker_star_join(e, A.users(spark, d), A.videos(spark, d), A.channels(spark, d), users_first)
 
 
 @query("e01_string_vocab")
@@ -150,8 +154,10 @@ def j03(spark, d):
 
 
 def stored_ranker_rows(spark, d):
-    """The joined rows, which the fits and the projection read again: stored once."""
-    return store(ranker_rows(spark, d).drop("user_id", "video_id", "channel_id"), "ranker")
+    """The joined rows, which the fits and the projection read again: stored once.
+    The enriched rows are stored before, so that the exchanges of both do not lie on the disks at once."""
+    e = store(enriched(spark, d).select(*RANKER_COLUMNS), "enriched")
+    return store(ranker_rows(spark, d, e, users_first=True).drop("user_id", "video_id", "channel_id"), "ranker")
 
 
 @query("e17_ranker_features")

@@ -92,3 +92,21 @@ def test_names_are_the_same_by_exchange(spark, monkeypatch):
     sent = sorted(map(str, S.negatives_per_positive(df, videos, 3).collect()))
     monkeypatch.setattr(S, "_SENT", 1)
     assert sorted(map(str, S.negatives_per_positive(df, videos, 3).collect())) == sent
+
+
+def test_vocabularies_are_sent(spark, no_estimates):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, None)], "s string, n long")
+    assert "SortMergeJoin" not in physical(E.lookup_string(df, "s", E.string_vocab(df, "s"), "i"))
+    vocabs = spark.createDataFrame([("s", "a", 2), ("n", "2", 2)], "vocab string, value string, idx long")
+    out = E.apply_vocabs(df, vocabs, ["s", "n"], null_index=0)
+    assert "SortMergeJoin" not in physical(out)
+    assert sorted((r.s_idx, r.n_idx) for r in out.collect()) == [(0, 0), (1, 2), (2, 1)]
+
+
+def test_pairs_meet_videos_before_users(spark, no_estimates):
+    from recframe.operators.interactions import two_tower_pairs
+    pos = spark.createDataFrame([(1, 1, 5, "i", "c")], "user_id long, video_id long, ts_epoch long, interaction_id string, previously_watched_category string")
+    users = spark.createDataFrame([(1, "FR", "en", 30)], "id long, country_code string, preferred_language string, age int")
+    videos = spark.createDataFrame([(1, "c", "t", 60, "low", "en", "x")], "id long, category string, title string, duration int, popularity string, language string, manual_tags string")
+    out = two_tower_pairs(pos.repartition("video_id"), users, videos)
+    assert physical(out).count("hashpartitioning(video_id") == 2  # the positives' and the videos'; their join needs no other
