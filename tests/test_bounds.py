@@ -110,3 +110,21 @@ def test_pairs_meet_videos_before_users(spark, no_estimates):
     videos = spark.createDataFrame([(1, "c", "t", 60, "low", "en", "x")], "id long, category string, title string, duration int, popularity string, language string, manual_tags string")
     out = two_tower_pairs(pos.repartition("video_id"), users, videos)
     assert physical(out).count("hashpartitioning(video_id") == 2  # the positives' and the videos'; their join needs no other
+
+
+def test_cuts_of_stored_rows_store_no_ties(spark):
+    df = store(spark.range(400).select((F.col("id") % 9).alias("k"), F.concat(F.lit("r"), "id").alias("id"), (F.col("id") % 2).alias("g")))
+    ranks = lambda sizes: sizes.select("g", F.lit("c").alias("cut"), F.floor(F.col("n") / 3).alias("rank"))
+    one, two = (sorted(map(str, O.order_cuts(df, F.col("k"), ["id"], ranks, "g", stored=x).collect())) for x in (False, True))
+    assert one == two and len(one) == 2
+    split = lambda stored: sorted(map(str, S.stratified_split(df, "g", ["id"], stored=stored).collect()))
+    assert split(True) == split(False)
+
+
+def test_ranker_set_in_parts(spark, monkeypatch):
+    from recframe.queries import q_models as Q
+    from tests.conftest import SF
+    rows = lambda: sorted(map(str, rounded(Q.ranker_set(spark, SF)).collect()))
+    whole = rows()
+    monkeypatch.setattr(Q, "JOINED_ROWS", 5000)
+    assert rows() == whole
