@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recframe.operators.encoders import hash_bucket
+from recframe.session import store
 
 # Canonical feature names (P01).  Fixed values:
 #   id → user_id / video_id / channel_id, country_code → country,
@@ -181,14 +182,15 @@ def capture_record(log: DataFrame) -> DataFrame:
 def catalogue_counts(tables: dict[str, tuple[DataFrame, str]],
                      splits: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
     """Rows and distinct ids per named table, and per part of a split table
-    (``<name>_<split>``, by its ``split`` column; a part without rows has no row)."""
+    (``<name>_<split>``, by its ``split`` column; a part without rows has no row).
+    The tables are counted one after the other, so that only one is exchanged at a time."""
     parts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"),
                     F.count_distinct(key).alias("distinct_ids")) for name, (df, key) in tables.items()]
     parts += [df.groupBy(F.concat(F.lit(f"{name}_"), "split").alias("table")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("distinct_ids")) for name, (df, key) in (splits or {}).items()]
-    out = parts[0]
+    out = store(parts[0], "counts")
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(store(p, "counts"))
     return out
 
 

@@ -13,9 +13,10 @@ from recframe.operators import ranking as R
 from recframe.operators import sampling as S
 from recframe.operators.ordering import dense_index
 from recframe.queries.common import query, rounded
-from recframe.queries.q_encoders import pairs, ranker_rows
+from recframe.queries.q_encoders import RANKER_COLUMNS, pairs, ranker_rows
 from recframe.queries.q_labels import enriched
 from recframe.queries.q_ranking import scored
+from recframe.session import store
 from recframe.sources import adapters as A
 
 
@@ -121,12 +122,14 @@ def a45(spark, d):
 
 @query("a50_catalogue_counts")
 def a50(spark, d):
+    # counted, paired and joined: enriched and stored once
+    e = store(enriched(spark, d).select(*RANKER_COLUMNS, "ts_epoch", "previously_watched_category"), "enriched")
     return DS.catalogue_counts({"users": (A.users(spark, d), "id"), "videos": (A.videos(spark, d), "id"),
                                 "channels": (A.channels(spark, d), "id"),
                                 "interactions": (A.interactions(spark, d), "interaction_id"),
-                                "positive_interactions": (enriched(spark, d).where("is_positive"), "interaction_id")},
-                               {"two_tower": (S.bernoulli_split(pairs(spark, d), ["user_id", "video_id"]), "user_id"),
-                                "ranker": (S.bernoulli_split(ranker_rows(spark, d), ["interaction_id"]), "interaction_id")})
+                                "positive_interactions": (e.where("is_positive"), "interaction_id")},
+                               {"two_tower": (S.bernoulli_split(pairs(spark, d, e), ["user_id", "video_id"]), "user_id"),
+                                "ranker": (S.bernoulli_split(ranker_rows(spark, d, e, users_first=True), ["interaction_id"]), "interaction_id")})
 
 
 @query("f07_watch_percentage")

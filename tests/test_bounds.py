@@ -128,3 +128,10 @@ def test_ranker_set_in_parts(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(Q, "JOINED_ROWS", 5000)
     assert rows() == whole
+
+
+def test_tables_are_counted_one_by_one(spark):
+    df = spark.range(10).select((F.col("id") % 4).alias("k"), F.lit("train").alias("split"))
+    out = DS.catalogue_counts({"a": (df, "k"), "b": (df.limit(0), "k")}, {"s": (df, "k")})
+    assert sorted(map(tuple, out.collect())) == [("a", 10, 4), ("b", 0, 0), ("s_train", 10, 4)]
+    assert "Aggregate" not in physical(out)
