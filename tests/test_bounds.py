@@ -148,3 +148,12 @@ def test_contexts_share_their_searches(spark, monkeypatch):
     assert searched == [3] and got.groupBy("user_id", "query_id").count().select("count").distinct().collect()[0][0] == 4
     want = exact(c.where("user_id = 0").select("query_id", "vec_id").join(items.select(F.col("id").alias("vec_id"), "embedding"), "vec_id"), items, 4)
     assert {(r.query_id, r.video_id) for r in got.where("user_id = 0").collect()} == {(r.query_id, r.item_id) for r in want.collect()}
+
+
+def test_als_drops_what_it_exchanged(spark):
+    pos = spark.createDataFrame([(u, v) for u in range(30) for v in range(u % 7 + 1)], "user_id long, video_id long")
+    spark.sparkContext._jvm.System.gc()
+    before = shuffle_files(spark)
+    M.retrieval_factors(pos, rank=4, max_iter=8)
+    left = {f.split("_")[1] for f in shuffle_files(spark) - before}
+    assert len(left) < 16  # two exchanges an iteration, and those of the blocks
