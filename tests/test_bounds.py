@@ -1,6 +1,7 @@
 """What steps keep on the disks, send to the driver and hold in Python."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,27 @@ def test_als_drops_what_it_exchanged(spark):
     M.retrieval_factors(pos, rank=4, max_iter=8)
     left = {f.split("_")[1] for f in shuffle_files(spark) - before}
     assert len(left) < 16  # two exchanges an iteration, and those of the blocks
+
+
+def test_frequent_shingles_are_found_by_slots(spark):
+    from recframe.llm import ngram_join as N
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(60)).encode() for i in range(1, 20)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    tokens = np.unique(N.Sets(data, offs).tokens)
+    for bits in (20, 34):
+        keys = np.unique(tokens[::3] >> np.uint64(63 - bits))
+        s = N.Sets(data, offs, (bits, keys, N._slots(bits, keys)))
+        assert sorted(s.tokens[~s.rare()]) == sorted(s.tokens[np.isin(s.tokens >> np.uint64(63 - bits), keys)])
+
+
+def test_prefixes_are_gathered_before_they_are_packed(monkeypatch):
+    from recframe.llm import ngram_join as N
+    batch = lambda k: pa.RecordBatch.from_arrays([pa.array([bytes(8 * k)] * k), pa.array(range(k))], ["prefix", "grp"])
+    sizes = [3, 4, 0, 5, 11, 2]
+    assert [len(b) for b in N._gathered(iter(map(batch, sizes)))] == [25]
+    monkeypatch.setattr(N, "ENTRY_GROUPS", 8)
+    got = list(N._gathered(iter(map(batch, sizes))))
+    assert [len(b) for b in got] == [7, 5, 8, 5]
+    assert [x for b in got for x in b.column("grp").to_pylist()] == [x for k in sizes for x in range(k)]
+    monkeypatch.setattr(N, "ENTRY_BYTES", 1)
+    assert [len(b) for b in N._gathered(iter(map(batch, sizes)))][:2] == [3, 4] and not list(N._gathered(iter([batch(0)])))
